@@ -29,6 +29,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` uses it in a lambda.
+
+    A column that is only named inside a lambda would be inlined there by the optimizer and
+    computed again for every array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squash(c) -> Column:
     """Runs of (Unicode) whitespace become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(_col(c), r"(?U)\s+", " "))
@@ -102,9 +111,11 @@ def occurrences(text: Column, word: str) -> Column:
 
 def mention_index(sents: Column, mention: Column) -> Column:
     """1-based index of the first sentence that holds the mention, 0 when none does."""
-    m = F.lower(strip(mention))
-    found = F.array_position(F.transform(sents, lambda s: F.lower(s).contains(m)), True)
-    return F.coalesce(F.when(m != "", found), F.lit(0)).cast("int")
+    def found(m):
+        at = F.array_position(F.transform(sents, lambda s: F.lower(s).contains(m)), True)
+        return F.coalesce(F.when(m != "", at), F.lit(0)).cast("int")
+
+    return let(F.lower(strip(mention)), found)
 
 
 def sentences_around(sents: Column, hit: Column, window: int, fallback: int) -> Column:

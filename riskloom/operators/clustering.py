@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from riskloom.functions.numeric import dot, unit
 from riskloom.functions.text import blank
-from riskloom.operators.prefilter import signal_text
-from riskloom.operators.risk import context_chars, text_vectors
+from riskloom.operators.risk import TEXT_FEATURES, context_chars, text_vectors
 from riskloom.session import cut_lineage, numbered
 
 # Cluster counts, restarts and merge thresholds.
@@ -30,7 +29,7 @@ SUPPLIED_THRESHOLD, TEXT_THRESHOLD = 0.95, 0.90
 LARGE_CLUSTER, LARGE_MARGIN = 20, 0.03
 
 ROUNDS = 20
-BLOCK_POINTS = 20_000
+BLOCK_VALUES = 4_000_000
 
 
 def cluster_counts(df: DataFrame, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
@@ -53,13 +52,15 @@ def distinct_points(df: DataFrame, counts: DataFrame) -> DataFrame:
         .groupBy("entity_id", F.col("risk_embedding").alias("vec"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_POINTS))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") * F.size("vec") / BLOCK_VALUES))
     return points.join(counts.filter("k > 1").select("entity_id", "n"), "entity_id").select(
         "entity_id", "vec", "weight", F.pmod(F.xxhash64("vec"), blocks).alias("block")
     )
 
 
-def initial_centroids(points: DataFrame, counts: DataFrame, seed: int, trials: int) -> DataFrame:
+def initial_centroids(
+    points: DataFrame, counts: DataFrame, seed: int, trials: int, max_clusters: int = MAX_CLUSTERS
+) -> DataFrame:
     """k distinct points per entity and trial, chosen by a seeded hash. The rank limit is applied
     before rows are exchanged, so a large entity sends only its k candidates per task."""
     keyed = points.select(
@@ -67,7 +68,7 @@ def initial_centroids(points: DataFrame, counts: DataFrame, seed: int, trials: i
     ).withColumn("_h", F.xxhash64(F.lit(seed), "trial", "vec"))
     order = W.partitionBy("entity_id", "trial").orderBy("_h", "vec")
     return (
-        keyed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= MAX_CLUSTERS)
+        keyed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_clusters)
         .join(counts.select("entity_id", "k"), "entity_id").filter("_r <= k")
         .select("entity_id", "trial", (F.col("_r") - 1).alias("cluster"), "vec")
     )
@@ -100,7 +101,7 @@ def _partial_sums(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
 
 
 def _labels(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
-    out = block[["entity_id", "vec"]].assign(cluster=0)
+    out = block[["entity_id", "vec", "weight"]].assign(cluster=0)
     if len(block) and len(centers):
         for _, _, labels, _ in _nearest(block, centers):
             out["cluster"] = labels
@@ -144,11 +145,12 @@ def _movement(old: DataFrame, new: DataFrame) -> float:
 
 
 def grouped_kmeans(
-    df: DataFrame, counts: DataFrame, seed: int = SEED, trials: int = TRIALS, rounds: int = ROUNDS
+    df: DataFrame, counts: DataFrame, seed: int = SEED, trials: int = TRIALS, rounds: int = ROUNDS,
+    max_clusters: int = MAX_CLUSTERS,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, centers): the best trial's centers per entity with ``first_cost`` and ``cost``."""
     points = cut_lineage(distinct_points(df, counts).repartition("entity_id", "block"))
-    centers = cut_lineage(initial_centroids(points, counts, seed, trials))
+    centers = cut_lineage(initial_centroids(points, counts, seed, trials, max_clusters))
     first = None
     for _ in range(rounds):
         moved = cut_lineage(lloyd_step(points, centers))
@@ -262,10 +264,11 @@ def global_ids(rows: DataFrame) -> DataFrame:
     first = groups.groupBy("entity_id").agg(F.min("_first").alias("_entity_first"))
     order = ["_entity_first", "entity_id", "local_id"]
     ids = numbered(groups.join(first, "entity_id"), order, "narrative_id").select(
-        "entity_id", "local_id", F.col("narrative_id").cast("bigint").alias("narrative_id")
+        F.col("entity_id").alias("_eid"), F.col("local_id").alias("_lid"),
+        F.col("narrative_id").cast("bigint").alias("narrative_id"),
     )
-    matched = (rows["entity_id"].eqNullSafe(ids["entity_id"])) & (rows["local_id"] == ids["local_id"])
-    return rows.join(ids, matched).drop(ids["entity_id"], ids["local_id"], rows["local_id"])
+    same = (F.col("entity_id") == F.col("_eid")) & (F.col("local_id") == F.col("_lid"))
+    return rows.join(ids, same).drop("_eid", "_lid", "local_id")
 
 
 def single_narratives(rows: DataFrame) -> DataFrame:
@@ -284,11 +287,10 @@ def cluster_vectors(
 ) -> DataFrame:
     """Adds ``local_id`` to rows that carry vectors."""
     counts = cut_lineage(cluster_counts(rows, max_clusters))
-    points, centers = grouped_kmeans(rows, counts, trials=trials)
+    points, centers = grouped_kmeans(rows, counts, trials=trials, max_clusters=max_clusters)
     labelled = cut_lineage(
-        _with_centers(points.drop("weight"), centers.select("entity_id", "trial", "cluster", "vec"))
-        .applyInPandas(_labels, "entity_id string, vec array<double>, cluster int")
-        .join(points.select("entity_id", "vec", "weight"), ["entity_id", "vec"])
+        _with_centers(points, centers.select("entity_id", "trial", "cluster", "vec"))
+        .applyInPandas(_labels, "entity_id string, vec array<double>, weight bigint, cluster int")
     )
     final = relabel(merge_clusters(centroids(labelled), threshold))
     by_point = labelled.join(final, ["entity_id", "cluster"]).select("entity_id", "vec", "local_id")
@@ -306,20 +308,34 @@ def cluster(
     """
     if "entity_id" not in rows.columns:
         rows = rows.withColumn("entity_id", F.col("entity") if "entity" in rows.columns else F.lit(""))
+    rows = rows.withColumn("entity_id", F.coalesce("entity_id", F.lit("")))
     if "risk_embedding" not in rows.columns:
         rows = rows.withColumn("risk_embedding", F.lit(None).cast("array<double>"))
     rows = cut_lineage(rows.join(vector_mode(rows), "entity_id"))
     summary = F.col("risk_summary") if "risk_summary" in rows.columns else F.lit("")
     supplied = rows.filter("supplied").withColumn("cluster_context", summary)
-    plain = context_chars(rows.filter("not supplied").drop("risk_embedding"))
-    parts = [cluster_vectors(supplied, SUPPLIED_THRESHOLD, max_clusters, trials)]
+    parts = []
+    if not supplied.isEmpty():
+        parts.append(cluster_vectors(supplied, SUPPLIED_THRESHOLD, max_clusters, trials))
+    plain = rows.filter("not supplied").drop("risk_embedding")
     if not plain.isEmpty():
-        readable = plain.filter(~blank(signal_text(plain)))
-        vectors = text_vectors(readable, "cluster_context")
-        with_vectors = plain.join(vectors, "cluster_context", "left").withColumn(
-            "risk_embedding",
-            F.coalesce("risk_embedding", F.array(F.lit(0.0)).cast("array<double>")),
+        parts.append(_cluster_contexts(plain, max_clusters, trials))
+    if not parts:
+        return rows.drop("supplied").withColumns(
+            {"cluster_context": F.lit(""), "narrative_id": F.lit(0).cast("bigint")}
         )
-        parts.append(cluster_vectors(with_vectors, TEXT_THRESHOLD, max_clusters, trials))
     labelled = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return global_ids(cut_lineage(labelled.drop("supplied")))
+
+
+def _cluster_contexts(rows: DataFrame, max_clusters: int, trials: int) -> DataFrame:
+    """Text mode: contexts around the mention become vectors of the default producer."""
+    rows = context_chars(rows)
+    readable = rows.filter(~blank("cluster_context"))
+    if readable.isEmpty():
+        return rows.withColumn("local_id", F.lit(0))
+    zero = F.array_repeat(F.lit(0.0), TEXT_FEATURES)
+    vectors = rows.join(text_vectors(readable, "cluster_context"), "cluster_context", "left").withColumn(
+        "risk_embedding", F.coalesce("risk_embedding", zero)
+    )
+    return cluster_vectors(vectors, TEXT_THRESHOLD, max_clusters, trials).drop("risk_embedding")

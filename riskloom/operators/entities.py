@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.functions.text import blank, normalize, strip
+from riskloom.functions.text import blank, let, normalize, strip
 from riskloom.operators.fuzzy import fuzzy_matches, fuzzy_terms
 from riskloom.session import bounded_rows
 
@@ -91,9 +91,11 @@ def _hits_in_row(posts: DataFrame, rows) -> DataFrame:
     """All dictionary terms tested inside each row; nothing is joined or shuffled."""
     ordered = sorted(rows, key=lambda r: (r["entity_pos"], r["entity_id"], r["tier"], r["alias_pos"]))
     terms = F.from_json(F.lit(json.dumps([r.asDict() for r in ordered])), f"array<{HIT}>")
-    return posts.withColumn(
-        "_hits", F.filter(terms, lambda t: F.col("_norm").contains(t.getField("term_norm")))
-    )
+
+    def contained(text):
+        return F.filter(terms, lambda t: text.contains(t.getField("term_norm")))
+
+    return posts.withColumn("_hits", let(F.col("_norm"), contained))
 
 
 def _hits_by_join(posts: DataFrame, dictionary: DataFrame, terms: int) -> DataFrame:
@@ -149,15 +151,30 @@ def _mention(text: Column, term: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), term)
 
 
-def exact_matches(posts: DataFrame, dictionary: DataFrame, in_row_terms: int = IN_ROW_TERMS) -> DataFrame:
-    """Adds ``_matches``: substring hits of canonical names, ids and aliases, one per
-    (entity, spelling), ordered by confidence and then by dictionary order."""
+def with_hits(posts: DataFrame, dictionary: DataFrame, in_row_terms: int = IN_ROW_TERMS) -> DataFrame:
+    """Adds ``_norm`` and ``_hits``: every dictionary term that the normalized text contains."""
     normed = posts.withColumn("_norm", normalize(F.coalesce("text", F.lit(""))))
     rows = bounded_rows(dictionary, in_row_terms)
     if rows is not None:
-        hits = _hits_in_row(normed, rows)
-    else:
-        hits = _hits_by_join(normed, dictionary, dictionary.count())
+        return _hits_in_row(normed, rows)
+    return _hits_by_join(normed, dictionary, dictionary.count())
+
+
+def _first_spellings(matches: Column) -> Column:
+    """Drops later repeats of the same (entity, lowered mention)."""
+    def repeated(m, i):
+        return F.exists(
+            F.slice(matches, F.lit(1), i),
+            lambda e: (e.getField("entity_id") == m.getField("entity_id"))
+            & (F.lower(e.getField("mention_text")) == F.lower(m.getField("mention_text"))),
+        )
+
+    return F.array_sort(F.filter(matches, lambda m, i: ~repeated(m, i)))
+
+
+def exact_matches(hits: DataFrame) -> DataFrame:
+    """Adds ``_matches``: one per (entity, spelling), ordered by confidence and then by dictionary
+    order. ``hits`` comes from ``with_hits``."""
     spelled = F.transform(
         "_hits",
         lambda h, i: F.struct(
@@ -169,19 +186,7 @@ def exact_matches(posts: DataFrame, dictionary: DataFrame, in_row_terms: int = I
             h.getField("canonical_name").alias("name"),
         ),
     )
-    first_of_spelling = F.filter(
-        "_spelled",
-        lambda m, i: ~F.exists(
-            F.slice("_spelled", F.lit(1), i),
-            lambda e: (e.getField("entity_id") == m.getField("entity_id"))
-            & (F.lower(e.getField("mention_text")) == F.lower(m.getField("mention_text"))),
-        ),
-    )
-    return (
-        hits.withColumn("_spelled", spelled)
-        .withColumn("_matches", F.array_sort(first_of_spelling))
-        .drop("_hits", "_spelled")
-    )
+    return hits.withColumn("_matches", let(spelled, _first_spellings)).drop("_hits")
 
 
 def _collect(df: DataFrame) -> DataFrame:
@@ -214,10 +219,11 @@ def resolve(
     threshold: float = 0.9,
 ) -> DataFrame:
     """Every post with its matches. The fuzzy tier only sees posts that nothing else matched."""
-    tiers = exact_matches(posts, alias_dict(entities, extra))
+    hits = with_hits(posts, alias_dict(entities, extra))
+    tiers = exact_matches(hits)
     if not fuzzy:
         return _collect(tiers)
-    open_posts = tiers.filter(F.size("_matches") == 0).select("post_id", "_norm")
+    open_posts = hits.filter(F.size("_hits") == 0).select("post_id", "_norm")
     near = fuzzy_matches(open_posts, fuzzy_terms(search_lists(entities, extra)), threshold)
     joined = tiers.join(near, "post_id", "left").withColumn(
         "_matches", F.coalesce("_near", "_matches")
@@ -241,16 +247,18 @@ def expand(resolved: DataFrame, entities: DataFrame | None = None) -> DataFrame:
             ),
         )
     )
-    best = F.filter(
-        "_ranked",
-        lambda m, i: ~F.exists(
-            F.slice("_ranked", F.lit(1), i),
-            lambda e: e.getField("entity_id") == m.getField("entity_id"),
-        ),
-    )
+
+    def first_of_entity(matches):
+        def repeated(m, i):
+            return F.exists(
+                F.slice(matches, F.lit(1), i),
+                lambda e: e.getField("entity_id") == m.getField("entity_id"),
+            )
+
+        return F.filter(matches, lambda m, i: ~repeated(m, i))
+
     rows = (
-        resolved.withColumn("_ranked", ranked)
-        .withColumn("_m", F.explode(best))
+        resolved.withColumn("_m", F.explode(let(ranked, first_of_entity)))
         .withColumns(
             {
                 "entity_id": F.col("_m.entity_id"),
@@ -258,7 +266,7 @@ def expand(resolved: DataFrame, entities: DataFrame | None = None) -> DataFrame:
                 "resolution_confidence": -F.col("_m.neg"),
             }
         )
-        .drop("_m", "_ranked")
+        .drop("_m")
     )
     return with_entity_names(rows, entities) if entities is not None else rows
 

@@ -14,13 +14,16 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from riskloom.functions.text import MATCH_TOKEN_CLASS, blank, normalize
+from riskloom.functions.text import MATCH_TOKEN_CLASS, blank, let, normalize
+from riskloom.session import lookup
 
 # Confidence of a near match.
 THRESHOLD = 0.9
 FLOOR, CEILING, FACTOR = 0.75, 0.85, 0.9
 METHOD = "fuzzy"
 
+BROADCAST_TERMS = 1_000_000
+
 
 def match_tokens(c) -> Column:
     return F.regexp_extract_all(c, F.lit(MATCH_TOKEN_CLASS), F.lit(0))
@@ -43,8 +46,14 @@ def fuzzy_terms(search_lists: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.DoubleType())
 def similarity(term: pd.Series, window: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of aligned pairs; the order of the arguments matters."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(term, window)], dtype="float64")
+    """Ratcliff-Obershelp ratio of aligned pairs; repeated pairs of a batch are scored once."""
+    pairs = list(zip(term, window))
+    ratios = {pair: SequenceMatcher(None, *pair).ratio() for pair in set(pairs)}
+    return pd.Series([ratios[pair] for pair in pairs], dtype="float64")
+
+
+# so that a filter on the ratio does not run the function a second time
+similarity = similarity.asNondeterministic()
 
 
 def _edits(length: int, longest: int, threshold: float) -> int:
@@ -71,42 +80,43 @@ def _term_pieces(terms: DataFrame, threshold: float) -> tuple[DataFrame, list[in
         low = min(math.ceil(n * threshold / (2 - threshold) - 1e-9) for n in lengths)
         high = max(math.floor(n * (2 - threshold) / threshold + 1e-9) for n in lengths)
         spans.append((width, low, high))
-    spark = terms.sparkSession
-    plan = spark.createDataFrame(
-        pd.DataFrame(
-            [(n, a, size, shift) for n, cut in cuts.items() for a, size, shift in cut],
-            columns=["n", "at", "size", "shift"],
-        ).astype("int32")
+    plan = lookup(
+        terms.sparkSession, ["n", "at", "size", "shift"],
+        [(n, at, size, shift) for n, cut in cuts.items() for at, size, shift in cut],
     )
     cut_terms = (
         terms.select("term_norm", "width", F.length("term_norm").alias("n")).distinct()
         .join(plan, "n")
-        .withColumn("piece", F.substring("term_norm", F.col("at") + 1, F.col("size")))
+        .withColumn("piece", F.expr("substring(term_norm, int(at) + 1, int(size))"))
     )
     return cut_terms, sizes, spans
 
 
+def _windows_of(tokens: Column, width: int, low: int, high: int) -> Column:
+    """Windows of ``width`` tokens whose joined length lies in [low, high]."""
+    def joined(i):
+        if width == 1:
+            return F.get(tokens, i - 1)
+        return F.array_join(F.slice(tokens, i, width), " ")
+
+    made = F.transform(
+        F.sequence(F.lit(1), F.size(tokens) - width + 1),
+        lambda i: F.struct(F.lit(width).alias("width"), i.alias("start"), joined(i).alias("window")),
+    )
+    fitting = F.filter(made, lambda w: F.length(w.getField("window")).between(low, high))
+    # sequence counts down when its end lies below its start
+    return F.coalesce(
+        F.when(F.size(tokens) >= width, fitting),
+        F.array().cast("array<struct<width:int,start:int,window:string>>"),
+    )
+
+
 def _windows(posts: DataFrame, spans: list[tuple]) -> DataFrame:
     """(post_id, width, start, window) for windows whose length some term could match."""
-    tokenized = posts.select("post_id", match_tokens("_norm").alias("_tokens"))
-    arrays = []
-    for width, low, high in spans:
-        made = F.transform(
-            F.sequence(F.lit(1), F.size("_tokens") - width + 1),
-            lambda i, width=width: F.struct(
-                F.lit(width).alias("width"), i.alias("start"),
-                F.array_join(F.slice("_tokens", i, width), " ").alias("window"),
-            ),
-        )
-        fitting = F.filter(
-            made, lambda w, low=low, high=high: F.length(w.getField("window")).between(low, high)
-        )
-        # sequence counts down when its end lies below its start
-        arrays.append(F.when(F.size("_tokens") >= width, fitting))
-    empty = F.array().cast("array<struct<width:int,start:int,window:string>>")
-    return tokenized.select(
-        "post_id", F.inline(F.concat(*[F.coalesce(a, empty) for a in arrays]))
-    )
+    def windows(tokens):
+        return F.concat(*[_windows_of(tokens, *span) for span in spans])
+
+    return posts.select("post_id", F.inline(let(match_tokens("_norm"), windows)))
 
 
 def near_terms(posts: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -130,19 +140,15 @@ def near_terms(posts: DataFrame, terms: DataFrame, threshold: float = THRESHOLD)
         (2 * F.least(length, F.col("n")) >= threshold * (length + F.col("n")) - 1e-9)
         & (F.abs(F.col("seen_at") - F.col("at")) <= F.col("shift"))
     )
-    pairs = (
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return (
         windows.select("post_id", "start", "width", "window", F.inline(grams))
-        .join(cut_terms, ["width", "piece"])
+        .join(F.broadcast(cut_terms) if small else cut_terms, ["width", "piece"])
         .filter(fits)
-        .select("window", "term_norm", "post_id", "start")
-        .distinct()
-    )
-    scored = (
-        pairs.select("term_norm", "window").distinct()
+        .select("post_id", "start", "window", "term_norm")
         .withColumn("ratio", similarity("term_norm", "window"))
         .filter(F.col("ratio") >= threshold)
     )
-    return pairs.join(scored, ["term_norm", "window"])
 
 
 def confidence(ratio: Column) -> Column:

@@ -82,7 +82,8 @@ def prefilter(posts: DataFrame, lexicon: DataFrame, max_words: int = MAX_WORDS)
     return sentiment(counted, lexicon).withColumn(
         "_drop_reason",
         F.when(F.col("_word_count") > max_words, TOO_LONG).when(
-            F.col("_vader_compound") >= 0.0, NOT_NEGATIVE
+            # the compound has the sign of the sum, which is cheaper to filter on
+            F.col("_sentiment_sum") >= 0.0, NOT_NEGATIVE
         ),
     )
 

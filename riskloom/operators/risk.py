@@ -12,6 +12,7 @@ from riskloom.functions.text import (
     without_quotes,
 )
 from riskloom.operators.prefilter import signal_text
+from riskloom.session import numbered
 
 # Window sizes, batch sizes and reject reason.
 RISK_WINDOW, RISK_WORDS = 2, 100
@@ -76,12 +77,12 @@ def work_items(df: DataFrame) -> DataFrame:
 
 
 def batched(items: DataFrame, size: int, key: str = "id") -> DataFrame:
-    """Groups items into batches of about ``size`` by hash; the batch number needs no global order.
-
-    Items spread evenly over the batches because their ids are hashes.
-    """
-    batches = F.greatest(F.lit(1), F.ceil(F.lit(items.count()) / F.lit(size)))
-    return items.withColumn("batch", F.pmod(F.xxhash64(key), batches))
+    """Adds ``batch``: runs of ``size`` items in key order, numbered from 0."""
+    return (
+        numbered(items, [key], "_at")
+        .withColumn("batch", F.floor((F.col("_at") - 1) / size))
+        .drop("_at")
+    )
 
 
 def keyword_hit(text, taxonomy: dict[str, list[str]]):

@@ -49,6 +49,15 @@ def lookup(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -
     return spark.createDataFrame(pa.table({c: list(v) for c, v in zip(columns, values)}))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives every core a share of an input that was read in fewer splits than there are cores.
+
+    Inputs of more splits, which is every large one, are left as they were read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_rows(df: DataFrame, limit: int):
     """The rows of ``df`` if there are at most ``limit`` of them, else ``None``."""
     rows = df.limit(limit + 1).collect()
