@@ -79,7 +79,7 @@ def _nearest(block: pd.DataFrame, centers: pd.DataFrame):
     x = np.stack(block["vec"].to_numpy())
     for trial, group in centers.groupby("trial"):
         group = group.sort_values("cluster")
-        c = np.stack(group["vec"].to_numpy())
+        c = np.stack(group["center"].to_numpy())
         gap = (c * c).sum(axis=1) - 2.0 * x @ c.T
         best = gap.argmin(axis=1)
         cost = np.maximum(gap[np.arange(len(x)), best] + (x * x).sum(axis=1), 0.0)
@@ -110,9 +110,12 @@ def _labels(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
 
 def _with_centers(points: DataFrame, centers: DataFrame):
     """Points and centers co-grouped by block; every block gets its entity's centers."""
-    blocks = points.select("entity_id", "block").distinct()
-    spread = blocks.join(centers, "entity_id")
-    return points.groupBy("entity_id", "block").cogroup(spread.groupBy("entity_id", "block"))
+    blocks = points.select(F.col("entity_id").alias("_entity"), F.col("block").alias("_block")).distinct()
+    renamed = centers.select(
+        F.col("entity_id").alias("_of"), "trial", "cluster", F.col("vec").alias("center")
+    )
+    spread = blocks.join(renamed, F.col("_entity") == F.col("_of")).drop("_of")
+    return points.groupBy("entity_id", "block").cogroup(spread.groupBy("_entity", "_block"))
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -289,7 +292,7 @@ def cluster_vectors(
     counts = cut_lineage(cluster_counts(rows, max_clusters))
     points, centers = grouped_kmeans(rows, counts, trials=trials, max_clusters=max_clusters)
     labelled = cut_lineage(
-        _with_centers(points, centers.select("entity_id", "trial", "cluster", "vec"))
+        _with_centers(points, centers)
         .applyInPandas(_labels, "entity_id string, vec array<double>, weight bigint, cluster int")
     )
     final = relabel(merge_clusters(centroids(labelled), threshold))

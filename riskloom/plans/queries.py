@@ -207,7 +207,7 @@ def tolerant_read(spark, sf):
 @query
 def signal_texts(spark, sf):
     number = F.col("post_id").cast("long") % 3
-    altered = F.when(number == 0, F.upper("text")).when(number == 1, F.lit(" \t "))
+    altered = F.when(number == 0, F.concat(F.lit("altered: "), "text")).when(number == 1, F.lit(" \t "))
     posts = V.post_texts(spark, sf).withColumn("text_altered", altered)
     return posts.select("post_id", P.signal_text(posts).alias("signal_text"))
 
@@ -326,8 +326,8 @@ def score_bands(spark, sf):
 @query
 def sentence_split(spark, sf):
     return V.post_texts(spark, sf).select(
-        "post_id", F.posexplode(T.sentences("text")).alias("at", "sentence")
-    ).select("post_id", F.col("at").cast("bigint").alias("at"), "sentence")
+        "post_id", F.posexplode(T.sentences("text")).alias("position", "sentence")
+    ).select("post_id", F.col("position").cast("bigint").alias("position"), "sentence")
 
 
 @query
@@ -357,9 +357,7 @@ def narrative_quotes(spark, sf):
 @query
 def narrative_quotes_from_copies(spark, sf):
     """Narratives whose posts all share one context, so that quotes come from its chunks."""
-    rows = C.single_narratives(
-        V.post_texts(spark, sf).withColumns({"entity_id": F.col("platform"), "local_id": F.lit(0)}).drop("local_id")
-    )
+    rows = C.single_narratives(V.post_texts(spark, sf).withColumn("entity_id", F.col("platform")))
     same = rows.withColumn(
         "risk_context", F.concat(F.lit("one  shared context of platform "), "platform",
                                  F.lit(" with more words than a single chunk can hold so that it is cut in two parts"))
@@ -429,8 +427,8 @@ def large_dictionary_tier(spark, sf):
 @query
 def entity_mentions(spark, sf):
     """Every kept match of every post, in confidence order."""
-    return resolved_all(spark, sf).select("post_id", F.posexplode("resolved_entities").alias("at", "m")).select(
-        "post_id", F.col("at").cast("bigint").alias("at"), "m.entity_id", "m.mention_text", "m.confidence"
+    return resolved_all(spark, sf).select("post_id", F.posexplode("resolved_entities").alias("position", "m")).select(
+        "post_id", F.col("position").cast("bigint").alias("position"), "m.entity_id", "m.mention_text", "m.confidence"
     )
 
 
@@ -1161,7 +1159,7 @@ def false_positive_posts(spark, sf):
 
 @query
 def unmarked_narratives(spark, sf):
-    marks = V.marks(spark, sf).filter("entity is null")
+    marks = V.marks(spark, sf).filter("entity = 'None'")
     return X.unmarked_narratives(narratives_of(clustered(spark, sf), spark, sf), marks).select("narrative_id")
 
 
