@@ -103,10 +103,22 @@ def sentences(c) -> Column:
     return F.filter(F.split(squash(c), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
-def occurrences(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a fixed word in an already lowered text."""
-    removed = F.length(F.replace(text, F.lit(word), F.lit("")))
-    return ((F.length(text) - removed) / F.lit(len(word))).cast("long")
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def occurrences(column: str, words: list[str]) -> Column:
+    """Non-overlapping occurrences of each fixed word in a lowered text column, added up.
+
+    One SQL expression, because a taxonomy has too many words for one call each.
+    """
+    counts = [f"regexp_count({column}, {sql_string(chr(92) + 'Q' + w + chr(92) + 'E')})" for w in words]
+    return F.expr(f"CAST({' + '.join(counts) or '0'} AS BIGINT)")
+
+
+def words_present(column: str, words: list[str]) -> Column:
+    """True when the lowered text column holds any of the words."""
+    return F.expr(" OR ".join(f"contains({column}, {sql_string(w)})" for w in words) or "false")
 
 
 def mention_index(sents: Column, mention: Column) -> Column:

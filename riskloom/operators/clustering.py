@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from riskloom.functions.numeric import dot, unit
 from riskloom.functions.text import blank
 from riskloom.operators.risk import TEXT_FEATURES, context_chars, text_vectors
-from riskloom.session import cut_lineage, numbered
+from riskloom.session import broadcast_if_small, cut_lineage, numbered
 
 # Cluster counts, restarts and merge thresholds.
 MAX_CLUSTERS = 40
@@ -262,16 +262,20 @@ def relabel(merged: DataFrame) -> DataFrame:
 
 
 def global_ids(rows: DataFrame) -> DataFrame:
-    """Adds ``narrative_id``: from 1, entities in order of their lowest post id, then local id."""
-    groups = rows.groupBy("entity_id", "local_id").agg(F.min("post_id").alias("_first"))
-    first = groups.groupBy("entity_id").agg(F.min("_first").alias("_entity_first"))
+    """Adds ``narrative_id``: from 1, entities in order of their lowest post id, then local id.
+
+    ``rows`` are read twice, so they should be pinned.
+    """
+    groups = cut_lineage(rows.groupBy("entity_id", "local_id").agg(F.min("post_id").alias("_first")))
+    # a window holds one entity's clusters, never more than the largest k
+    first = F.min("_first").over(W.partitionBy("entity_id"))
     order = ["_entity_first", "entity_id", "local_id"]
-    ids = numbered(groups.join(first, "entity_id"), order, "narrative_id").select(
+    ids = numbered(groups.withColumn("_entity_first", first), order, "narrative_id").select(
         F.col("entity_id").alias("_eid"), F.col("local_id").alias("_lid"),
         F.col("narrative_id").cast("bigint").alias("narrative_id"),
     )
     same = (F.col("entity_id") == F.col("_eid")) & (F.col("local_id") == F.col("_lid"))
-    return rows.join(ids, same).drop("_eid", "_lid", "local_id")
+    return rows.join(broadcast_if_small(ids), same).drop("_eid", "_lid", "local_id")
 
 
 def single_narratives(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from riskloom.functions.numeric import day, display_label, engagement, num, severity_band
-from riskloom.functions.text import NULL_WORDS, blank, compact, squash, strip, without_quotes
+from riskloom.functions.text import NULL_WORDS, blank, compact, sql_string, squash, strip, without_quotes
 from riskloom.operators.scoring import (
     DEFAULT_LABEL, KEY, author_column, same_narrative, time_column,
 )
@@ -213,17 +213,15 @@ def classify_by_keywords(
         order = W.partitionBy(*KEY).orderBy("post_id")
         rows = rows.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_posts)
     lowered = rows.withColumn("_lower", F.lower(F.coalesce("text", F.lit(""))))
-    flags = {
-        (i, j): F.max(F.col("_lower").contains(w).cast("int")).alias(f"_k{i}_{j}")
+    flags = [
+        F.expr(f"max(int(contains(_lower, {sql_string(w)})))").alias(f"_k{i}_{j}")
         for i, words in enumerate(keywords.values())
         for j, w in enumerate(words)
-    }
-    present = lowered.groupBy(*KEY).agg(*flags.values())
+    ]
+    present = lowered.groupBy(*KEY).agg(*flags)
     scored = []
     for i, (label, words) in enumerate(keywords.items()):
-        total = F.lit(0)
-        for j in range(len(words)):
-            total = total + F.col(f"_k{i}_{j}")
+        total = F.expr(" + ".join(f"_k{i}_{j}" for j in range(len(words))) or "0")
         scored.append(F.struct((-total).alias("neg"), F.lit(i).alias("pos"), F.lit(label).alias("label")))
     best = F.array_min(F.array(*scored))
     return present.select(

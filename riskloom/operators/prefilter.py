@@ -16,7 +16,6 @@ NOT_NEGATIVE = "non_negative_vader_compound"
 COMPOUND_ALPHA = 15.0
 
 IN_ROW_LEXICON = 20_000
-LEXICON_BUCKETS = 4096
 
 HELPERS = ["_signal_text", "_word_count", "_sentiment_sum", "_vader_compound", "_drop_reason"]
 
@@ -36,12 +35,12 @@ def compound(total: Column) -> Column:
     return total / F.sqrt(total * total + F.lit(COMPOUND_ALPHA))
 
 
-def _valence_lookup(rows) -> Column:
+def _valence_lookup(rows, buckets: int) -> Column:
     """The lexicon as a literal array of small maps, addressed by the token's hash."""
-    buckets: list[dict[str, float]] = [{} for _ in range(LEXICON_BUCKETS)]
+    maps: list[dict[str, float]] = [{} for _ in range(buckets)]
     for row in rows:
-        buckets[row["slot"]][row["token"]] = row["valence"]
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,double>>")
+        maps[row["hash"] % buckets][row["token"]] = row["valence"]
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>")
 
 
 def sentiment(df: DataFrame, lexicon: DataFrame, text: str = "_signal_text") -> DataFrame:
@@ -51,13 +50,13 @@ def sentiment(df: DataFrame, lexicon: DataFrame, text: str = "_signal_text") ->
     larger one is joined to the exploded tokens; sums are then partial before they are exchanged.
     """
     words = lexicon.groupBy(F.lower("token").alias("token")).agg(F.max("valence").alias("valence"))
-    slotted = words.withColumn("slot", F.pmod(F.hash("token"), F.lit(LEXICON_BUCKETS)))
-    rows = bounded_rows(slotted, IN_ROW_LEXICON)
+    rows = bounded_rows(words.withColumn("hash", F.hash("token")), IN_ROW_LEXICON)
     if rows is not None:
-        lookup = _valence_lookup(rows)
+        buckets = max(1, len(rows))
+        lookup = _valence_lookup(rows, buckets)
 
         def valence(token):
-            bucket = F.get(lookup, F.pmod(F.hash(token), F.lit(LEXICON_BUCKETS)))
+            bucket = F.get(lookup, F.pmod(F.hash(token), F.lit(buckets)))
             return F.coalesce(F.try_element_at(bucket, token), F.lit(0.0))
 
         total = F.aggregate(tokens(text), F.lit(0.0), lambda s, t: s + valence(t))

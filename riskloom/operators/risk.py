@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from riskloom.functions.numeric import unit
 from riskloom.functions.text import (
     blank, is_generic_summary, mention_index, normalize, sentences, sentences_around, squash,
-    without_quotes,
+    without_quotes, words_present,
 )
 from riskloom.operators.prefilter import signal_text
 from riskloom.session import numbered
@@ -85,20 +85,13 @@ def batched(items: DataFrame, size: int, key: str = "id") -> DataFrame:
     )
 
 
-def keyword_hit(text, taxonomy: dict[str, list[str]]):
-    """True when the lowered text holds any keyword of the taxonomy."""
-    hit = F.lit(False)
-    for word in sorted({w for words in taxonomy.values() for w in words}):
-        hit = hit | text.contains(word)
-    return hit
-
-
 def keyword_decisions(items: DataFrame, taxonomy: dict[str, list[str]]) -> DataFrame:
     """Default producer: risk when the context holds a taxonomy keyword; summary = first sentence."""
     first = F.coalesce(F.get(sentences("context"), F.lit(0)), F.lit(""))
     summary = squash(without_quotes(first))
-    risk = keyword_hit(F.lower("context"), taxonomy) & ~is_generic_summary(summary)
-    return items.select(
+    words = sorted({w for listed in taxonomy.values() for w in listed})
+    risk = words_present("_lower", words) & ~is_generic_summary(summary)
+    return items.withColumn("_lower", F.lower("context")).select(
         "id", risk.alias("is_risk"), F.when(risk, summary).otherwise("").alias("summary")
     )
 

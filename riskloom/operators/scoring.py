@@ -9,7 +9,7 @@ from riskloom.functions.text import (
     blank, bounded_summary, compact, has_quotes, is_generic_title, occurrences, strip, strip_quotes,
 )
 from riskloom.operators.prefilter import signal_text
-from riskloom.session import first_existing, numbered
+from riskloom.session import broadcast_if_small, first_existing, numbered
 
 # Weights of the score, confidence limits, trend length, defaults.
 VOLUME_WEIGHT = 5.0
@@ -131,15 +131,12 @@ def confidence_label(mean_confidence: Column, volume: Column) -> Column:
     )
 
 
-def _hit_sums(text: Column, taxonomy: dict[str, list[str]]) -> list[Column]:
+def _hit_sums(column: str, taxonomy: dict[str, list[str]]) -> list[Column]:
     """Keyword occurrences per label, one sum each, in taxonomy order."""
-    sums = []
-    for i, words in enumerate(taxonomy.values()):
-        total = F.lit(0).cast("long")
-        for word in words:
-            total = total + occurrences(text, word)
-        sums.append(F.sum(total).alias(f"_hits_{i}"))
-    return sums
+    return [
+        F.sum(occurrences(column, words)).alias(f"_hits_{i}")
+        for i, words in enumerate(taxonomy.values())
+    ]
 
 
 def _lowered(rows: DataFrame) -> DataFrame:
@@ -174,7 +171,7 @@ def taxonomy_hits(
     """
     labels = list(taxonomy)
     sums = _lowered(rows).groupBy(*KEY).agg(
-        F.count(F.lit(1)).alias("_n"), *_hit_sums(F.col("_lower"), taxonomy)
+        F.count(F.lit(1)).alias("_n"), *_hit_sums("_lower", taxonomy)
     )
     scale = F.log1p(F.greatest(F.lit(3), F.col("_n") * 2))
     names = F.array(*[F.lit(label) for label in labels])
@@ -361,7 +358,7 @@ def score(
     """
     df = (
         _lowered(rows).groupBy(*KEY)
-        .agg(*_base_sums(rows), *_hit_sums(F.col("_lower"), taxonomy), _seed_values(rows))
+        .agg(*_base_sums(rows), *_hit_sums("_lower", taxonomy), _seed_values(rows))
         .select("*", "_seed.*").drop("_seed")
     )
     df = same_narrative(df, author_influence(rows, authors))
@@ -402,13 +399,16 @@ def ranked(narratives: DataFrame) -> DataFrame:
 
 
 def attach_metadata(rows: DataFrame, narratives: DataFrame) -> DataFrame:
-    """Adds ``narrative_title`` and ``narrative_summary`` to post rows; a miss gives ''."""
+    """Adds ``narrative_title`` and ``narrative_summary`` to post rows; a miss gives ''.
+
+    ``narratives`` are read twice, so they should be pinned.
+    """
     meta = narratives.select(
         F.col("narrative_id"), F.col("title").alias("narrative_title"),
         F.col("summary").alias("narrative_summary"),
     )
     kept = rows.drop("narrative_title", "narrative_summary")
-    return kept.join(meta, "narrative_id", "left").withColumns(
+    return kept.join(broadcast_if_small(meta), "narrative_id", "left").withColumns(
         {c: F.coalesce(c, F.lit("")) for c in ["narrative_title", "narrative_summary"]}
     )
 

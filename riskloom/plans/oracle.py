@@ -539,7 +539,7 @@ BODIES: dict[str, str] = {
     "match_confidence_histogram": f"""SELECT b.bin, round((b.bin - 1) / 20.0, 4) AS low, round(b.bin / 20.0, 4) AS high, coalesce(n, 0) AS frequency
         FROM (SELECT unnest(range(1, 21)) AS bin) b LEFT JOIN ({_bins('SELECT resolution_confidence AS c FROM expanded_kept')}) h USING (bin)""",
     "event_value_histogram": f"""SELECT b.bin, coalesce(n, 0) AS frequency FROM (SELECT unnest(range(1, 21)) AS bin) b
-        LEFT JOIN ({_bins('SELECT CASE WHEN event_id % 13 <> 0 THEN round(value / 40, 2) END AS c FROM events')}) h USING (bin)""",
+        LEFT JOIN ({_bins('SELECT CASE WHEN event_id % 13 <> 0 THEN value / 40 END AS c FROM events')}) h USING (bin)""",
     "median_match_confidence": "SELECT median(resolution_confidence) AS median_confidence FROM expanded_kept",
     "daily_total_risk": """SELECT date, round(sum(score * posts), 4) AS total_risk FROM daily_grouped JOIN narratives_grouped USING (entity_id, narrative_id) GROUP BY ALL""",
     "daily_risk_trend_line": """SELECT round(regr_slope(r, d), 4) AS slope, round(regr_intercept(r, d), 1) AS intercept FROM (
@@ -548,9 +548,8 @@ BODIES: dict[str, str] = {
         risk_score_confidence AS confidence, coalesce(x.risk_delta, 0.0) AS risk_delta, score
         FROM ({_RANKED}) n LEFT JOIN ({_DRIVERS} WHERE abs(points) >= 15 GROUP BY ALL) d USING (narrative_id)
         LEFT JOIN delta_grouped x USING (narrative_id)
-        LEFT JOIN (SELECT narrative_id, min_by(e, -c * 1000 + p) AS name FROM (
-            SELECT narrative_id, entity AS e, count(*) AS c, row_number() OVER (PARTITION BY narrative_id ORDER BY entity) AS p FROM grouped GROUP BY ALL) GROUP BY ALL) m
-        USING (narrative_id)""",
+        LEFT JOIN (SELECT narrative_id, e AS name FROM (SELECT narrative_id, entity AS e, count(*) AS c FROM grouped GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY narrative_id ORDER BY c DESC, e) = 1) m USING (narrative_id)""",
     "majority_entities": """SELECT narrative_id, entity AS majority_entity FROM (SELECT narrative_id, entity, count(*) AS n FROM spanning GROUP BY ALL)
         QUALIFY row_number() OVER (PARTITION BY narrative_id ORDER BY n DESC, entity) = 1""",
     "risk_driver_lists": f"""SELECT n.narrative_id, coalesce(drivers, '') AS drivers FROM narratives_grouped n

@@ -60,8 +60,8 @@ def expanded(spark, sf):
 
 
 def clustered(spark, sf):
-    """Expanded rows with one narrative per entity, pinned because several branches read it."""
-    return cut_lineage(C.single_narratives(expanded(spark, sf)))
+    """Expanded rows with one narrative per entity, over the pinned expansion."""
+    return C.single_narratives(cut_lineage(expanded(spark, sf)))
 
 
 def narratives_of(rows, spark, sf):
@@ -866,7 +866,7 @@ def ranked_narratives(spark, sf):
 @query
 def attached_metadata(spark, sf):
     rows = clustered(spark, sf)
-    scored = narratives_of(rows, spark, sf).filter("narrative_id % 2 = 1")
+    scored = cut_lineage(narratives_of(rows, spark, sf).filter("narrative_id % 2 = 1"))
     return S.attach_metadata(rows, scored).select("post_id", "entity_id", "narrative_title", "narrative_summary")
 
 
@@ -952,7 +952,7 @@ def match_confidence_histogram(spark, sf):
 def event_value_histogram(spark, sf):
     """The histogram over values that fall into every bin and outside the range."""
     rows = V.table(spark, sf, "events").select(
-        F.when(F.col("event_id") % 13 != 0, F.round(F.col("value") / 40, 2)).alias("resolution_confidence")
+        F.when(F.col("event_id") % 13 != 0, F.col("value") / 40).alias("resolution_confidence")
     )
     return D.confidence_histogram(rows).select(F.col("bin").cast("bigint").alias("bin"), "frequency")
 

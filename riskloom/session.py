@@ -52,10 +52,13 @@ def lookup(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -
 def spread(df: DataFrame) -> DataFrame:
     """Gives every core a share of an input that was read in fewer splits than there are cores.
 
-    Inputs of more splits, which is every large one, are left as they were read.
+    Inputs of more splits, which is every large one, are left as they were read. The filter is always
+    true; it keeps other filters above the exchange, which below it would run on the few splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores).filter(F.monotonically_increasing_id() >= 0)
 
 
 def bounded_rows(df: DataFrame, limit: int):
@@ -64,6 +67,11 @@ def bounded_rows(df: DataFrame, limit: int):
     return rows if len(rows) <= limit else None
 
 
+def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A broadcast hint for a table that is counted and found small; larger ones are left alone."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def first_existing(df: DataFrame, names: Sequence[str]) -> str | None:
     """First of ``names`` that ``df`` has; resolved once, when the plan is built."""
     return next((n for n in names if n in df.columns), None)
