@@ -30,6 +30,7 @@ LARGE_CLUSTER, LARGE_MARGIN = 20, 0.03
 
 ROUNDS = 20
 BLOCK_VALUES = 4_000_000
+BROADCAST_VALUES = 8_000_000
 
 
 def cluster_counts(df: DataFrame, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
@@ -108,14 +109,30 @@ def _labels(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _with_centers(points: DataFrame, centers: DataFrame):
-    """Points and centers co-grouped by block; every block gets its entity's centers."""
+def _per_block(points: DataFrame, centers: DataFrame, work, schema: str) -> DataFrame:
+    """``work(block, centers)`` over blocks of points with the centers of their entity.
+
+    Centers of checked size travel to the tasks and the points stay where they are. Larger ones are
+    co-grouped with the points, entity by entity and block by block.
+    """
+    named = centers.select("entity_id", "trial", "cluster", F.col("vec").alias("center"))
+    values = named.agg(F.coalesce(F.sum(F.size("center")), F.lit(0))).first()[0]
+    if values <= BROADCAST_VALUES:
+        table = {entity: group for entity, group in named.toPandas().groupby("entity_id")}
+        shared = points.sparkSession.sparkContext.broadcast(table)
+
+        def over_batches(batches):
+            for batch in batches:
+                for entity, block in batch.groupby("entity_id"):
+                    yield work(block, shared.value[entity])
+
+        return points.mapInPandas(over_batches, schema)
     blocks = points.select(F.col("entity_id").alias("_entity"), F.col("block").alias("_block")).distinct()
-    renamed = centers.select(
-        F.col("entity_id").alias("_of"), "trial", "cluster", F.col("vec").alias("center")
+    spread = blocks.join(named, F.col("_entity") == F.col("entity_id")).drop("entity_id")
+    return (
+        points.groupBy("entity_id", "block").cogroup(spread.groupBy("_entity", "_block"))
+        .applyInPandas(work, schema)
     )
-    spread = blocks.join(renamed, F.col("_entity") == F.col("_of")).drop("_of")
-    return points.groupBy("entity_id", "block").cogroup(spread.groupBy("_entity", "_block"))
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -124,8 +141,8 @@ def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
     ``vec`` is the mean of the points nearest to the old center; a center nothing is nearest to
     disappears.
     """
-    sums = _with_centers(points, centers).applyInPandas(
-        _partial_sums,
+    sums = _per_block(
+        points, centers, _partial_sums,
         "entity_id string, trial int, cluster int, total array<double>, n double, cost double",
     )
     added = sums.groupBy("entity_id", "trial", "cluster").agg(
@@ -152,7 +169,9 @@ def grouped_kmeans(
     max_clusters: int = MAX_CLUSTERS,
 ) -> tuple[DataFrame, DataFrame]:
     """(points, centers): the best trial's centers per entity with ``first_cost`` and ``cost``."""
-    points = cut_lineage(distinct_points(df, counts).repartition("entity_id", "block"))
+    points = cut_lineage(
+        distinct_points(df, counts).repartition("entity_id", "block").sortWithinPartitions("entity_id")
+    )
     centers = cut_lineage(initial_centroids(points, counts, seed, trials, max_clusters))
     first = None
     for _ in range(rounds):
@@ -296,8 +315,10 @@ def cluster_vectors(
     counts = cut_lineage(cluster_counts(rows, max_clusters))
     points, centers = grouped_kmeans(rows, counts, trials=trials, max_clusters=max_clusters)
     labelled = cut_lineage(
-        _with_centers(points, centers)
-        .applyInPandas(_labels, "entity_id string, vec array<double>, weight bigint, cluster int")
+        _per_block(
+            points, centers, _labels,
+            "entity_id string, vec array<double>, weight bigint, cluster int",
+        )
     )
     final = relabel(merge_clusters(centroids(labelled), threshold))
     by_point = labelled.join(final, ["entity_id", "cluster"]).select("entity_id", "vec", "local_id")
@@ -317,8 +338,10 @@ def cluster(
         rows = rows.withColumn("entity_id", F.col("entity") if "entity" in rows.columns else F.lit(""))
     rows = rows.withColumn("entity_id", F.coalesce("entity_id", F.lit("")))
     if "risk_embedding" not in rows.columns:
-        rows = rows.withColumn("risk_embedding", F.lit(None).cast("array<double>"))
-    rows = cut_lineage(rows.join(vector_mode(rows), "entity_id"))
+        rows = cut_lineage(rows.withColumn("supplied", F.lit(False)))
+    else:
+        rows = cut_lineage(rows)
+        rows = rows.join(broadcast_if_small(vector_mode(rows)), "entity_id")
     summary = F.col("risk_summary") if "risk_summary" in rows.columns else F.lit("")
     supplied = rows.filter("supplied").withColumn("cluster_context", summary)
     parts = []
@@ -337,7 +360,7 @@ def cluster(
 
 def _cluster_contexts(rows: DataFrame, max_clusters: int, trials: int) -> DataFrame:
     """Text mode: contexts around the mention become vectors of the default producer."""
-    rows = context_chars(rows)
+    rows = cut_lineage(context_chars(rows))
     readable = rows.filter(~blank("cluster_context"))
     if readable.isEmpty():
         return rows.withColumn("local_id", F.lit(0))
@@ -345,4 +368,6 @@ def _cluster_contexts(rows: DataFrame, max_clusters: int, trials: int) -> DataFr
     vectors = rows.join(text_vectors(readable, "cluster_context"), "cluster_context", "left").withColumn(
         "risk_embedding", F.coalesce("risk_embedding", zero)
     )
-    return cluster_vectors(vectors, TEXT_THRESHOLD, max_clusters, trials).drop("risk_embedding")
+    return cluster_vectors(cut_lineage(vectors), TEXT_THRESHOLD, max_clusters, trials).drop(
+        "risk_embedding"
+    )

@@ -66,6 +66,8 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
         return C.grouped_kmeans(df, counts, trials=2)[1].first()["cost"]
 
     whole = cost()
+    monkeypatch.setattr(C, "BROADCAST_VALUES", 0)
+    assert cost() == pytest.approx(whole)
     monkeypatch.setattr(C, "BLOCK_VALUES", 20)
     assert cost() == pytest.approx(whole)
 
