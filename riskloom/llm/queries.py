@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import exact_dedup, minhash, mixing, sharding, token_pack, url_filter
+from riskloom.llm import (
+    decontaminate, exact_dedup, language_id, minhash, mixing, sharding, token_pack, toxicity, url_filter,
+)
 from riskloom.llm.common import table
 
 
@@ -14,6 +16,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_digest(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = sharding.even_tree(16)
     return sharding.sharded(table(spark, sf_dir, "documents"), tree, sharding.grown(tree, 16))
@@ -36,7 +50,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op5_sharding, op6_mixing, op7_token_pack, op9_exact_dedup, op10_minhash)}
+    found = (
+        op1_url_filter, op2_language_id, op3_decontaminate, op4_toxicity, op5_sharding, op6_mixing, op7_token_pack,
+        op9_exact_dedup, op10_minhash,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP6_SQL = r"""
