@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import (
-    decontaminate, exact_dedup, language_id, minhash, mixing, sharding, token_pack, toxicity, url_filter,
+    decontaminate, exact_dedup, language_id, minhash, mixing, sharding, suffix_dedup, token_pack, toxicity,
+    url_filter,
 )
 from riskloom.llm.common import table
 
@@ -41,6 +42,10 @@ def op7_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filter, op2_language_id, op3_decontaminate, op4_toxicity, op5_sharding, op6_mixing, op7_token_pack,
-        op9_exact_dedup, op10_minhash,
+        op8_suffix_dedup, op9_exact_dedup, op10_minhash,
     )
     return {f.__name__: f for f in found}
 
