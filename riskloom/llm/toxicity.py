@@ -3,7 +3,7 @@
 Labels are given per document, so tokens are labelled first: word and word-opening features that occur almost only in
 toxic documents are picked greedily until they explain the toxic documents; tokens that carry one, in toxic documents,
 are the toxic tokens. The field then learns emissions from words, openings, endings and neighbours, and transitions.
-Forward-backward marginals give token probabilities; their noisy-or over the strongest tokens is the document score.
+Forward-backward marginals give token probabilities; a logistic of the strongest ones is the document score.
 """
 
 from __future__ import annotations
@@ -29,10 +29,12 @@ SMALL = 0.02
 THRESHOLD = 0.3
 #: Emission of a token without a known feature: clean until shown otherwise.
 BIAS = -4.0
-#: Explained toxic documents that one clean document with the same feature outweighs.
-COST = 10
+#: Share of the toxic documents that an equal share of the clean ones with the same feature outweighs.
+COST = 3
+#: Characters of a word's opening that are features; the shortest is too common to label tokens by.
+OPENINGS = (3, 4, 5, 6, 7, 8)
 #: Strongest tokens that make up the document score.
-STRONGEST = 3
+STRONGEST = 4
 MEMO_TOKENS = 400_000
 
 TOKEN = re.compile(r"\w+")
@@ -42,7 +44,7 @@ def _names(word: str) -> list[str]:
     """Emission features of a word that do not depend on its neighbours."""
     low = word.lower()
     found = ["w=" + low]
-    found += [f"p{n}=" + low[:n] for n in (3, 4, 5, 6) if len(low) > n]
+    found += [f"p{n}=" + low[:n] for n in OPENINGS if len(low) > n]
     if len(low) > 3:
         found.append("s=" + low[-3:])
     found.append("d" if any(c.isdigit() for c in low) else "u" if word.isupper() else "c" if word[:1].isupper() else "l")
@@ -58,6 +60,7 @@ class Field:
 
     weights: dict[str, float] = field(default_factory=dict)
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+    head: np.ndarray = field(default_factory=lambda: np.append(np.zeros(STRONGEST), -5.0))
 
     def parts(self, word: str) -> tuple[float, float, float]:
         """What a word adds to its own emission, to the next word's and to the one's before."""
@@ -104,33 +107,33 @@ def token_markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
     """Words and openings that explain the toxic documents, picked greedily among those rare in clean ones."""
     def features(words):
         low = {w.lower() for w in words}
-        return {"w=" + w for w in low if len(w) > 1} | {f"p{n}=" + w[:n] for w in low for n in (4, 5, 6) if len(w) > n}
+        return {"w=" + w for w in low if len(w) > 1} | {f"p{n}=" + w[:n] for w in low for n in OPENINGS[1:] if len(w) > n}
 
     bags = [features(d) for d in toxic]
     in_toxic, in_clean = Counter(f for b in bags for f in b), Counter(f for d in clean for f in features(d))
-    least = max(3, round(0.004 * len(bags)))
+    least = max(4, round(0.004 * len(bags)))
     rare = {
         f for f, c in in_toxic.items()
-        if c >= least and (in_clean[f] + 0.5) / (len(clean) + 1) <= 0.05 * c / len(bags)
+        if c >= least and (in_clean[f] + 0.5) / (len(clean) + 1) <= 0.1 * c / len(bags)
     }
     bags = [b & rare for b in bags]
-    chosen, open_bags = set(), bags
+    chosen, open_bags, cost = set(), bags, COST * len(bags) / len(clean)
     while open_bags:
         gain = Counter(f for b in open_bags for f in b)
         if not gain:
             break
-        best = min(gain, key=lambda f: (COST * in_clean[f] - gain[f], len(f), f))  # fewest clean documents first
-        if gain[best] - COST * in_clean[best] < least:
+        best = min(gain, key=lambda f: (cost * in_clean[f] - gain[f], len(f), f))  # few clean documents count too
+        if gain[best] - cost * in_clean[best] < least:
             break
         chosen.add(best)
         open_bags = [b for b in open_bags if best not in b]
-    frequent = 0.05 * len(bags)
+    frequent = max(5, 0.05 * len(bags))
     return chosen | {f for f in rare if in_toxic[f] >= frequent and f.startswith("w=") and not in_clean[f]}
 
 
 def _marked(word: str, markers: set[str]) -> bool:
     low = word.lower()
-    return "w=" + low in markers or any(f"p{n}=" + low[:n] in markers for n in (4, 5, 6) if len(low) > n)
+    return "w=" + low in markers or any(f"p{n}=" + low[:n] in markers for n in OPENINGS[1:] if len(low) > n)
 
 
 def _segments(words: list) -> list:
@@ -224,7 +227,11 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 11) ->
     state["weights"] = np.append(state["weights"], np.zeros(added))
     state["squares"] = np.append(state["squares"], np.full(added, 1e-8))
     _ascend(data, state, rng, epochs)
-    return model()
+    done = model()
+    tagger = Tagger(done)
+    found = [p for i in range(0, len(docs), 200) for p in tagger.token_probabilities(docs[i : i + 200])]
+    done.head = _fit_head(found, labels)
+    return done
 
 
 class Tagger:
@@ -275,12 +282,28 @@ class Tagger:
         return np.split(p[segment, place], ends[:-1])
 
 
-def document_score(p: np.ndarray) -> float:
-    """Noisy-or of the strongest tokens; 0 without tokens."""
-    if not len(p):
-        return 0.0
-    top = np.partition(p, -STRONGEST)[-STRONGEST:] if len(p) > STRONGEST else p
-    return float(1 - np.prod(1 - top))
+def _strongest(p: np.ndarray) -> np.ndarray:
+    """Log odds of the strongest tokens in falling order, and a one; missing tokens are clean."""
+    top = np.zeros(STRONGEST)
+    some = np.sort(np.partition(p, -STRONGEST)[-STRONGEST:] if len(p) > STRONGEST else p)[::-1]
+    top[: len(some)] = some
+    return np.append(np.clip(np.log((top + 1e-4) / (1 - top + 1e-4)), -7, 7), 1.0)
+
+
+def document_score(p: np.ndarray, head: np.ndarray) -> float:
+    """Logistic score of the strongest marginals; 0 without tokens."""
+    return float(1 / (1 + np.exp(-_strongest(p) @ head))) if len(p) else 0.0
+
+
+def _fit_head(marginal: list[np.ndarray], labels: list[int]) -> np.ndarray:
+    """Logistic regression by Newton steps, with a little shrinkage."""
+    x, y = np.array([_strongest(p) for p in marginal]), np.array(labels, float)
+    head = np.zeros(STRONGEST + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ head, -30, 30)))
+        grad = x.T @ (y - p) - 0.1 * head
+        head += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(head)), grad)
+    return head
 
 
 def spans(text: str, p: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]:
@@ -329,7 +352,7 @@ def _tagger(shared) -> Tagger:
 
 def _share(docs: DataFrame, model: Field):
     """The training bounds limit the number of weights."""
-    return docs.sparkSession.sparkContext.broadcast((model.weights, model.moves))
+    return docs.sparkSession.sparkContext.broadcast((model.weights, model.moves, model.head))
 
 
 def tag(docs: DataFrame, model: Field) -> DataFrame:
@@ -350,7 +373,7 @@ def tag(docs: DataFrame, model: Field) -> DataFrame:
                     [{"start": a, "end": b} for a, b in spans(t, q)] if len(q) and q.max() >= 0.5 else [] for t, q in zip(texts, p)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([document_score(q) for q in p], pa.float64()), pa.array(found, kind)],
+                    [batch.column(0), pa.array([document_score(q, tagger.model.head) for q in p], pa.float64()), pa.array(found, kind)],
                     ["doc_id", "score", "spans"],
                 )
 
@@ -366,7 +389,7 @@ def reject(docs: DataFrame, model: Field, threshold: float = THRESHOLD) -> DataF
         for big in batches:
             for batch in slices(big, at):
                 p = tagger.probabilities([t or "" for t in batch.column(at).to_pylist()])
-                yield batch.filter(pa.array([document_score(q) < threshold for q in p], pa.bool_()))
+                yield batch.filter(pa.array([document_score(q, tagger.model.head) < threshold for q in p], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
