@@ -28,7 +28,8 @@ SEED = 42
 SUPPLIED_THRESHOLD, TEXT_THRESHOLD = 0.95, 0.90
 LARGE_CLUSTER, LARGE_MARGIN = 20, 0.03
 
-ROUNDS = 20
+#: Rounds after which k-means gives up with an error; it stops when no center moves.
+ROUNDS = 300
 BLOCK_VALUES = 4_000_000
 BROADCAST_VALUES = 8_000_000
 
@@ -182,6 +183,8 @@ def grouped_kmeans(
         centers = moved
         if change < 1e-18:
             break
+    else:
+        raise RuntimeError(f"centers still move after {rounds} rounds; allow more")
     costs = centers.groupBy("entity_id", "trial").agg(F.sum("cost").alias("cost"))
     best = (
         costs.join(first, ["entity_id", "trial"])

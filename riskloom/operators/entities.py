@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.text import blank, let, normalize, strip
 from riskloom.operators.fuzzy import fuzzy_matches, fuzzy_terms
-from riskloom.session import bounded_rows
+from riskloom.session import bounded_rows, row_keyed
 
 # Confidence and method of each tier.
 EXACT, SEED_ALIAS, EXTRA_ALIAS = 1, 2, 3
@@ -116,30 +116,31 @@ def _hits_by_join(posts: DataFrame, dictionary: DataFrame, terms: int) -> DataFr
     hit = F.struct(
         "entity_pos", "tier", "alias_pos", "entity_id", "canonical_name", "term", "term_norm"
     )
+    posts = row_keyed(posts, "hits")  # ids may repeat or be null
     if terms <= BROADCAST_TERMS:
         found = (
             posts.select(
-                "post_id", "_norm", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor")
+                "_row", "_norm", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor")
             )
             .join(F.broadcast(anchored), "_anchor")
             .filter(F.col("_norm").contains(F.col("term_norm")))
-            .select("post_id", hit.alias("_hit"))
+            .select("_row", hit.alias("_hit"))
         )
     else:
         found = (
-            posts.select("post_id", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor"))
+            posts.select("_row", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor"))
             .join(anchored, "_anchor")
-            .select("post_id", hit.alias("_hit"))
-            .join(posts.select("post_id", "_norm"), "post_id")
+            .select("_row", hit.alias("_hit"))
+            .join(posts.select("_row", "_norm"), "_row")
             .filter(F.col("_norm").contains(F.col("_hit.term_norm")))
-            .select("post_id", "_hit")
+            .select("_row", "_hit")
         )
     # a post's hits are bounded by the terms its own text can hold
     order = F.struct("_hit.entity_pos", "_hit.entity_id", "_hit.tier", "_hit.alias_pos", "_hit")
-    per_post = found.groupBy("post_id").agg(
+    per_post = found.groupBy("_row").agg(
         F.transform(F.array_sort(F.collect_list(order)), lambda x: x.getField("_hit")).alias("_hits")
     )
-    return posts.join(per_post, "post_id", "left").withColumn(
+    return posts.join(per_post, "_row", "left").drop("_row").withColumn(
         "_hits", F.coalesce("_hits", F.array().cast(f"array<{HIT}>"))
     )
 
@@ -218,17 +219,22 @@ def resolve(
     fuzzy: bool = True,
     threshold: float = 0.9,
 ) -> DataFrame:
-    """Every post with its matches. The fuzzy tier only sees posts that nothing else matched."""
+    """Every post with its matches. The fuzzy tier only sees posts that nothing else matched.
+
+    Rows are matched one by one: repeated or null post ids make no difference. Posts with an exact or alias match
+    stay where they are; only the others are keyed and joined with their near terms.
+    """
     hits = with_hits(posts, alias_dict(entities, extra))
-    tiers = exact_matches(hits)
     if not fuzzy:
-        return _collect(tiers)
-    open_posts = hits.filter(F.size("_hits") == 0).select("post_id", "_norm")
-    near = fuzzy_matches(open_posts, fuzzy_terms(search_lists(entities, extra)), threshold)
-    joined = tiers.join(near, "post_id", "left").withColumn(
+        return _collect(exact_matches(hits))
+    found = exact_matches(hits.filter(F.size("_hits") > 0))
+    rest = row_keyed(exact_matches(hits.filter(F.size("_hits") == 0)), "unmatched")
+    terms = fuzzy_terms(search_lists(entities, extra))
+    near = fuzzy_matches(rest.select(F.col("_row").alias("post_id"), "_norm"), terms, threshold)
+    joined = rest.join(near.withColumnRenamed("post_id", "_row"), "_row", "left").withColumn(
         "_matches", F.coalesce("_near", "_matches")
     )
-    return _collect(joined)
+    return _collect(found).unionByName(_collect(joined))
 
 
 def expand(resolved: DataFrame, entities: DataFrame | None = None) -> DataFrame:

@@ -7,15 +7,18 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.text import WORD_CLASS, blank, word_count
-from riskloom.session import bounded_rows
+from riskloom.session import bounded_rows, row_keyed
 
 # Limits and reasons.
 MAX_WORDS = 2000
 TOO_LONG = "too_long_over_2000_words"
 NOT_NEGATIVE = "non_negative_vader_compound"
 COMPOUND_ALPHA = 15.0
+COMPOUND_DECIMALS = 4
 
 IN_ROW_LEXICON = 20_000
+#: Decimals of a valence; sums are exact in them, so the order of addition does not matter.
+VALENCE = "decimal(18,6)"
 
 HELPERS = ["_signal_text", "_word_count", "_sentiment_sum", "_vader_compound", "_drop_reason"]
 
@@ -32,7 +35,9 @@ def tokens(c) -> Column:
 
 
 def compound(total: Column) -> Column:
-    return total / F.sqrt(total * total + F.lit(COMPOUND_ALPHA))
+    value = total.cast("double")
+    # adding zero turns a rounded -0.0 into 0.0
+    return F.round(value / F.sqrt(value * value + F.lit(COMPOUND_ALPHA)), COMPOUND_DECIMALS) + F.lit(0.0)
 
 
 def _valence_lookup(rows, buckets: int) -> Column:
@@ -47,7 +52,8 @@ def sentiment(df: DataFrame, lexicon: DataFrame, text: str = "_signal_text") ->
     """Adds ``_vader_compound``: the squashed sum of the valences of the text's tokens.
 
     A lexicon of checked size is looked up inside each row, so that posts are not shuffled. A
-    larger one is joined to the exploded tokens; sums are then partial before they are exchanged.
+    larger one is joined to the exploded tokens of keyed rows; sums are then partial before they are exchanged. Both
+    ways add decimals, row by row: repeated or null post ids make no difference.
     """
     words = lexicon.groupBy(F.lower("token").alias("token")).agg(F.max("valence").alias("valence"))
     rows = bounded_rows(words.withColumn("hash", F.hash("token")), IN_ROW_LEXICON)
@@ -57,18 +63,19 @@ def sentiment(df: DataFrame, lexicon: DataFrame, text: str = "_signal_text") ->
 
         def valence(token):
             bucket = F.get(lookup, F.pmod(F.hash(token), F.lit(buckets)))
-            return F.coalesce(F.try_element_at(bucket, token), F.lit(0.0))
+            return F.coalesce(F.try_element_at(bucket, token), F.lit(0.0)).cast(VALENCE)
 
-        total = F.aggregate(tokens(text), F.lit(0.0), lambda s, t: s + valence(t))
+        total = F.aggregate(tokens(text), F.lit(0).cast(VALENCE), lambda s, t: (s + valence(t)).cast(VALENCE))
         scored = df.withColumn("_sentiment_sum", total)
     else:
+        keyed = row_keyed(df, "sentiment")
         sums = (
-            df.select("post_id", F.explode(tokens(text)).alias("token"))
+            keyed.select("_row", F.explode(tokens(text)).alias("token"))
             .join(words, "token")
-            .groupBy("post_id").agg(F.sum("valence").alias("_sentiment_sum"))
+            .groupBy("_row").agg(F.sum(F.col("valence").cast(VALENCE)).cast(VALENCE).alias("_sentiment_sum"))
         )
-        scored = df.join(sums, "post_id", "left").withColumn(
-            "_sentiment_sum", F.coalesce("_sentiment_sum", F.lit(0.0))
+        scored = keyed.join(sums, "_row", "left").drop("_row").withColumn(
+            "_sentiment_sum", F.coalesce("_sentiment_sum", F.lit(0).cast(VALENCE))
         )
     return scored.withColumn("_vader_compound", compound(F.col("_sentiment_sum")))
 
@@ -81,8 +88,7 @@ def prefilter(posts: DataFrame, lexicon: DataFrame, max_words: int = MAX_WORDS)
     return sentiment(counted, lexicon).withColumn(
         "_drop_reason",
         F.when(F.col("_word_count") > max_words, TOO_LONG).when(
-            # the compound has the sign of the sum, which is cheaper to filter on
-            F.col("_sentiment_sum") >= 0.0, NOT_NEGATIVE
+            F.col("_vader_compound") >= 0.0, NOT_NEGATIVE
         ),
     )
 

@@ -81,7 +81,7 @@ CTES: dict[str, str] = {
         ) JOIN lexicon USING (token) GROUP BY post_id""",
     "evaluated": f"""
         SELECT p.*, CAST(len(regexp_extract_all(text, {WORDS})) AS BIGINT) AS words, coalesce(total, 0.0) AS s,
-               s / sqrt(s * s + 15.0) AS compound,
+               round(s / sqrt(s * s + 15.0), 4) + 0.0 AS compound,
                CASE WHEN words > 2000 THEN 'too_long_over_2000_words'
                     WHEN compound >= 0 THEN 'non_negative_vader_compound' END AS reason
         FROM posts p LEFT JOIN sums USING (post_id)""",
@@ -417,10 +417,10 @@ BODIES: dict[str, str] = {
         UNION ALL SELECT entity_id, 2, 0, seg || ' ' || k FROM named
         UNION ALL SELECT entity_id, 2, 1, 'c' || k FROM named
         UNION ALL SELECT entity_id, 2, 2, 'C-' || k FROM named
-        UNION ALL SELECT entity_id, 3, 0, '$C' || k FROM named WHERE c_acctbal > 5000)""",
+        UNION ALL SELECT entity_id, 3, 0, '$C' || k FROM named)""",
     "alias_search_lists": """SELECT entity_id, string_agg(term, '|' ORDER BY term) AS search_list FROM (
         SELECT entity_id, seg || ' ' || k AS term FROM named UNION SELECT entity_id, 'c' || k FROM named
-        UNION SELECT entity_id, 'C-' || k FROM named UNION SELECT entity_id, '$C' || k FROM named WHERE c_acctbal > 5000) GROUP BY ALL""",
+        UNION SELECT entity_id, 'C-' || k FROM named UNION SELECT entity_id, '$C' || k FROM named) GROUP BY ALL""",
     "large_dictionary_tier": f"SELECT post_id, {_MATCH} FROM matches_posts",
     "entity_mentions": "SELECT post_id, spot AS position, entity_id, mention_text, confidence FROM matches_posts",
     "resolved_posts": "SELECT post_id, matches, resolution_method, entity, resolution_confidence FROM resolved_posts",

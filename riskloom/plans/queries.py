@@ -671,7 +671,7 @@ def clustered_vectors(spark, sf):
 @query
 def clustered_texts(spark, sf):
     """Expanded rows clustered on the context around their mention (text mode)."""
-    out = C.cluster(expanded(spark, sf), trials=3)
+    out = C.cluster(expanded(spark, sf))
     return out.groupBy("entity_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -889,7 +889,7 @@ def full_build(spark, sf):
     """The whole build with every default producer, fuzzy tier and clustering included."""
     made = build(
         V.posts(spark, sf), V.authors(spark, sf), V.entities(spark), V.extra_aliases(spark),
-        V.lexicon(spark), TAXONOMY, WEIGHTS, trials=3,
+        V.lexicon(spark), TAXONOMY, WEIGHTS,
     )
     return S.ranked(made.narratives).drop("trend", "score_components")
 

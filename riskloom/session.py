@@ -49,18 +49,34 @@ def lookup(spark: SparkSession, columns: Sequence[str], rows: Sequence[tuple]) -
     return spark.createDataFrame(pa.table({c: list(v) for c, v in zip(columns, values)}))
 
 
+#: Inputs of at least so many splits are never redistributed.
+FEW_SPLITS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Gives every core a share of an input that was read in fewer splits than there are cores.
+    """Gives every core a share of a small input that was read in a handful of splits.
 
-    Inputs of more splits, which is every large one, are left as they were read. The filter is always
-    true; it keeps other filters above the exchange, which below it would run on the few splits.
+    Only inputs of fewer than ``FEW_SPLITS`` splits, at most a gigabyte or so by default, are dealt out; larger ones
+    are left as they were read, whatever the number of cores. The filter is always true; it keeps other filters above
+    the exchange, which below it would run on the few splits.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= min(cores, FEW_SPLITS):
         return df
     return df.repartition(cores).filter(F.monotonically_increasing_id() >= 0)
 
 
+def row_keyed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a unique ``_row``, written to the shared folder so that the numbers never change.
+
+    Lets derived values find the way back to their row where ids may repeat or be null.
+    """
+    path = scratch_path(df.sparkSession, name)
+    keyed = df.withColumn("_row", F.monotonically_increasing_id())
+    keyed.write.parquet(path)
+    return df.sparkSession.read.schema(keyed.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, limit: int):
     """The rows of ``df`` if there are at most ``limit`` of them, else ``None``."""
     rows = df.limit(limit + 1).collect()

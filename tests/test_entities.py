@@ -42,6 +42,20 @@ def test_tiers_order_and_mentions(spark):
     assert out["3"]["resolution_confidence"] == 0.0
 
 
+@pytest.mark.parametrize("limit", [256, 0])
+def test_posts_that_share_an_id_are_resolved_apart(spark, monkeypatch, limit):
+    monkeypatch.setattr(E, "with_hits", lambda p, d, f=E.with_hits: f(p, d, limit))
+    known = entities(spark, [("a1", "Acmelandia", ""), ("z1", "Zetaquarter", "")])
+    rows = [("1", "about acmelandia"), ("1", "about zetaquartr"), (None, "zetaquartr again"), (None, "acmelandia"), ("2", None)]
+    df = spark.createDataFrame(rows, "post_id string, text string")
+    out = E.resolve(df, known, extras(spark)).collect()
+    got = sorted((r["post_id"] or "", r["text"] or "", r["entity"] or "", r["resolution_method"]) for r in out)
+    assert got == [
+        ("", "acmelandia", "Acmelandia", "exact"), ("", "zetaquartr again", "Zetaquarter", "fuzzy"),
+        ("1", "about acmelandia", "Acmelandia", "exact"), ("1", "about zetaquartr", "Zetaquarter", "fuzzy"), ("2", "", "", "none"),
+    ]
+
+
 def test_expand_keeps_one_row_per_entity(spark):
     df = posts(spark, "ACME CORP and zeta", "nothing")
     rows = E.expand(E.resolve(df, entities(spark, SEEDS), extras(spark))).collect()

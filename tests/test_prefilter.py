@@ -44,9 +44,21 @@ def test_large_lexicon_path_gives_the_same(spark, monkeypatch):
     assert in_row == joined and len(in_row) == 5
 
 
+@pytest.mark.parametrize("limit", [P.IN_ROW_LEXICON, 0])
+def test_rows_are_judged_one_by_one(spark, monkeypatch, limit):
+    """Repeated and null ids make no difference, nor does the order in which a zero sum is added."""
+    monkeypatch.setattr(P, "IN_ROW_LEXICON", limit)
+    words = lookup(spark, ["token", "valence"], [*LEXICON, ("up", 0.3), ("low", -0.1), ("lower", -0.2), ("tiny", -0.00001)])
+    rows = [("1", "bad"), ("1", "good good"), (None, "bad"), ("2", "up low lower"), ("2", "lower low up"), ("3", "tiny")]
+    df = spark.createDataFrame(rows, "post_id string, text string")
+    got = sorted((r["post_id"] or "", r["text"], r["_drop_reason"]) for r in P.prefilter(df, words).collect())
+    kept = [(i, t) for i, t, reason in got if reason is None]
+    assert kept == [("", "bad"), ("1", "bad")] and len(got) == 6
+
+
 def test_compound_formula(spark):
     df = P.prefilter(posts(spark, "bad"), lookup(spark, ["token", "valence"], LEXICON))
-    assert df.first()["_vader_compound"] == pytest.approx(-2 / (4 + 15) ** 0.5)
+    assert df.first()["_vader_compound"] == round(-2 / (4 + 15) ** 0.5, 4)
 
 
 def test_altered_text_wins_unless_blank(spark):
