@@ -354,6 +354,13 @@ BODIES: dict[str, str] = {
         FROM grouped r JOIN narratives_grouped n USING (narrative_id)""",
     "append_feedback_rows": """SELECT doc_id % 50 AS narrative_id, CAST(1 + doc_id % 5 AS INTEGER) AS rating, count(*) AS "rows"
         FROM labels GROUP BY ALL""",
+    "artifact_files": "SELECT 'resolved_posts' AS folder, true AS filled, count(*) AS \"rows\" FROM kept",
+    "append_override_rows": """SELECT narrative_id, arg_max(score, moment) AS score, arg_max(reasoning, moment) AS reasoning, count(*) AS "rows"
+        FROM (SELECT user_id % 50 AS narrative_id, least(100.0, value) AS score, 'event ' || event_id AS reasoning, (ts, event_id) AS moment
+              FROM events WHERE event_type = 'error') GROUP BY narrative_id""",
+    "append_mark_rows": """SELECT user_id % 50 AS narrative_id,
+        CASE user_id % 4 WHEN 0 THEN 'Tiontion' WHEN 1 THEN 'None' ELSE '' END AS entity, count(*) AS "rows", max(ts) AS newest
+        FROM events WHERE event_type = 'purchase' GROUP BY ALL""",
     "tolerant_read": 'SELECT CAST(1 + doc_id % 5 AS INTEGER) AS rating, count(*) AS "rows" FROM labels GROUP BY ALL',
     # projections, filters, predicates
     "signal_texts": """SELECT CAST(doc_id AS VARCHAR) AS post_id, CASE WHEN doc_id % 3 = 0 THEN 'altered: ' || text ELSE text END

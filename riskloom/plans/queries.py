@@ -168,7 +168,7 @@ def load_stored_artifacts(spark, sf):
     rows = clustered(spark, sf)
     sinks.write_clustered(rows, f"{folder}/clustered_posts")
     sinks.write_narratives(narratives_of(rows, spark, sf), f"{folder}/narratives")
-    return readers.load_artifacts(spark, folder).select(
+    return readers.load_artifacts(spark, folder, sinks.stored_posts(rows).schema).select(
         "post_id", "entity_id", "narrative_id",
         F.array_join("narrative_taxonomy_labels", "|").alias("labels"),
     )
@@ -178,7 +178,13 @@ def load_stored_artifacts(spark, sf):
 def artifact_files(spark, sf):
     folder = scratch_path(spark, "artifacts")
     sinks.write_resolved(resolved(spark, sf), f"{folder}/resolved_posts")
-    return readers.artifact_manifest(spark, folder)
+    files = readers.artifact_manifest(spark, folder).groupBy(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder")).agg(
+        (F.sum("length") > 0).alias("filled")
+    )
+    lines = spark.read.text(f"{folder}/resolved_posts").groupBy(F.lit("resolved_posts").alias("folder")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    return files.join(lines, "folder")
 
 
 @query
@@ -192,6 +198,32 @@ def append_feedback_rows(spark, sf):
     )
 
 
+@query
+def append_override_rows(spark, sf):
+    """Overrides appended in two parts, read back: the latest per narrative."""
+    path = scratch_path(spark, "overrides")
+    rows = V.overrides(spark, sf)
+    sinks.append_overrides(rows.filter("score <= 50"), path)
+    sinks.append_overrides(rows.filter("score > 50"), path)
+    latest = spark.read.schema(rows.select("narrative_id", "score", "confidence", "reasoning", "at").schema).parquet(path)
+    return latest.groupBy("narrative_id").agg(
+        F.max_by("score", "at").alias("score"), F.max_by("reasoning", "at").alias("reasoning"), F.count(F.lit(1)).alias("rows")
+    )
+
+
+@query
+def append_mark_rows(spark, sf):
+    """Marks appended in two parts, read back and counted."""
+    path = scratch_path(spark, "marks")
+    rows = V.marks(spark, sf)
+    sinks.append_marks(rows.filter("entity IS NULL"), path)
+    sinks.append_marks(rows.filter("entity IS NOT NULL"), path)
+    stored = spark.read.schema(rows.select("post_id", "narrative_id", "entity", "at").schema).parquet(path)
+    return stored.groupBy("narrative_id", F.coalesce("entity", F.lit("")).alias("entity")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("at").alias("newest")
+    )
+
+
 @query
 def tolerant_read(spark, sf):
     path = scratch_path(spark, "feedback")

@@ -105,10 +105,14 @@ def with_labels(clustered: DataFrame, narratives: DataFrame) -> DataFrame:
     )
 
 
-def load_artifacts(spark: SparkSession, directory: str) -> DataFrame | None:
-    """Stored clustered posts with their labels, or ``None`` when there is nothing to serve."""
+def load_artifacts(spark: SparkSession, directory: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """Stored clustered posts with their labels, or ``None`` when there is nothing to serve.
+
+    ``schema`` is that of the stored posts (``sinks.stored_posts``); without it a scan of the files has to infer it.
+    """
     try:
-        clustered = spark.read.json(f"{directory}/clustered_posts")
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        clustered = reader.json(f"{directory}/clustered_posts")
         narratives = spark.read.schema(NARRATIVES).json(f"{directory}/narratives")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 SUMMARY_FIELDS = [
     "narrative_id", "title", "summary", "score", "risk_score_confidence", "volume",
-    "engagement", "taxonomy_labels",
+    "engagement", "taxonomy_labels", "entity_id", "entity", "trend", "score_components",
 ]
 
 
@@ -28,9 +28,13 @@ def write_resolved(df: DataFrame, path: str) -> None:
     _write_json(matches_as_json(df), path)
 
 
+def stored_posts(df: DataFrame) -> DataFrame:
+    """Clustered posts as they are stored: embeddings are only needed while clustering and are left out."""
+    return matches_as_json(df.drop("risk_embedding"))
+
+
 def write_clustered(df: DataFrame, path: str) -> None:
-    """Embeddings are only needed while clustering and are left out."""
-    _write_json(matches_as_json(df.drop("risk_embedding")), path)
+    _write_json(stored_posts(df), path)
 
 
 def write_rejects(df: DataFrame, path: str) -> None:
@@ -49,3 +53,13 @@ def write_narrative_posts(df: DataFrame, path: str) -> None:
 
 def append_feedback(df: DataFrame, path: str) -> None:
     df.select("narrative_id", "rating").write.mode("append").json(path)
+
+
+def append_overrides(df: DataFrame, path: str) -> None:
+    """Analyst scores; the latest ``at`` of a narrative counts when they are laid over."""
+    df.select("narrative_id", "score", "confidence", "reasoning", "at").write.mode("append").parquet(path)
+
+
+def append_marks(df: DataFrame, path: str) -> None:
+    """False-positive marks; the latest ``at`` of a post counts."""
+    df.select("post_id", "narrative_id", "entity", "at").write.mode("append").parquet(path)
