@@ -2,8 +2,10 @@
 
 A document is the set of its k-word shingles (64-bit hashes). Equal sets collapse to one node first. Nodes that share
 a band of register values meet in a bucket; a bucket proposes (smallest node, other node), never all pairs. Proposals
-whose Jaccard estimate is clearly too low go, the rest are checked on full sets. Then the buckets that still hold
-several components propose the pairs that cross components, so no link of a bucket is lost and no clique is expanded.
+whose Jaccard estimate is clearly too low go, the rest are checked on full sets. In buckets that still hold several
+components, items that few open nodes have bound the similarity from above: members that the bound excludes are closed,
+the others are checked against members of the bucket's main component, and last the pairs that cross components and
+either pass the bound or share a rare item. So no link of a bucket is lost and no clique is expanded.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 #: Standard deviations of the estimate below the threshold at which a proposal is dropped unchecked.
 SLACK = 6.0
+#: Open nodes that a rare item has at most.
+FEW = 256
+#: Times that the members outside the main component of a bucket are checked against another member of it.
+TURNS = 2
 
 
 def set_sketch(items: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
@@ -199,13 +205,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         source.join(wanted, source["doc_id"].eqNullSafe(wanted["_id"])).select("node", "digest", "text")
         .mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]), "sets",
     )
-    low = percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
+    least = percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
     def verified(pairs: DataFrame) -> DataFrame:
         sketch = heads.select("node", "registers", "n_shingles")
         a = sketch.toDF("a", "ra", "na")
         b = sketch.toDF("b", "rb", "nb")
-        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(low), "a long, b long")
+        likely = pairs.join(a, "a").join(b, "b").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(least), "a long, b long")
         return (
             likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
             .mapInArrow(_exact(percent), "a long, b long")
@@ -214,10 +220,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tested = pin(members.filter("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "proposed")
     links = pin(verified(tested), "links")
     found = pin(components(links), "components")
-    more = _crossing(members, found, tested)
-    if more is not None:
-        extra = pin(verified(more), "links")
-        found = pin(components(links.union(extra)), "components")
+    rest = _open_members(members.filter("size > 2").select("bucket", "node"), found)
+    if rest is not None:
+        items = sets.join(rest.select("node").distinct(), "node").select("node", "items").mapInArrow(_items, "item long, node long")
+        counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+        held = items.join(counts, "item")
+        rest = rest.join(_item_facts(held), "node")
+    for turn in range(TURNS):
+        if rest is None:
+            break
+        # pairs (x, y) have at most least(s) common items and at least own(x) + own(y) + greatest(s) together
+        placed = rest.join(_mains(rest), "bucket")
+        partner = F.when(F.col("component") == F.col("main"), F.struct(F.floor(F.col("rare") / 4), F.xxhash64("node", "bucket", F.lit(turn)), "node"))
+        chosen = placed.groupBy("bucket").agg(F.min("own").alias("fewest"), F.min(partner)["node"].alias("partner"))
+        alive = pin(placed.join(chosen, "bucket").filter(f"100 * s >= {percent} * (s + own + fewest)"), "alive")
+        near = alive.filter("component != main").select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b"))
+        near = pin(near.distinct().join(tested, ["a", "b"], "left_anti"), "proposed")
+        tested = tested.union(near)
+        links = links.union(pin(verified(near), "links"))
+        found = pin(components(links), "components")
+        rest = _open_members(alive.select("bucket", "node", "s", "own", "common", "rare", "widest"), found)
+    if rest is not None:
+        links = links.union(pin(verified(pin(_crossing(rest, held, tested, percent), "proposed")), "links"))
+        found = pin(components(links), "components")
 
     of_class = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = of_class.groupBy("component").agg(F.min("first_doc").alias("component_id"))
@@ -232,32 +257,68 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
-def _crossing(members: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame | None:
-    """Untested pairs of a bucket that lie in different components; None if there are none.
+def _open_members(rows: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Members of buckets that hold several components, with the component; None if there are none.
 
-    Buckets of the same members count once. The largest component of a bucket is only paired with the others.
+    Buckets of the same members count once.
     """
-    placed = (
-        members.filter("size > 2").select("bucket", "node").join(found, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    signature = [
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"),
+    placed = rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    facts = placed.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"),
         F.min("component").alias("lo"), F.max("component").alias("hi"),
-    ]
-    open_buckets = placed.groupBy("bucket").agg(*signature).filter("lo != hi").groupBy("n", "s").agg(F.min("bucket").alias("bucket"))
-    rest = pin(placed.join(open_buckets.select("bucket"), "bucket"), "open")
-    if rest.isEmpty():
-        return None
-    main = (
-        rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"))
     )
-    small = rest.join(main, "bucket").filter("component != main").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"), "main")
-    other = rest.select("bucket", F.col("node").alias("y"), F.col("component").alias("cy"))
-    pairs = small.join(other, "bucket").filter("cx != cy and (cy = main or x < y)")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pin(pairs.join(tested, ["a", "b"], "left_anti"), "proposed")
+    chosen = facts.filter("lo != hi").groupBy("n", "sum").agg(F.min("bucket").alias("bucket")).select("bucket")
+    rest = pin(placed.join(chosen, "bucket"), "open")
+    return None if rest.isEmpty() else rest
+
+
+def _mains(rest: DataFrame) -> DataFrame:
+    """(bucket, main): the component that most members of a bucket are in."""
+    sizes = rest.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("bucket").agg(F.max(F.struct("size", "component"))["component"].alias("main"))
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for batch in slices(big, 1):
+            items = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in items])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), pa.array(node)], ["item", "node"])
+
+
+def _item_facts(held: DataFrame) -> DataFrame:
+    """Per node of (item, node, n): own items (n = 1) and s others, rare items (n <= FEW) and common others, largest n."""
+    own, rare = F.count_if(F.col("n") == 1), F.count_if(F.col("n") <= FEW)
+    facts = held.groupBy("node").agg(
+        own.alias("own"), (F.count(F.lit(1)) - own).alias("s"), rare.alias("rare"), (F.count(F.lit(1)) - rare).alias("common"),
+        F.max("n").alias("widest"),
+    )
+    return pin(facts, "items")
+
+
+def _crossing(rest: DataFrame, held: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Untested pairs of different components that may be similar enough.
+
+    Pairs that share no rare item have at most least(common) common items and rare(x) + rare(y) + greatest(common)
+    together; the buckets give those that pass. In wide groups, pairs that share a rare item come from its few holders;
+    elsewhere every pair of a bucket is few enough. The largest component of a bucket is only paired with the others.
+    """
+    def named(df, to, *more):
+        facts = {"node": to, "s": "s", "own": "o", "common": "c", "rare": "r", "widest": "w", "component": "g"}
+        return df.select(*more, *(F.col(k).alias(v if k == "node" else v + to) for k, v in facts.items()))
+
+    def within(n, a):
+        return f"100 * least({n}x, {n}y) >= {percent} * ({a}x + {a}y + greatest({n}x, {n}y))"
+
+    small = named(rest.join(_mains(rest), "bucket").filter("component != main"), "x", "bucket", "main")
+    pairs = small.join(named(rest, "y", "bucket"), "bucket").filter(
+        f"gx != gy and (gy = main or x < y) and {within('s', 'o')} and ({within('c', 'r')} or least(wx, wy) <= {FEW})"
+    )
+    wide = rest.filter(F.col("widest") > FEW).select("node", "s", "own", "common", "rare", "widest", "component").distinct()
+    holders = pin(held.filter(f"n > 1 and n <= {FEW}").select("item", "node").join(wide, "node"), "holders")
+    sharing = named(holders, "x", "item").join(named(holders, "y", "item"), "item").filter(f"x < y and gx != gy and {within('s', 'o')}")
+    both = pairs.select("x", "y").union(sharing.select("x", "y"))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
