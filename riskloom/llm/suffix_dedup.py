@@ -4,23 +4,25 @@ Every byte covered by a LENGTH-byte string that also starts earlier is removed.
 fall under an anchor: the least hashed GRAM in them. Equal strings have equal anchors, so strings are dealt to shards
 by anchor, and only those whose anchor occurs again. A shard sorts its strings with a suffix array (Larsson and
 Sadakane's refinement in numpy), takes common prefixes with Kasai's algorithm, and finds the first start of each class
-of equal strings. An anchor with very many places is cut into parts; their first strings, sorted, are merged by binary
-search. Documents that equal an earlier one as a whole are removed as a whole and not dealt.
+of equal strings. An anchor with very many places is cut into parts; the first strings of the parts are merged by
+binary search, under keys of the anchor with the bytes beside it. Documents that equal an earlier one as a whole are removed as a whole and not dealt.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.common import mix, pin, shuffle_partitions, slices
 
 #: Bytes of a string that counts, and of an anchor.
-LENGTH, GRAM = 100, 20
+LENGTH, GRAM = 100, 40
 #: Places of an anchor that are sorted together, and bytes of a shard (with one more part it must stay below 2**21).
 PART, SHARD_BYTES = 2048, 1 << 20
 PLACE = np.uint64((1 << 28) - 1)
@@ -142,7 +144,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Only a group's first PART rows are ever held.
     """
     held, passed = np.zeros((0, 3), np.int64), 0  # rows of the open group; how many of it were passed on
-    for batch in [*_chain(batches)]:
+    for batch in _chain(batches):
         rows = np.concatenate([held, batch])
         if not len(rows):
             continue
@@ -215,12 +217,29 @@ def _order(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-REMOVED = "id long, key long, start long, stop long, string binary"
+REMOVED = "id long, key long, start long, stop long, h long, bytes binary"
 
 
-def _removed_rows(ids, keys, starts, stops, strings=None) -> pa.RecordBatch:
-    strings = pa.nulls(len(ids), pa.binary()) if strings is None else pa.array(strings, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, starts, stops)] + [strings], ["id", "key", "start", "stop", "string"])
+def _removed_rows(ids, keys, starts, stops, h=None, pieces=None) -> pa.RecordBatch:
+    n = len(ids)
+    tail = [pa.nulls(n, pa.int64()) if h is None else pa.array(h, pa.int64()), pa.nulls(n, pa.binary()) if h is None else pa.array(pieces, pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, starts, stops)] + tail, ["id", "key", "start", "stop", "h", "bytes"])
+
+
+def _halves(run: bytes) -> Iterator[tuple[int, int, int]]:
+    """Cuts a run of starts under one anchor by the longer side of the anchor: (key, first start, last start).
+
+    A string holds more than half of the bytes that it has besides the anchor before it, or half or more behind it.
+    Equal strings agree on the side and on its nearest bytes, so the key of both meets them again.
+    """
+    side = (LENGTH - GRAM) // 2
+    h = gram_hashes(np.frombuffer(run, np.uint8)[:LENGTH])
+    at, count = int(np.argmin(h & ~PLACE)), len(run) - LENGTH + 1
+    behind = max(0, at - side)
+    if behind:
+        yield xxhash.xxh3_64_intdigest(run[at - side : at + GRAM], 1) - 2**63, 0, min(behind, count)
+    if behind < count:
+        yield xxhash.xxh3_64_intdigest(run[at : at + GRAM + side], 2) - 2**63, behind, count
 
 
 def sort_shard(ids, keys, starts, counts, parts, pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -247,10 +266,15 @@ def sort_shard(ids, keys, starts, counts, parts, pieces: list[bytes]) -> Iterato
         yield _removed_rows(ids[o], keys[o], starts[o] + within[gone[new]], starts[o] + within[gone[last]] + LENGTH)
     first = np.flatnonzero((rank == least) & (parts[owner] >= 0))
     if len(first):
-        o = owner[first]
-        at = starts[o] + within[first]
-        raw = data.tobytes()
-        yield _removed_rows(ids[o], keys[o], at, at + LENGTH, [raw[s : s + LENGTH] for s in spot[first].tolist()])
+        new = np.flatnonzero((np.diff(owner[first], prepend=-1) != 0) | (np.diff(within[first], prepend=-2) != 1))
+        last = np.append(new[1:], len(first)) - 1
+        rows = []
+        for a, b in zip(first[new].tolist(), first[last].tolist()):
+            o, w = int(owner[a]), int(within[a])
+            run = pieces[o][w : int(within[b]) + LENGTH]
+            for h, i, j in _halves(run):
+                rows.append((ids[o], keys[o], starts[o] + w + i, starts[o] + w + j - 1 + LENGTH, h, run[i : j - 1 + LENGTH]))
+        yield _removed_rows(*zip(*rows))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,21 +309,28 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First strings of the parts of cut anchors, sorted by string and place: those after the first place go."""
-    last, lowest = None, None
+    """First strings of the parts of cut anchors, in the order of key and place: those that came before go.
+
+    The strings seen under a key are kept sorted and found by binary search; copies never add to them.
+    """
+    now, seen, previous = None, [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        places = np.stack([c.to_numpy() for c in batch.columns[:3]], 1)
-        strings = np.array(batch.column(4).to_pylist(), f"V{LENGTH}")
-        known = np.flatnonzero(np.append(True, strings[1:] != strings[:-1]))
-        group = np.searchsorted(known, np.arange(len(strings)), "right") - 1
-        least = places[known]
-        if last is not None and strings[0] == last:
-            least[0] = lowest
-        gone = (places != least[group]).any(1)
-        last, lowest = strings[-1], least[-1].copy()
-        yield _removed_rows(*places[gone].T, places[gone][:, 2] + LENGTH)
+        rows = []
+        for i, key, start, h, run in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "start", "h", "bytes"))):
+            if h != now:
+                now, seen, previous = h, [], None
+            if (i, key, start, run) == previous:
+                continue  # a repeated row
+            previous = (i, key, start, run)
+            for w in range(len(run) - LENGTH + 1):
+                string = run[w : w + LENGTH]
+                at = bisect_left(seen, string)
+                if at < len(seen) and seen[at] == string:
+                    rows.append((i, key, start + w, start + w + LENGTH))
+                else:
+                    seen.insert(at, string)
+        if rows:
+            yield _removed_rows(*zip(*rows))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,8 +387,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     )
     dealt = contexts.repartition(n, "h", "part").sortWithinPartitions("h", "part")
     found = pin(dealt.mapInArrow(_shards, REMOVED), "repeats")
-    strings = found.filter("string is not null").repartition(n, "string").sortWithinPartitions("string", "id", "key", "start")
-    gone = found.filter("string is null").union(strings.mapInArrow(_merge, REMOVED))
+    firsts = found.filter("bytes is not null").repartition(n, "h").sortWithinPartitions("h", "id", "key", "start")
+    gone = found.filter("bytes is null").select("id", "key", "start", "stop").union(
+        firsts.mapInArrow(_merge, REMOVED).select("id", "key", "start", "stop")
+    )
     runs = gone.groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     every = marked.join(runs, ["id", "key"], "left").select("doc_id", "text", "copy", "runs")
     out = every.mapInArrow(
