@@ -110,7 +110,35 @@ class Image:
 #: A text falls into pieces (white space and what follows) that the pre-tokenizer never joins.
 PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: Other white space: such texts are given to the library whole.
+ODD_ASCII = [chr(c) for c in range(0x1C, 0x20)]
 ODD_SPACE = re.compile("[%s]" % "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])))
+SPACES = " \t\n\r\x0b\x0c"
+
+
+def _key(piece: str) -> str:
+    """Pieces after one space go by what follows it, after one line feed as they are, others with a zero in front."""
+    if piece[0] == " " and len(piece) > 1 and piece[1] not in SPACES:
+        return piece[1:]
+    return piece if piece[0] == "\n" and piece[-1] not in SPACES and piece[1] not in SPACES else "\0" + piece
+
+
+def _piece(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
+
+def piece_keys(text: str) -> list[str] | None:
+    """Keys of a text's pieces; None if it has to be encoded whole."""
+    if not text:
+        return []
+    if "\0" in text or (any(c in text for c in ODD_ASCII) if text.isascii() else ODD_SPACE.search(text)):
+        return None
+    if "\n\n" not in text and not any(c in text for c in "\t\r\x0b\x0c"):
+        # single spaces and line feeds only: plain splitting finds the same pieces
+        keys = text.replace("\n", " \n").split(" ")
+        if keys[0] and "" not in keys and "\n" not in keys:
+            keys[0] = "\0" + keys[0]
+            return keys
+    return [_key(p) for p in PIECE.findall(text)]
 
 
 class Encoder:
@@ -130,38 +158,45 @@ class Encoder:
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.bytes_of[i] = len(token)  # one character of the byte alphabet per byte
         self.memo: dict[str, bytes] = {}
+        self.marks = {c: self.whole(c) for c in ".,;:!?"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
+    def _learn(self, keys: list[str], into: dict[str, bytes]) -> None:
         """Encodes many pieces in a few calls; token lengths in bytes tell where each piece ends."""
-        joined = [p for p in pieces if p[0] in " \t\n\r\x0b\x0c" and not p.isspace()]
+        # a letter or digit and the mark that ends a piece are never joined: such pieces follow from what is before it
+        ended = {k: k[:-1] for k in keys if k[-1] in self.marks and k[-2:-1].isalnum() and k[0] != "\0"}
+        stems = set(ended.values()) - self.memo.keys()
+        joined = [k for k in {*keys, *stems} if k[0] != "\0" and k not in ended]
         for i in range(0, len(joined), 256):
             some = joined[i : i + 256]
-            ids = np.array(self.library.encode("".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in some])
-            cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-            for p, a, b in zip(some, [0, *cuts[:-1]], cuts):
-                into[p] = ids[a:b].tobytes()
-        for p in pieces:
-            if p not in into:
-                into[p] = self.whole(p)
+            pieces = [_piece(k) for k in some]
+            ids = np.array(self.library.encode("".join(pieces), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in pieces])
+            cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1).tolist()
+            data = ids.tobytes()
+            for k, a, b in zip(some, [0, *cuts[:-1]], cuts):
+                into[k] = data[4 * a : 4 * b]
+        for k in keys:
+            if k in ended:
+                into[k] = (into.get(ended[k]) or self.memo[ended[k]]) + self.marks[k[-1]]
+            elif k[0] == "\0":
+                into[k] = self.whole(_piece(k))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if ODD_SPACE.search(t) else PIECE.findall(t) for t in texts]
-        new = list({p for pieces in cut if pieces for p in pieces} - self.memo.keys())
+        cut = [piece_keys(t) for t in texts]
+        new = list(set().union(*(keys for keys in cut if keys)) - self.memo.keys())
         memo = self.memo
         if len(memo) + len(new) > MEMO_PIECES:
             memo = {}
             self._learn(new, memo)
-            get = lambda p: self.memo.get(p) or memo[p]
+            get = lambda k: self.memo.get(k) or memo[k]
         else:
             self._learn(new, memo)
             get = memo.__getitem__
         return [
-            np.frombuffer(self.whole(t) if pieces is None else b"".join(map(get, pieces)), "<u4")
-            for t, pieces in zip(texts, cut)
+            np.frombuffer(self.whole(t) if keys is None else b"".join(map(get, keys)), "<u4") for t, keys in zip(texts, cut)
         ]
 
 
