@@ -21,16 +21,16 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from riskloom.llm.common import slices
 
 #: Labelled documents that the field is fitted on at most, per label; longer texts than this are not fitted on.
-TRAIN_DOCS, TRAIN_CHARS = 3_000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 1_500, 8_000
 #: Segments of a gradient pass at most, and tokens of a segment (texts are cut into segments, nothing is left out).
-TRAIN_SEGMENTS, SEGMENT = 12_000, 64
+TRAIN_SEGMENTS, SEGMENT = 8_000, 64
 #: Weights nearer to 0 than this are not kept.
 SMALL = 0.02
 THRESHOLD = 0.3
 #: Emission of a token without a known feature: clean until shown otherwise.
 BIAS = -4.0
 #: Share of the toxic documents that an equal share of the clean ones with the same feature outweighs.
-COST = 3
+COST = 6
 #: Characters of a word's opening that are features; the shortest is too common to label tokens by.
 OPENINGS = (3, 4, 5, 6, 7, 8)
 #: Strongest tokens that make up the document score.
@@ -109,14 +109,17 @@ def token_markers(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
         low = {w.lower() for w in words}
         return {"w=" + w for w in low if len(w) > 1} | {f"p{n}=" + w[:n] for w in low for n in OPENINGS[1:] if len(w) > n}
 
-    bags = [features(d) for d in toxic]
-    in_toxic, in_clean = Counter(f for b in bags for f in b), Counter(f for d in clean for f in features(d))
-    least = max(4, round(0.004 * len(bags)))
-    rare = {
-        f for f, c in in_toxic.items()
-        if c >= least and (in_clean[f] + 0.5) / (len(clean) + 1) <= 0.1 * c / len(bags)
-    }
-    bags = [b & rare for b in bags]
+    # only features that enough toxic documents have are counted among the clean ones
+    least = max(4, round(0.004 * len(toxic)))
+    in_toxic = Counter()
+    for d in toxic:
+        in_toxic.update(features(d))
+    in_toxic = {f: c for f, c in in_toxic.items() if c >= least}
+    in_clean = Counter()
+    for d in clean:
+        in_clean.update(features(d) & in_toxic.keys())
+    rare = {f for f, c in in_toxic.items() if (in_clean[f] + 0.5) / (len(clean) + 1) <= 0.1 * c / len(toxic)}
+    bags = [features(d) & rare for d in toxic]
     chosen, open_bags, cost = set(), bags, COST * len(bags) / len(clean)
     while open_bags:
         gain = Counter(f for b in open_bags for f in b)
@@ -156,7 +159,7 @@ def _example(words: list[str], truth: list[bool] | None, columns: _Features) ->
         found += ["next=" + words[t + 1].lower()] if t + 1 < len(words) else []
         cols += [columns[n] for n in found]
         rows += [t] * len(found)
-    return np.array(rows), np.array(cols), np.array(truth, float) if truth else np.zeros(len(words)), len(words)
+    return np.array(rows, np.int32), np.array(cols, np.int32), np.array(truth, bool) if truth else np.zeros(len(words), bool), len(words)
 
 
 def _ascend(data: list[tuple], state: dict, rng: np.random.Generator, epochs: int) -> None:
