@@ -57,12 +57,12 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
 
 
 class Index:
-    """Seeds of a block of items: sorted gram hashes with the items and places they come from."""
+    """Seeds of a block of items: sorted gram hashes with the items (by their place in the block) that they come from."""
 
-    def __init__(self, items: dict[int, np.ndarray], frequency: dict[int, int], total: int):
-        self.items = {i: h for i, h in items.items() if len(h) >= SEED_WORDS}
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], frequency: dict[int, int], total: int):
+        self.items = [(i, h) for i, h in items if len(h) >= SEED_WORDS]
         grams, owners = [], []
-        for i, h in self.items.items():
+        for i, (_, h) in enumerate(self.items):
             share = np.array([frequency.get(int(w), 0) for w in h], float) / max(1, total)
             expected = total * np.prod([share[j : len(h) - SEED_WORDS + 1 + j] for j in range(SEED_WORDS)], axis=0)
             rare = expected <= max(CHANCE, float(np.quantile(expected, 1 / 3)))
@@ -74,8 +74,8 @@ class Index:
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.grams & np.uint64((1 << 20) - 1)] = True
 
-    def matches(self, text: bytes) -> list[tuple[int, float, int]]:
-        """(item, score, last word) of the items that the text holds, best place each."""
+    def matches(self, text: bytes) -> list[tuple[int | None, float, int]]:
+        """(item_id, score, last word) of the items that the text holds, best place each."""
         h = passage_hashes(text)
         grams = _grams(h)
         places = np.flatnonzero(self.filter[grams & np.uint64((1 << 20) - 1)])
@@ -88,7 +88,8 @@ class Index:
                 hits.setdefault(item, []).append(place)
         found = []
         for item, at in hits.items():
-            words, n = self.items[item], len(self.items[item])
+            name, words = self.items[item]
+            n = len(words)
             best = (0.0, 0)
             edges = [0, *(np.flatnonzero(np.diff(at) > 2 * n) + 1).tolist(), len(at)]
             for a, b in zip(edges, edges[1:]):
@@ -98,7 +99,7 @@ class Index:
                     score, end = align(words, h[first : min(start + 8 * n, at[b - 1]) + 2 * n + SEED_WORDS])
                     best = max(best, (score, first + end - 1))
             if best[0] >= THRESHOLD:
-                found.append((item, *best))
+                found.append((name, *best))
         return found
 
 
@@ -119,21 +120,22 @@ def _counts(vocabulary: np.ndarray):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> list[dict[int, np.ndarray]]:
-    """Items by id in blocks of about BLOCK_BYTES; the number of blocks follows from the summed size."""
-    rows = benchmark.select("item_id", text_bytes().alias("text")).filter("item_id is not null")
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """Distinct (item_id, text) in blocks of about BLOCK_BYTES; the number of blocks follows from the summed size."""
+    rows = benchmark.select("item_id", text_bytes().alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // BLOCK_BYTES))
     for k in range(n):
-        block = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).toPandas().sort_values(["item_id", "text"])
-        yield {int(i): passage_hashes(t) for i, t in zip(block["item_id"], block["text"])}
+        block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().collect()
+        block = sorted(((r["item_id"], bytes(r["text"])) for r in block), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield [(i, passage_hashes(t)) for i, t in block]
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
     """An index per block of the benchmark, with word frequencies counted over all of ``docs``."""
     texts = docs.select(text_bytes().alias("text"))
     for items in _blocks(benchmark):
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *items.values()]))
+        vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for _, h in items)]))
         rows = texts.mapInArrow(_counts(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
         count = {r["word"]: r["n"] for r in rows}  # one row per word of the block
         yield Index(items, {int(w): count.get(i, 0) for i, w in enumerate(vocabulary)}, count.get(-1, 0))
@@ -144,7 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     score is the alignment's sum over the item's words, from ``THRESHOLD`` to 1; last_word is the place of its last
     word. Items under three words cannot be told from chance and never match; null texts are empty; repeated rows are
-    each reported; of items that share an id the last by text counts. Other columns are ignored.
+    each reported. Each distinct (item_id, text) is an item, whether its id is shared or null; a null id is reported as
+    null. Other columns are ignored.
     """
     spark, out = docs.sparkSession, None
     for index in indexes(docs, benchmark):

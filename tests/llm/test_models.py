@@ -83,6 +83,18 @@ def test_leaks_of_edited_passages(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == planted
 
 
+def test_items_with_shared_and_null_ids(spark):
+    rng = random.Random(6)
+    passages = [data.words(rng, 30, 10**6) for _ in range(5)]
+    large = 2**62 + 1  # no float holds it
+    items = [(large, passages[0]), (large, passages[1]), (None, passages[2]), (None, passages[3]), (None, passages[3]), (7, passages[4])]
+    docs = [(i, f"{data.words(rng, 50)} {p} {data.words(rng, 50)}") for i, p in enumerate(passages)] + [(9, data.words(rng, 100))]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([(0, large), (1, large), (2, None), (3, None), (4, 7)], key=str)
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [9]
+
+
 def test_alignment_against_table():
     rng = np.random.default_rng(4)
     for _ in range(30):
