@@ -4,19 +4,18 @@ Every byte covered by a LENGTH-byte string that also starts earlier is removed.
 fall under an anchor: the least hashed GRAM in them. Equal strings have equal anchors, so strings are dealt to shards
 by anchor, and only those whose anchor occurs again. A shard sorts its strings with a suffix array (Larsson and
 Sadakane's refinement in numpy), takes common prefixes with Kasai's algorithm, and finds the first start of each class
-of equal strings. An anchor with very many places is cut into parts; the first strings of the parts are merged by
-binary search, under keys of the anchor with the bytes beside it. Documents that equal an earlier one as a whole are removed as a whole and not dealt.
+of equal strings. An anchor with very many places is cut into parts; the first strings of the parts are dealt
+by a digest of the whole string and compared with the first of their digest only, so that no task holds the strings of
+an anchor. Documents that equal an earlier one as a whole are removed as a whole and not dealt.
 """
 
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.common import mix, pin, shuffle_partitions, slices
@@ -217,29 +216,12 @@ def _order(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-REMOVED = "id long, key long, start long, stop long, h long, bytes binary"
+REMOVED = "id long, key long, start long, stop long, bytes binary"
 
 
-def _removed_rows(ids, keys, starts, stops, h=None, pieces=None) -> pa.RecordBatch:
-    n = len(ids)
-    tail = [pa.nulls(n, pa.int64()) if h is None else pa.array(h, pa.int64()), pa.nulls(n, pa.binary()) if h is None else pa.array(pieces, pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, keys, starts, stops)] + tail, ["id", "key", "start", "stop", "h", "bytes"])
-
-
-def _halves(run: bytes) -> Iterator[tuple[int, int, int]]:
-    """Cuts a run of starts under one anchor by the longer side of the anchor: (key, first start, last start).
-
-    A string holds more than half of the bytes that it has besides the anchor before it, or half or more behind it.
-    Equal strings agree on the side and on its nearest bytes, so the key of both meets them again.
-    """
-    side = (LENGTH - GRAM) // 2
-    h = gram_hashes(np.frombuffer(run, np.uint8)[:LENGTH])
-    at, count = int(np.argmin(h & ~PLACE)), len(run) - LENGTH + 1
-    behind = max(0, at - side)
-    if behind:
-        yield xxhash.xxh3_64_intdigest(run[at - side : at + GRAM], 1) - 2**63, 0, min(behind, count)
-    if behind < count:
-        yield xxhash.xxh3_64_intdigest(run[at : at + GRAM + side], 2) - 2**63, behind, count
+def _removed_rows(ids, keys, starts, stops, pieces=None) -> pa.RecordBatch:
+    tail = pa.nulls(len(ids), pa.binary()) if pieces is None else pa.array(pieces, pa.binary())
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, keys, starts, stops)), tail], ["id", "key", "start", "stop", "bytes"])
 
 
 def sort_shard(ids, keys, starts, counts, parts, pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +254,7 @@ def sort_shard(ids, keys, starts, counts, parts, pieces: list[bytes]) -> Iterato
         for a, b in zip(first[new].tolist(), first[last].tolist()):
             o, w = int(owner[a]), int(within[a])
             run = pieces[o][w : int(within[b]) + LENGTH]
-            for h, i, j in _halves(run):
-                rows.append((ids[o], keys[o], starts[o] + w + i, starts[o] + w + j - 1 + LENGTH, h, run[i : j - 1 + LENGTH]))
+            rows.append((ids[o], keys[o], starts[o] + w, starts[o] + w + len(run), run))
         yield _removed_rows(*zip(*rows))
 
 
@@ -308,27 +289,34 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(pa.Table.from_batches(held))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First strings of the parts of cut anchors, in the order of key and place: those that came before go.
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The digest and place of each LENGTH-byte string in runs of first strings."""
+    for big in batches:
+        for batch in slices(big, 3, SHARD_BYTES // 4):
+            ids, keys, starts, runs = (batch.column(c) for c in range(4))
+            runs = runs.to_pylist()
+            counts = np.array([len(run) - LENGTH + 1 for run in runs])
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            digests = [hashlib.blake2b(run[w : w + LENGTH], digest_size=16).digest() for run in runs for w in range(len(run) - LENGTH + 1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests, pa.binary()), *(pa.array(np.repeat(c.to_numpy(), counts)) for c in (ids, keys)),
+                 pa.array(np.repeat(starts.to_numpy(), counts) + within)], ["digest", "id", "key", "start"],
+            )
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings in the order of digest and place: those that are not at the first place of their digest go.
 
-    The strings seen under a key are kept sorted and found by binary search; copies never add to them.
+    Only that place is held. A repeated row is at the same place and stays.
     """
-    now, seen, previous = None, [], None
+    digest, head = None, None
     for batch in batches:
         rows = []
-        for i, key, start, h, run in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "start", "h", "bytes"))):
-            if h != now:
-                now, seen, previous = h, [], None
-            if (i, key, start, run) == previous:
-                continue  # a repeated row
-            previous = (i, key, start, run)
-            for w in range(len(run) - LENGTH + 1):
-                string = run[w : w + LENGTH]
-                at = bisect_left(seen, string)
-                if at < len(seen) and seen[at] == string:
-                    rows.append((i, key, start + w, start + w + LENGTH))
-                else:
-                    seen.insert(at, string)
+        for d, *place in zip(*(c.to_pylist() for c in batch.columns)):
+            if d != digest:
+                digest, head = d, place
+            elif place != head:
+                rows.append((*place, place[2] + LENGTH))
         if rows:
             yield _removed_rows(*zip(*rows))
 
@@ -387,9 +375,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     )
     dealt = contexts.repartition(n, "h", "part").sortWithinPartitions("h", "part")
     found = pin(dealt.mapInArrow(_shards, REMOVED), "repeats")
-    firsts = found.filter("bytes is not null").repartition(n, "h").sortWithinPartitions("h", "id", "key", "start")
+    firsts = found.filter("bytes is not null").select("id", "key", "start", "bytes").mapInArrow(
+        _strings, "digest binary, id long, key long, start long"
+    )
+    firsts = firsts.repartition(n, "digest").sortWithinPartitions("digest", "id", "key", "start")
     gone = found.filter("bytes is null").select("id", "key", "start", "stop").union(
-        firsts.mapInArrow(_merge, REMOVED).select("id", "key", "start", "stop")
+        firsts.mapInArrow(_later, REMOVED).select("id", "key", "start", "stop")
     )
     runs = gone.groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     every = marked.join(runs, ["id", "key"], "left").select("doc_id", "text", "copy", "runs")

@@ -152,6 +152,19 @@ def test_repeats_of_a_very_common_passage(spark):
     check_repeats(docs, ties(docs))
 
 
+def test_first_strings_of_a_hot_anchor_are_dealt_to_all_tasks(spark, monkeypatch):
+    """Strings that straddle the edges of a common passage are each document's own: no task gets all of an anchor."""
+    passage = data.words(random.Random(2), 12, 10**6)
+    docs = spark.range(2500).selectExpr("id AS doc_id", f"concat(sha2(concat('a', id), 512), '{passage}', sha2(concat('b', id), 512)) AS text")
+    pinned, pin = {}, suffix_dedup.pin
+    monkeypatch.setattr(suffix_dedup, "pin", lambda df, name: pinned.setdefault(name, pin(df, name)))
+    check_repeats(docs, ties(docs))
+    firsts = pinned["repeats"].filter("bytes is not null").select("id", "key", "start", "bytes")
+    strings = firsts.mapInArrow(suffix_dedup._strings, "digest binary, id long, key long, start long")
+    assert strings.count() > 20_000
+    assert strings.groupBy("digest").count().agg({"count": "max"}).first()[0] <= 2  # one from each part
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for n, letters in ((1, 3), (2, 1), (60, 1), (800, 2), (900, 256)):
