@@ -95,7 +95,7 @@ def _sketches(k: int):
                     registers.append(set_sketch(items).tobytes() if len(items) else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                     pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "digest", "registers"],
+                     pa.array(registers, pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "digest", "registers", "hash"],
                 )
     return run
 
@@ -186,24 +186,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     are one shingle. Equal sets are always linked. Rows that share a doc_id each get their own row; a null doc_id
     never stands for a group unless the whole group has none. Columns other than doc_id and text are ignored.
     """
-    source = docs.select("doc_id", text_bytes().alias("text"))
+    source = docs.select("doc_id", text_bytes().alias("text")).withColumn("hash", F.xxhash64("text"))
     sketched = pin(
-        source.mapInArrow(_sketches(k), "doc_id long, n_shingles long, digest binary, registers binary")
+        source.mapInArrow(_sketches(k), "doc_id long, n_shingles long, digest binary, registers binary, hash long")
         .withColumn("uid", F.monotonically_increasing_id()), "sketches",
     )
     some = sketched.filter("digest is not null")
     classes = pin(some.groupBy("digest").agg(F.min("uid").alias("node"), F.min("doc_id").alias("first_doc")), "classes")
     heads = pin(
         some.join(classes.select(F.col("node").alias("uid")), "uid")
-        .select(F.col("uid").alias("node"), "doc_id", "digest", "n_shingles", "registers"), "heads",
+        .select(F.col("uid").alias("node"), "doc_id", "digest", "n_shingles", "registers", "hash"), "heads",
     )
     bands = heads.select("node", "registers").mapInArrow(_bands, "bucket long, node long")
     buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1")
     members = pin(bands.join(buckets, "bucket"), "members")
-    wanted = heads.join(members.select("node").distinct(), "node").select("node", "digest", F.col("doc_id").alias("_id"))
+    wanted = heads.join(members.select("node").distinct(), "node").select(
+        "node", "digest", F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")
+    )
     sets = pin(
-        source.join(wanted, source["doc_id"].eqNullSafe(wanted["_id"])).select("node", "digest", "text")
-        .mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]), "sets",
+        _own_texts(source, wanted).mapInArrow(_sets(k), "node long, items binary").dropDuplicates(["node"]), "sets",
     )
     least = percent / 100 - SLACK * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
@@ -257,6 +258,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def _own_texts(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, digest, text) of the rows that nodes were made from: shared and null ids meet only with their own text."""
+    same = source["doc_id"].eqNullSafe(wanted["_id"]) & (source["hash"] == wanted["_hash"])
+    return source.join(wanted, same).select("node", "digest", "text")
+
+
 def _open_members(rows: DataFrame, found: DataFrame) -> DataFrame | None:
     """Members of buckets that hold several components, with the component; None if there are none.
 

@@ -134,7 +134,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashes.append(h.view(np.int64))
                 ids.append(np.full(len(h), i))
                 places.append(first << 7 | count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, places)], ["h", "id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, places)], ["h", "doc", "place"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _repeat_batch(rows: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, j]) for j in range(3)), pa.array(part.astype(np.int32))], ["h", "id", "place", "part"])
+    return pa.RecordBatch.from_arrays([*(pa.array(rows[:, j]) for j in range(3)), pa.array(part.astype(np.int32))], ["h", "doc", "place", "part"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +187,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for p in places:
                     start, count = p["place"] >> 7, p["place"] & 127
                     if grams.get(start) != (p["h"], count):
-                        continue  # of another text with the same id
+                        continue  # of another document with the same hash
                     h.append(p["h"])
                     part.append(p["part"])
                     ids.append(i)
@@ -358,19 +358,22 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     base = docs.select("doc_id", text.alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("sha")
     )
-    # whole copies: only ids and digests are moved to find them
-    digests = base.select("id", "key", "sha")
-    heads = digests.groupBy("sha").agg(F.min(F.struct("id", "key")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = pin(
-        digests.join(heads, "sha").filter("id != head.id").select(F.col("id").alias("_id"), F.col("sha").alias("_sha")).distinct(), "copies"
+    # whole copies and repeated rows: only ids and digests are moved to find them
+    digests = base.groupBy("id", "key", "sha").agg(F.count(F.lit(1)).alias("n"))
+    heads = digests.groupBy("sha").agg(F.min(F.struct("id", "key")).alias("head"), F.sum("n").alias("all")).filter("all > 1")
+    marks = digests.join(heads, "sha").select(
+        F.col("id").alias("_id"), F.col("sha").alias("_sha"), (F.col("id") != F.col("head.id")).alias("copy"), (F.col("n") > 1).alias("again")
     )
-    marked = base.select("doc_id", "text", "id", "key", "sha").join(copies, (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
-    marked = marked.select("doc_id", "text", "id", "key", F.col("_id").isNotNull().alias("copy"))
-    own = marked.filter("not copy")
-    places = own.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, place long")
-    repeated = places.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, id long, place long, part int")
-    by_id = pin(repeated, "places").groupBy("id").agg(F.collect_list(F.struct("h", "place", "part")).alias("places"))
-    contexts = own.join(by_id, "id").select("id", "key", "text", "places").mapInArrow(
+    marks = pin(marks.filter("copy or again").distinct(), "copies")
+    marked = base.join(marks, (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    marked = marked.select("doc_id", "text", "id", "key", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("copy", "again")))
+    own = marked.filter("not copy").withColumn("doc", F.xxhash64("id", "key"))
+    if not marks.filter("again and not copy").isEmpty():  # repeated rows are searched once
+        own = own.filter("not again").union(own.filter("again").dropDuplicates(["id", "key"]))
+    places = own.select("doc", "text").mapInArrow(_anchor_rows, "h long, doc long, place long")
+    repeated = places.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, doc long, place long, part int")
+    by_doc = pin(repeated, "places").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "part")).alias("places"))
+    contexts = own.join(by_doc, "doc").select("id", "key", "text", "places").mapInArrow(
         _contexts, "h long, part int, id long, key long, start long, count int, bytes binary"
     )
     dealt = contexts.repartition(n, "h", "part").sortWithinPartitions("h", "part")

@@ -165,6 +165,32 @@ def test_first_strings_of_a_hot_anchor_are_dealt_to_all_tasks(spark, monkeypatch
     assert strings.groupBy("digest").count().agg({"count": "max"}).first()[0] <= 2  # one from each part
 
 
+def unnamed(spark):
+    """Documents of one passage, near copies of each other, half of them without an id and half with a shared one."""
+    rng = random.Random(7)
+    passage = data.words(rng, 60, 10**6)
+    rows = [([None, 5][i % 2], f"{rng.randrange(10**9)} {passage} {rng.randrange(10**9)}") for i in range(60)]
+    return spark.createDataFrame(rows + rows[:6] + rows[:6], "doc_id long, text string")
+
+
+def test_places_of_null_and_shared_ids(spark, monkeypatch):
+    """Places are grouped by document, not by an id that many share, and repeated rows are searched once."""
+    docs, pinned, pin = unnamed(spark), {}, suffix_dedup.pin
+    monkeypatch.setattr(suffix_dedup, "pin", lambda df, name: pinned.setdefault(name, pin(df, name)))
+    check_repeats(docs, ties(docs))
+    most = max(len(suffix_dedup.anchors(np.frombuffer(r["text"].encode(), np.uint8))[0]) for r in docs.collect())
+    places = pinned["places"]
+    assert 0 < places.groupBy(places.columns[1]).count().agg({"count": "max"}).first()[0] <= most
+
+
+def test_texts_of_null_and_shared_ids(spark, monkeypatch):
+    """A text only meets the node made from it."""
+    docs, met, own_texts = unnamed(spark), [], minhash._own_texts
+    monkeypatch.setattr(minhash, "_own_texts", lambda *a: met.append(own_texts(*a)) or met[-1])
+    check_near(docs, 2)
+    assert met[0].count() == docs.count()
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for n, letters in ((1, 3), (2, 1), (60, 1), (800, 2), (900, 256)):
