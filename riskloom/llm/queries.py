@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import (
-    decontaminate, exact_dedup, language_id, minhash, mixing, sharding, suffix_dedup, token_pack, toxicity,
-    url_filter,
+    decontaminate, exact_dedup, graph_search, language_id, minhash, mixing, sharding, suffix_dedup, token_pack, toxicity,
+    url_filter, vector_codes, whitening,
 )
 from riskloom.llm.common import table
 
@@ -54,10 +54,22 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening(table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_url_filter, op2_language_id, op3_decontaminate, op4_toxicity, op5_sharding, op6_mixing, op7_token_pack,
-        op8_suffix_dedup, op9_exact_dedup, op10_minhash,
+        op8_suffix_dedup, op9_exact_dedup, op10_minhash, op11_graph_search, op12_vector_codes, op13_whitening,
     )
     return {f.__name__: f for f in found}
 
@@ -114,6 +126,37 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.co
 FROM sets s JOIN least_of l ON l.x = s.doc_id
 """
 
+OP12_SQL = """
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS p FROM kept, range(16) r(part)
+), book0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, p AS c FROM parts QUALIFY e < 64),
+near0 AS (
+  SELECT vec_id, part, any_value(p) AS p, min(CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64 + e) AS k
+  FROM parts JOIN book0 USING (part) GROUP BY vec_id, part
+), flat0 AS (SELECT part, k % 64 AS e, unnest(p) AS x, unnest(range(len(p))) AS i FROM near0),
+mean0 AS (SELECT part, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM flat0 GROUP BY part, e, i),
+move0 AS (SELECT part, e, list(m ORDER BY i) AS c FROM mean0 GROUP BY part, e),
+book1 AS (SELECT part, e, coalesce(m.c, b.c) AS c FROM book0 b LEFT JOIN move0 m USING (part, e)),
+near1 AS (
+  SELECT vec_id, part, any_value(p) AS p, min(CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64 + e) AS k
+  FROM parts JOIN book1 USING (part) GROUP BY vec_id, part
+), flat1 AS (SELECT part, k % 64 AS e, unnest(p) AS x, unnest(range(len(p))) AS i FROM near1),
+mean1 AS (SELECT part, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS m FROM flat1 GROUP BY part, e, i),
+move1 AS (SELECT part, e, list(m ORDER BY i) AS c FROM mean1 GROUP BY part, e),
+book2 AS (SELECT part, e, coalesce(m.c, b.c) AS c FROM book1 b LEFT JOIN move1 m USING (part, e)),
+near2 AS (
+  SELECT vec_id, part, min(CAST(list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64 + e) AS k
+  FROM parts JOIN book2 USING (part) GROUP BY vec_id, part
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', k % 64), '' ORDER BY part) AS code, CAST(sum(k // 64) AS BIGINT) AS error FROM near2 GROUP BY vec_id
+), books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS h FROM book2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id), books
+"""
+
 
 def all_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_minhash": OP10_SQL}
+    return {"op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL, "op10_minhash": OP10_SQL, "op12_vector_codes": OP12_SQL}
