@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.text import blank, let, normalize, strip
 from riskloom.operators.fuzzy import fuzzy_matches, fuzzy_terms
-from riskloom.session import bounded_rows, row_keyed
+from riskloom.session import BROADCAST_BYTES, bounded_rows, broadcast_blocks, pinned, pinned_union, row_keyed
 
 # Confidence and method of each tier.
 EXACT, SEED_ALIAS, EXTRA_ALIAS = 1, 2, 3
@@ -16,7 +16,6 @@ CONFIDENCE = {EXACT: 0.97, SEED_ALIAS: 0.92, EXTRA_ALIAS: 0.88}
 METHOD = {EXACT: "exact", SEED_ALIAS: "exact alias", EXTRA_ALIAS: "exact alias"}
 
 IN_ROW_TERMS = 256
-BROADCAST_TERMS = 1_000_000
 ANCHOR_LENGTHS = [1, 2, 3, 4, 6, 8]
 
 MATCH_ARRAY = "array<struct<entity_id:string,mention_text:string,confidence:double>>"
@@ -98,43 +97,54 @@ def _hits_in_row(posts: DataFrame, rows) -> DataFrame:
     return posts.withColumn("_hits", let(F.col("_norm"), contained))
 
 
-def _hits_by_join(posts: DataFrame, dictionary: DataFrame, terms: int) -> DataFrame:
-    """Equi-join of the text's character windows with the opening characters of each term.
+def _anchored(dictionary: DataFrame) -> DataFrame:
+    """Adds ``_anchor``: of a term's pieces of one length, the one that the fewest terms hold.
 
-    A term can only occur where its opening does, so no match is lost; ``contains`` then decides.
+    The length depends on that of the term, so that few lengths are in use. An opening that many terms share is no
+    anchor as long as a term has anything of its own.
     """
     size = F.length("term_norm")
-    opening = F.lit(ANCHOR_LENGTHS[0])
+    length = F.lit(ANCHOR_LENGTHS[0])
     for n in ANCHOR_LENGTHS[1:]:
-        opening = F.when(size >= n, F.lit(n)).otherwise(opening)
-    anchored = dictionary.withColumn("_anchor_len", opening)
-    lengths = [r[0] for r in anchored.select("_anchor_len").distinct().collect()]
-    anchored = anchored.withColumn("_anchor", F.substring("term_norm", F.lit(1), F.col("_anchor_len")))
+        length = F.when(size >= n, F.lit(n)).otherwise(length)
+    terms = dictionary.select("term_norm").distinct().withColumn("_len", length)
+    grams = terms.select(
+        "term_norm",
+        F.posexplode(F.transform(
+            F.sequence(F.lit(1), F.length("term_norm") - F.col("_len") + 1),
+            lambda i: F.substring(F.col("term_norm"), i, F.col("_len")),
+        )).alias("_at", "_gram"),
+    )
+    held = grams.select("term_norm", "_gram").distinct().groupBy("_gram").agg(F.count(F.lit(1)).alias("_terms"))
+    rarest = grams.join(held, "_gram").groupBy("term_norm").agg(
+        F.min(F.struct("_terms", "_at", "_gram")).alias("_best")
+    )
+    return dictionary.join(rarest, "term_norm").select("*", F.col("_best._gram").alias("_anchor")).drop("_best")
+
+
+def _hits_by_join(posts: DataFrame, dictionary: DataFrame, block_bytes: int) -> DataFrame:
+    """Equi-join of the text's character windows with a rare piece of each term.
+
+    A term can only occur where its anchor does, so no match is lost; ``contains`` then decides. The terms go to the
+    posts in blocks of bounded bytes: texts and windows are not exchanged, whatever anchors they share.
+    """
+    posts = row_keyed(posts, "hits")  # ids may repeat or be null
+    anchored = pinned(_anchored(dictionary), "anchors")
+    lengths = [r[0] for r in anchored.select(F.length("_anchor")).distinct().collect()]
     windows = [
         F.regexp_extract_all("_norm", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths)
-    ]
+    ] or [F.array().cast("array<string>")]
     hit = F.struct(
         "entity_pos", "tier", "alias_pos", "entity_id", "canonical_name", "term", "term_norm"
     )
-    posts = row_keyed(posts, "hits")  # ids may repeat or be null
-    if terms <= BROADCAST_TERMS:
-        found = (
-            posts.select(
-                "_row", "_norm", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor")
-            )
-            .join(F.broadcast(anchored), "_anchor")
-            .filter(F.col("_norm").contains(F.col("term_norm")))
-            .select("_row", hit.alias("_hit"))
-        )
-    else:
-        found = (
-            posts.select("_row", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor"))
-            .join(anchored, "_anchor")
-            .select("_row", hit.alias("_hit"))
-            .join(posts.select("_row", "_norm"), "_row")
-            .filter(F.col("_norm").contains(F.col("_hit.term_norm")))
-            .select("_row", "_hit")
-        )
+    spread_out = posts.select(
+        "_row", "_norm", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor")
+    )
+    found = pinned_union([
+        spread_out.join(block, "_anchor")
+        .filter(F.col("_norm").contains(F.col("term_norm"))).select("_row", hit.alias("_hit"))
+        for block in broadcast_blocks(anchored, block_bytes)
+    ], "found")
     # a post's hits are bounded by the terms its own text can hold
     order = F.struct("_hit.entity_pos", "_hit.entity_id", "_hit.tier", "_hit.alias_pos", "_hit")
     per_post = found.groupBy("_row").agg(
@@ -152,13 +162,19 @@ def _mention(text: Column, term: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), term)
 
 
-def with_hits(posts: DataFrame, dictionary: DataFrame, in_row_terms: int = IN_ROW_TERMS) -> DataFrame:
-    """Adds ``_norm`` and ``_hits``: every dictionary term that the normalized text contains."""
+def with_hits(
+    posts: DataFrame, dictionary: DataFrame, in_row_terms: int = IN_ROW_TERMS, block_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Adds ``_norm`` and ``_hits``: every dictionary term that the normalized text contains.
+
+    A dictionary of at most ``in_row_terms`` terms is tested inside each row, a larger one is joined in blocks of
+    about ``block_bytes``.
+    """
     normed = posts.withColumn("_norm", normalize(F.coalesce("text", F.lit(""))))
     rows = bounded_rows(dictionary, in_row_terms)
     if rows is not None:
         return _hits_in_row(normed, rows)
-    return _hits_by_join(normed, dictionary, dictionary.count())
+    return _hits_by_join(normed, dictionary, block_bytes)
 
 
 def _first_spellings(matches: Column) -> Column:
@@ -221,14 +237,15 @@ def resolve(
 ) -> DataFrame:
     """Every post with its matches. The fuzzy tier only sees posts that nothing else matched.
 
-    Rows are matched one by one: repeated or null post ids make no difference. Posts with an exact or alias match
-    stay where they are; only the others are keyed and joined with their near terms.
+    Rows are matched one by one: repeated or null post ids make no difference. With the fuzzy tier the exact matches are
+    written once, under a row key; posts that have one are read back as they are, only the others are joined with
+    their near terms.
     """
-    hits = with_hits(posts, alias_dict(entities, extra))
+    matched = exact_matches(with_hits(posts, alias_dict(entities, extra)))
     if not fuzzy:
-        return _collect(exact_matches(hits))
-    found = exact_matches(hits.filter(F.size("_hits") > 0))
-    rest = row_keyed(exact_matches(hits.filter(F.size("_hits") == 0)), "unmatched")
+        return _collect(matched)
+    tried = row_keyed(matched, "matched")
+    found, rest = tried.filter(F.size("_matches") > 0).drop("_row"), tried.filter(F.size("_matches") == 0)
     terms = fuzzy_terms(search_lists(entities, extra))
     near = fuzzy_matches(rest.select(F.col("_row").alias("post_id"), "_norm"), terms, threshold)
     joined = rest.join(near.withColumnRenamed("post_id", "_row"), "_row", "left").withColumn(

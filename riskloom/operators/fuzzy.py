@@ -3,7 +3,8 @@
 Two strings whose similarity 2M/(|a|+|b|) is at least t differ by at most (1-t)(|a|+|b|) single
 character insertions and deletions. A term cut into one piece more than that many edits keeps at
 least one piece intact in any near window, shifted by no more than the number of edits. Joining on
-the pieces is therefore exact, and every candidate that survives is scored with the true ratio.
+the pieces is therefore exact. Each distinct window is looked up once; a bound on the ratio from the
+characters of both strings drops most candidates, and those that survive are scored with the true ratio.
 """
 
 from __future__ import annotations
@@ -15,15 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from riskloom.functions.text import MATCH_TOKEN_CLASS, blank, let, normalize
-from riskloom.session import lookup
+from riskloom.session import BROADCAST_BYTES, broadcast_blocks, lookup, pinned, pinned_union
 
 # Confidence of a near match.
 THRESHOLD = 0.9
 FLOOR, CEILING, FACTOR = 0.75, 0.85, 0.9
 METHOD = "fuzzy"
 
-BROADCAST_TERMS = 1_000_000
-
 
 def match_tokens(c) -> Column:
     return F.regexp_extract_all(c, F.lit(MATCH_TOKEN_CLASS), F.lit(0))
@@ -69,17 +68,26 @@ def pieces(length: int, threshold: float) -> list[tuple[int, int, int]]:
     return [(a, b - a, edits) for a, b in zip(bounds, bounds[1:])]
 
 
-def _term_pieces(terms: DataFrame, threshold: float) -> tuple[DataFrame, list[int], list[tuple]]:
-    """Term pieces, the piece sizes in use, and the window lengths each width can match."""
-    shapes = terms.select("width", F.length("term_norm").alias("n")).distinct().collect()
-    cuts = {n: pieces(n, threshold) for n in {s["n"] for s in shapes}}
-    sizes = sorted({size for cut in cuts.values() for _, size, _ in cut})
+def _shapes(terms: DataFrame) -> list:
+    """The (width, length) pairs that occur among the terms; bounded by the lengths of names."""
+    return terms.select("width", F.length("term_norm").alias("n")).distinct().collect()
+
+
+def _spans(shapes: list, threshold: float) -> list[tuple[int, int, int]]:
+    """(width, shortest, longest): the window lengths that terms of each width can match."""
     spans = []
     for width in sorted({s["width"] for s in shapes}):
         lengths = [s["n"] for s in shapes if s["width"] == width]
         low = min(math.ceil(n * threshold / (2 - threshold) - 1e-9) for n in lengths)
         high = max(math.floor(n * (2 - threshold) / threshold + 1e-9) for n in lengths)
         spans.append((width, low, high))
+    return spans
+
+
+def _term_pieces(terms: DataFrame, shapes: list, threshold: float) -> tuple[DataFrame, list[int]]:
+    """Term pieces and the piece sizes in use."""
+    cuts = {n: pieces(n, threshold) for n in {s["n"] for s in shapes}}
+    sizes = sorted({size for cut in cuts.values() for _, size, _ in cut})
     plan = lookup(
         terms.sparkSession, ["n", "at", "size", "shift"],
         [(n, at, size, shift) for n, cut in cuts.items() for at, size, shift in cut],
@@ -89,7 +97,7 @@ def _term_pieces(terms: DataFrame, threshold: float) -> tuple[DataFrame, list[in
         .join(plan, "n")
         .withColumn("piece", F.expr("substring(term_norm, int(at) + 1, int(size))"))
     )
-    return cut_terms, sizes, spans
+    return cut_terms, sizes
 
 
 def _windows_of(tokens: Column, width: int, low: int, high: int) -> Column:
@@ -119,50 +127,95 @@ def _windows(posts: DataFrame, spans: list[tuple]) -> DataFrame:
     return posts.select("post_id", F.inline(let(match_tokens("_norm"), windows)))
 
 
-def near_terms(posts: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(post_id, start, window, term_norm, ratio) of the windows that are near a term."""
-    cut_terms, sizes, spans = _term_pieces(terms, threshold)
-    if not spans:
-        schema = "post_id string, start int, window string, term_norm string, ratio double"
-        return posts.sparkSession.createDataFrame([], schema)
-    windows = _windows(posts, spans)
-    grams = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all("window", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)),
-                lambda g, i: F.struct(g.alias("piece"), i.alias("seen_at")),
-            )
-            for n in sizes
-        ]
+def _pieces_of(window: Column, sizes: list[int]) -> Column:
+    """Every piece of a window, of each size, with its place."""
+    def cut(n):
+        at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(window) - n))
+        return F.transform(at, lambda i: F.struct(F.substring(window, i + 1, F.lit(n)).alias("piece"), i.alias("seen_at")))
+
+    return F.concat(*[cut(n) for n in sizes])
+
+
+def letters(term: str) -> Column:
+    """Each distinct character of a term with the number of times it occurs."""
+    each = F.array_distinct(F.split(term, ""))
+    size = F.length(term)
+    return F.transform(each, lambda c: F.struct(c.alias("c"), (size - F.length(F.replace(F.col(term), c))).alias("n")))
+
+
+def ratio_bound(window: str, window_length: Column, letters_of_term: str, term_length: Column) -> Column:
+    """Upper bound of the ratio: no matching uses a character more often than both strings hold it."""
+    shared = F.aggregate(
+        letters_of_term, F.lit(0),
+        lambda total, x: total + F.least(x.getField("n"), window_length - F.length(F.replace(F.col(window), x.getField("c")))),
     )
-    length = F.length("window")
+    return 2 * shared / (window_length + term_length)
+
+
+def near_pairs(
+    windows: DataFrame, terms: DataFrame, shapes: list, threshold: float, block_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """(width, window, term_norm, ratio) of the distinct windows that are near a term.
+
+    ``windows`` may repeat: each distinct one is looked up once. Pieces find the candidates, the characters of both
+    strings bound their ratio, and only pairs that could still reach the threshold are compared in Python. The terms
+    go to the windows in blocks of bounded bytes, so a piece that many terms share makes no hot key.
+    """
+    cut_terms, sizes = _term_pieces(terms, shapes, threshold)
+    cut_terms = pinned(cut_terms.withColumn("letters", letters("term_norm")), "pieces")
+    vocabulary = windows.select("width", "window").distinct()
+    blocks = broadcast_blocks(cut_terms, block_bytes)
+    if len(blocks) > 1:
+        vocabulary = pinned(vocabulary, "vocabulary")
+    length, n = F.length("window"), F.col("n")
     fits = (
-        (2 * F.least(length, F.col("n")) >= threshold * (length + F.col("n")) - 1e-9)
+        (2 * F.least(length, n) >= threshold * (length + n) - 1e-9)
         & (F.abs(F.col("seen_at") - F.col("at")) <= F.col("shift"))
     )
-    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    spread_out = vocabulary.select("width", "window", F.inline(_pieces_of(F.col("window"), sizes)))
+    parts = [
+        spread_out.join(block, ["width", "piece"]).filter(fits)
+        .filter(ratio_bound("window", length, "letters", n) >= threshold - 1e-9)
+        .select("width", "window", "term_norm").distinct()
+        for block in blocks
+    ]
     return (
-        windows.select("post_id", "start", "width", "window", F.inline(grams))
-        .join(F.broadcast(cut_terms) if small else cut_terms, ["width", "piece"])
-        .filter(fits)
-        .select("post_id", "start", "window", "term_norm")
-        .withColumn("ratio", similarity("term_norm", "window"))
-        .filter(F.col("ratio") >= threshold)
+        pinned_union(parts, "candidates").distinct()
+        .withColumn("ratio", similarity("term_norm", "window")).filter(F.col("ratio") >= threshold)
     )
 
 
+def near_terms(posts: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(post_id, start, window, term_norm, ratio) of the windows that are near a term.
+
+    The near pairs are written once and laid over the posts' windows, which are derived again rather than stored.
+    """
+    shapes = _shapes(terms)
+    if not shapes:
+        schema = "post_id string, start int, window string, term_norm string, ratio double"
+        return posts.sparkSession.createDataFrame([], schema)
+    windows = _windows(posts, _spans(shapes, threshold))
+    pairs = pinned(near_pairs(windows, terms, shapes, threshold, block_bytes), "near")
+    return pinned_union([
+        windows.join(block, ["width", "window"]).select("post_id", "start", "window", "term_norm", "ratio")
+        for block in broadcast_blocks(pairs, block_bytes)
+    ], "postings")
+
+
 def confidence(ratio: Column) -> Column:
     return F.round(F.least(F.lit(CEILING), F.greatest(F.lit(FLOOR), ratio * FACTOR)), 2)
 
 
-def fuzzy_matches(posts: DataFrame, terms: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def fuzzy_matches(
+    posts: DataFrame, terms: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """(post_id, _near): per post one match for each entity with a near window.
 
     Of an entity's windows the highest ratio wins, then the earliest term, then the first window.
     ``posts`` holds (post_id, _norm); the output struct is the one the exact tiers use.
     """
     best = (
-        near_terms(posts, terms, threshold)
+        near_terms(posts, terms, threshold, block_bytes)
         .join(terms.select("term_norm", "term_pos", "entity_id", "name", "entity_pos"), "term_norm")
         .groupBy("post_id", "entity_id", "entity_pos")
         .agg(

@@ -131,6 +131,54 @@ def _resolution(base: str) -> dict[str, str]:
     }
 
 
+def _block(alo: str, ahi: str, blo: str, bhi: str) -> str:
+    """Longest common block of a[alo:ahi] and b[blo:bhi], the earliest in a, then in b, as one number: its length in the
+    millions, then 999 minus each start."""
+    same = "substr(a, i, q) = substr(b, j, q)"
+    size = f"len(list_filter(range(1, least({ahi} - i, {bhi} - j) + 1), lambda q: {same}))"
+    inner = f"list_max(list_transform(range({blo}, {bhi}), lambda j: {size} * 1000000 + (999 - i) * 1000 + 999 - j))"
+    return f"list_max(list_transform(range({alo}, {ahi}), lambda i: {inner}))"
+
+
+CTES.update({
+    "fuzzy_terms": r"""
+        SELECT entity_id, canonical_name, entity_pos, term_pos, lower(term) AS term_norm,
+               len(regexp_extract_all(lower(term), '[A-Za-z0-9#&$@\-]+')) AS width
+        FROM (
+            SELECT entity_id, canonical_name, entity_pos, 0 AS term_pos, canonical_name AS term FROM entities
+            UNION ALL
+            SELECT entity_id, canonical_name, entity_pos, row_number() OVER (PARTITION BY entity_id ORDER BY term), term
+            FROM (SELECT DISTINCT entity_id, canonical_name, entity_pos, term FROM dict WHERE tier > 1))
+        WHERE width > 0""",
+    "open_tokens": rf"""
+        SELECT post_id, regexp_extract_all(lower({_squash('text')}), '[A-Za-z0-9#&$@\-]+') AS tokens
+        FROM posts WHERE post_id NOT IN (SELECT post_id FROM matches_posts)""",
+    "open_windows": """
+        SELECT post_id, width, start, array_to_string(tokens[start : start + width - 1], ' ') AS win
+        FROM (SELECT post_id, width, tokens, unnest(range(1, len(tokens) - width + 2)) AS start
+              FROM open_tokens, (SELECT DISTINCT width FROM fuzzy_terms))""",
+    "fuzzy_candidates": """
+        SELECT term_norm AS a, win AS b
+        FROM (SELECT DISTINCT width, win FROM open_windows) JOIN (SELECT DISTINCT width, term_norm FROM fuzzy_terms) USING (width)
+        WHERE 2.0 * least(length(a), length(b)) >= 0.9 * (length(a) + length(b)) - 1e-9
+          AND 2.0 * list_sum(list_transform(list_distinct(string_split(a, '')), lambda c:
+              least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, '')))))
+              >= 0.9 * (length(a) + length(b)) - 1e-9""",
+    # the parts left and right of a common block are compared again, until nothing is common
+    "fuzzy_blocks": f"""
+        SELECT a, b, 1 AS alo, length(a) + 1 AS ahi, 1 AS blo, length(b) + 1 AS bhi,
+               {_block('1', 'length(a) + 1', '1', 'length(b) + 1')} AS best
+        FROM fuzzy_candidates
+        UNION ALL
+        SELECT *, {_block('alo', 'ahi', 'blo', 'bhi')} AS best FROM (
+            SELECT a, b, unnest([alo, i + k]) AS alo, unnest([i, ahi]) AS ahi, unnest([blo, j + k]) AS blo, unnest([j, bhi]) AS bhi
+            FROM (SELECT *, best // 1000000 AS k, 999 - (best // 1000) % 1000 AS i, 999 - best % 1000 AS j
+                  FROM fuzzy_blocks WHERE best >= 1000000))
+        WHERE alo < ahi AND blo < bhi""",
+    "fuzzy_ratios": """
+        SELECT a, b, 2.0 * sum(best // 1000000) / (length(a) + length(b)) AS ratio FROM fuzzy_blocks GROUP BY a, b
+        HAVING ratio >= 0.9""",
+})
 CTES.update(_resolution("posts"))
 CTES.update(_resolution("kept"))
 
@@ -289,10 +337,10 @@ for _rows in ["grouped", "small", "by_author"]:
     CTES.update(_scoring(_rows))
 
 
-def _needed(sql: str, found: list[str]) -> None:
+def _needed(sql: str, found: list[str], within: str = "") -> None:
     for name in CTES:
-        if name not in found and re.search(rf"\b{name}\b", sql):
-            _needed(CTES[name], found)
+        if name not in found and name != within and re.search(rf"\b{name}\b", sql):
+            _needed(CTES[name], found, name)
             if name not in found:
                 found.append(name)
 
@@ -302,9 +350,14 @@ def _sql(body: str) -> str:
     _needed(body, found)
     if not found:
         return body
-    return "WITH " + ",\n".join(f"{name} AS ({CTES[name]})" for name in found) + "\n" + body
+    recursive = "RECURSIVE " if "fuzzy_blocks" in found else ""
+    return f"WITH {recursive}" + ",\n".join(f"{name} AS ({CTES[name]})" for name in found) + "\n" + body
 
 
+_FUZZY = """
+    SELECT post_id, entity_id, win AS mention_text, round(least(0.85, greatest(0.75, ratio * 0.9)), 2) AS confidence
+    FROM open_windows w JOIN fuzzy_ratios r ON r.b = w.win JOIN fuzzy_terms t ON t.term_norm = r.a AND t.width = w.width
+    QUALIFY row_number() OVER (PARTITION BY post_id, entity_id ORDER BY ratio DESC, term_pos, start, win, canonical_name) = 1"""
 _MATCH = "entity_id, mention_text, confidence, method"
 _RANKED = """SELECT row_number() OVER (ORDER BY score DESC, entity_id, narrative_id) AS rank, *
              FROM narratives_grouped"""
@@ -611,6 +664,13 @@ BODIES: dict[str, str] = {
         SELECT user_id % 50 FROM events WHERE event_type = 'purchase' AND user_id % 4 = 1)""",
     "narrative_feedback": "SELECT doc_id % 50 AS narrative_id, count(*) AS ratings, round(avg(1 + doc_id % 5), 9) AS mean_rating FROM labels GROUP BY ALL",
 }
+BODIES["fuzzy_tier"] = _FUZZY
+BODIES["resolved_every_tier"] = f"""
+    SELECT p.post_id, coalesce(n, matches) AS matches, CASE WHEN n > 0 THEN 'fuzzy' ELSE resolution_method END AS resolution_method,
+           coalesce(name, entity) AS entity, coalesce(near, resolution_confidence) AS resolution_confidence
+    FROM resolved_posts p LEFT JOIN (
+        SELECT post_id, count(*) AS n, max(confidence) AS near, arg_min(canonical_name, (-confidence, entity_pos, entity_id)) AS name
+        FROM ({_FUZZY}) JOIN entities USING (entity_id) GROUP BY post_id) f USING (post_id)"""
 for _name, _tier in [("exact_tier", 1), ("seed_alias_tier", 2), ("extra_alias_tier", 3)]:
     BODIES[_name] = f"""SELECT post_id, entity_id, CASE WHEN instr(lower(text), lower(term)) > 0
             THEN substr(text, instr(lower(text), lower(term)), length(term)) ELSE term END AS mention_text,

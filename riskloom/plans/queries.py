@@ -480,6 +480,16 @@ def resolved_posts(spark, sf):
     )
 
 
+@query
+def resolved_every_tier(spark, sf):
+    """Resolution of all posts with the fuzzy tier for those that nothing else matched."""
+    everything = E.resolve(V.post_texts(spark, sf), V.entities(spark), V.extra_aliases(spark))
+    return everything.select(
+        "post_id", F.size("resolved_entities").cast("bigint").alias("matches"), "resolution_method",
+        "entity", "resolution_confidence",
+    )
+
+
 @query
 def expanded_posts(spark, sf):
     return E.expand(resolved_all(spark, sf), V.entities(spark)).select(

@@ -77,6 +77,13 @@ def row_keyed(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
+def pinned(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back; later readers prune columns and rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, limit: int):
     """The rows of ``df`` if there are at most ``limit`` of them, else ``None``."""
     rows = df.limit(limit + 1).collect()
@@ -88,6 +95,35 @@ def broadcast_if_small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+#: Bytes of a table sent to every task at once.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_blocks(df: DataFrame, limit: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """``df`` in broadcast parts of about ``limit`` bytes, dealt by a hash of the whole row; one part if it is small.
+
+    A table that is joined by parts needs no exchange of the other side, so no key of it can become hot. Bytes are
+    counted: strings at their length, arrays as text, and a constant for each row and value.
+    """
+    value = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(32))
+    held = df.agg(F.coalesce(F.sum(value), F.lit(0))).first()[0]
+    blocks = max(1, -(-held // limit))
+    if blocks == 1:
+        return [F.broadcast(df)]
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(blocks))
+    return [F.broadcast(df.filter(part == b)) for b in range(blocks)]
+
+
+def pinned_union(parts: list[DataFrame], name: str) -> DataFrame:
+    """All rows of ``parts``; several parts are written one after the other, so that one is worked on at a time."""
+    if len(parts) == 1:
+        return parts[0]
+    path = scratch_path(parts[0].sparkSession, name)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(path)
+
+
 def first_existing(df: DataFrame, names: Sequence[str]) -> str | None:
     """First of ``names`` that ``df`` has; resolved once, when the plan is built."""
     return next((n for n in names if n in df.columns), None)

@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from riskloom.operators import entities as E, fuzzy as Z
 from riskloom.plans import seeds, views as V
@@ -94,6 +95,36 @@ def test_join_path_equals_in_row_path(spark):
     assert rows(1000) == rows(0)
 
 
+SHARED = [(f"the {w}ion", f"t{i}") for i, w in enumerate(["al", "alp", "gamm", "gam", "th", "the th", "omeg", "the "])]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 26, 300])
+def test_terms_with_a_shared_opening(spark, block_bytes):
+    known = entities(spark, [(key, name, f"{name}|the|THE ") for name, key in SHARED])
+    dictionary = E.alias_dict(known, extras(spark, [("none", "x", 0)]))
+    df = posts(spark, "THE  ALION and the thion", "the the thion", "gammion of the gamion", "", None, "xthe omegionx", "t3")
+    rows = [r["term_norm"] for r in dictionary.collect()]
+    texts = {r["post_id"]: " ".join((r["text"] or "").lower().split()) for r in df.collect()}
+    out = E.with_hits(df, dictionary, in_row_terms=0, block_bytes=block_bytes).collect()
+    got = {r["post_id"]: sorted(h["term_norm"] for h in r["_hits"]) for r in out}
+    assert got == {p: sorted(t for t in rows if t in text) for p, text in texts.items()} and any(got.values())
+    assert len(out) == 7
+
+
+def test_anchors_avoid_shared_pieces(spark):
+    known = entities(spark, [(key, name, "") for name, key in SHARED])
+    anchors = E._anchored(E.alias_dict(known, extras(spark)).filter("alias_pos = 0")).collect()
+    assert len(anchors) == len(SHARED)
+    held = {r["term_norm"]: sum(r["_anchor"] in o["term_norm"] for o in anchors) for r in anchors}
+    assert held["the omegion"] == held["the alpion"] == held["the gammion"] == 1
+
+
+def test_an_empty_dictionary_joins_nothing(spark):
+    dictionary = E.alias_dict(entities(spark, SEEDS), extras(spark)).limit(0)
+    out = E.with_hits(posts(spark, "acme", None), dictionary, in_row_terms=-1).collect()
+    assert [r["_hits"] for r in out] == [[], []]
+
+
 def test_reference_alias_table(spark):
     ents = entities(spark, [("pfizer", "Pfizer", ""), ("gsk", "GSK", ""), ("hpv", "HPV", "")])
     out = E.resolve(posts(spark, "buy $PFE now", "Glaxo Smith  Kline", "pizerx", "hpv!"), ents,
@@ -108,18 +139,18 @@ def test_reference_alias_table(spark):
 TERMS = ["licensse", "acme corporation", "bot", "worthlesss thing", "a.b-c d", "zetazetazeta"]
 
 
-@pytest.mark.parametrize("threshold", [0.9, 0.8])
-def test_fuzzy_equals_brute_force(spark, threshold):
+@pytest.mark.parametrize("threshold,block_bytes", [(0.9, 1 << 26), (0.8, 1 << 26), (0.8, 2000)])
+def test_fuzzy_equals_brute_force(spark, threshold, block_bytes):
     texts = [
         "my license was lost", "acme corporatio n", "the acme corporatoin is", "a bott or bot2 x", "worthless thing",
         "a b-c d", "zetazetzeta zetazetazetaz", "licens licensse licenssee", "", "acme", "wortless thng worthlesss things",
-    ]
+    ] + ["my license was lost again"] * 40  # a frequent window
     ents = entities(spark, [("e", TERMS[0], "|".join(TERMS[1:]))])
     terms = Z.fuzzy_terms(E.search_lists(ents, extras(spark, [("none", "x", 0)])))
     df = posts(spark, *texts).selectExpr("post_id", "lower(text) AS _norm")
     order = [r["term"] for r in terms.orderBy("term_pos").collect()]
     assert order == [TERMS[0], *sorted(TERMS[1:])]
-    got = {r["post_id"]: r["_near"][0]["mention_text"] for r in Z.fuzzy_matches(df, terms, threshold).collect()}
+    got = {r["post_id"]: r["_near"][0]["mention_text"] for r in Z.fuzzy_matches(df, terms, threshold, block_bytes).collect()}
     expected = {}
     for i, text in enumerate(texts):
         best = None
@@ -144,6 +175,30 @@ def single(term: str, text: str, threshold: float):
     return best
 
 
+def test_frequent_windows_are_compared_once(spark):
+    terms = Z.fuzzy_terms(E.search_lists(entities(spark, [("e", TERMS[0], "")]), extras(spark, [("none", "x", 0)])))
+    shapes = Z._shapes(terms)
+    df = posts(spark, *["a licenssee here"] * 30).selectExpr("post_id", "lower(text) AS _norm")
+    windows = Z._windows(df, Z._spans(shapes, 0.9))
+    pairs = Z.near_pairs(windows, terms, shapes, 0.9)
+    assert windows.filter("window = 'licenssee'").count() == 30
+    assert [tuple(r) for r in pairs.collect()] == [(1, "licenssee", "licensse", SequenceMatcher(None, "licensse", "licenssee").ratio())]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab-c", min_size=1, max_size=12), st.text("ab-c", min_size=1, max_size=12))
+def test_shared_characters_bound_the_ratio(term, window):
+    shared = sum(min(term.count(c), window.count(c)) for c in set(term))
+    assert SequenceMatcher(None, term, window).ratio() <= 2 * shared / (len(term) + len(window)) + 1e-12
+
+
+def test_ratio_bound_counts_shared_characters(spark):
+    rows = [("licensse", "esnecils"), ("acme", "acmee"), ("a.b", "b..a"), ("ab", "cd")]
+    df = spark.createDataFrame(rows, "t string, w string").withColumn("letters", Z.letters("t"))
+    bound = Z.ratio_bound("w", F.length("w"), "letters", F.length("t"))
+    assert [round(r[0], 6) for r in df.select(bound).collect()] == [1.0, round(8 / 9, 6), round(6 / 7, 6), 0.0]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("ab-c", min_size=1, max_size=12), st.text("ab-c", min_size=1, max_size=12), st.sampled_from([0.9, 0.75, 0.6]))
 def test_pieces_never_lose_a_near_pair(term, window, threshold):
