@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskloom.functions.text import let
+
 ENGAGEMENT_COLUMNS = ["likes", "shares", "comments", "views"]
 
 # Display names of score components, and the prefix of the per-label ones.
@@ -85,4 +87,4 @@ def unit(c) -> Column:
     v = _col(c).cast("array<double>")
     norm = F.sqrt(dot(v, v))
     safe = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
-    return F.transform(v, lambda x: x / safe)
+    return let(safe, lambda n: F.transform(v, lambda x: x / n))

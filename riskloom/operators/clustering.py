@@ -1,23 +1,23 @@
 """Narratives: grouped k-means over every entity at once, merging, relabelling, numbering.
 
 A group's rows are never brought together. Points are distinct vectors with a weight; each entity's
-points are spread over blocks of bounded size, blocks return partial sums, and the sums are added
-with partial aggregation. Only cluster-level rows (at most ``max_clusters`` per entity) are ever
+points are spread over blocks of bounded size, which are rows with flat arrays. Centers are joined to
+the blocks, blocks return partial sums, and the sums are added with partial aggregation. Only cluster-level rows (at most ``max_clusters`` per entity) are ever
 looked at as a whole.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 
 from riskloom.functions.numeric import dot, unit
 from riskloom.functions.text import blank
 from riskloom.operators.risk import TEXT_FEATURES, context_chars, text_vectors
-from riskloom.session import broadcast_if_small, cut_lineage, numbered
+from riskloom.session import broadcast_if_small, cut_lineage, numbered, pinned
 
 # Cluster counts, restarts and merge thresholds.
 MAX_CLUSTERS = 40
@@ -30,8 +30,12 @@ LARGE_CLUSTER, LARGE_MARGIN = 20, 0.03
 
 #: Rounds after which k-means gives up with an error; it stops when no center moves.
 ROUNDS = 300
-BLOCK_VALUES = 4_000_000
+#: Values of a block of points, which is one row; values of all centers that are sent to every task.
+BLOCK_VALUES = 250_000
 BROADCAST_VALUES = 8_000_000
+#: Squared distance below which a center counts as unmoved; candidates per cluster for the start.
+STILL = 1e-18
+CANDIDATES = 10
 
 
 def cluster_counts(df: DataFrame, max_clusters: int = MAX_CLUSTERS) -> DataFrame:
@@ -60,141 +64,217 @@ def distinct_points(df: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def _farthest_first(group: pa.Table, trials: int) -> pa.Table:
+    """Starts of one entity: trial t begins with its t-th candidate and goes on with the one farthest from those chosen."""
+    group = group.sort_by("_r")
+    x = _matrix(group["vec"])
+    k = min(group["k"][0].as_py(), len(x))
+    out = []
+    for trial in range(trials):
+        chosen = [trial % len(x)]
+        away = ((x - x[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < k:
+            chosen.append(int(away.argmax()))
+            away = np.minimum(away, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        out += [(trial, c, at) for c, at in enumerate(chosen)]
+    trial, cluster, at = (np.array(v, np.int32) for v in zip(*out))
+    return pa.table({
+        "entity_id": group["entity_id"].take(at), "trial": trial, "cluster": cluster, "vec": group["vec"].take(at),
+    })
+
+
 def initial_centroids(
     points: DataFrame, counts: DataFrame, seed: int, trials: int, max_clusters: int = MAX_CLUSTERS
 ) -> DataFrame:
-    """k distinct points per entity and trial, chosen by a seeded hash. The rank limit is applied
-    before rows are exchanged, so a large entity sends only its k candidates per task."""
-    keyed = points.select(
-        "entity_id", "vec", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial")
-    ).withColumn("_h", F.xxhash64(F.lit(seed), "trial", "vec"))
-    order = W.partitionBy("entity_id", "trial").orderBy("_h", "vec")
-    return (
-        keyed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_clusters)
-        .join(counts.select("entity_id", "k"), "entity_id").filter("_r <= k")
-        .select("entity_id", "trial", (F.col("_r") - 1).alias("cluster"), "vec")
+    """k distinct points per entity and trial, mutually far, out of a bounded number of candidates.
+
+    Candidates are the ``CANDIDATES * max_clusters`` points with the least seeded hash. The rank limit is applied before
+    rows are exchanged, so a large entity sends that many per task at most.
+    """
+    order = W.partitionBy("entity_id").orderBy("_h", "vec")
+    candidates = (
+        points.select("entity_id", "vec", F.xxhash64(F.lit(seed), "vec").alias("_h"))
+        .withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= CANDIDATES * max_clusters)
+        .join(counts.select("entity_id", "k"), "entity_id")
     )
 
+    def start(group: pa.Table) -> pa.Table:
+        return _farthest_first(group, trials)
 
-def _nearest(block: pd.DataFrame, centers: pd.DataFrame):
-    """Per trial: labels of the block's points and their squared distances."""
-    x = np.stack(block["vec"].to_numpy())
-    for trial, group in centers.groupby("trial"):
-        group = group.sort_values("cluster")
-        c = np.stack(group["center"].to_numpy())
-        gap = (c * c).sum(axis=1) - 2.0 * x @ c.T
-        best = gap.argmin(axis=1)
-        cost = np.maximum(gap[np.arange(len(x)), best] + (x * x).sum(axis=1), 0.0)
-        yield trial, x, group["cluster"].to_numpy()[best], cost
+    return candidates.groupBy("entity_id").applyInArrow(
+        start, "entity_id string, trial int, cluster int, vec array<double>"
+    )
 
 
-def _partial_sums(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    if len(block) and len(centers):
-        w = block["weight"].to_numpy(dtype=float)
-        for trial, x, labels, cost in _nearest(block, centers):
-            for label in np.unique(labels):
-                own = labels == label
-                out.append(
-                    (block["entity_id"].iloc[0], trial, label,
-                     (x[own] * w[own, None]).sum(axis=0), w[own].sum(), (cost[own] * w[own]).sum())
-                )
-    return pd.DataFrame(out, columns=["entity_id", "trial", "cluster", "total", "n", "cost"])
-
-
-def _labels(block: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
-    out = block[["entity_id", "vec", "weight"]].assign(cluster=0)
-    if len(block) and len(centers):
-        for _, _, labels, _ in _nearest(block, centers):
-            out["cluster"] = labels
-    return out
-
-
-def _per_block(points: DataFrame, centers: DataFrame, work, schema: str) -> DataFrame:
-    """``work(block, centers)`` over blocks of points with the centers of their entity.
-
-    Centers of checked size travel to the tasks and the points stay where they are. Larger ones are
-    co-grouped with the points, entity by entity and block by block.
-    """
-    named = centers.select("entity_id", "trial", "cluster", F.col("vec").alias("center"))
-    values = named.agg(F.coalesce(F.sum(F.size("center")), F.lit(0))).first()[0]
-    if values <= BROADCAST_VALUES:
-        table = {entity: group for entity, group in named.toPandas().groupby("entity_id")}
-        shared = points.sparkSession.sparkContext.broadcast(table)
-
-        def over_batches(batches):
-            for batch in batches:
-                for entity, block in batch.groupby("entity_id"):
-                    yield work(block, shared.value[entity])
-
-        return points.mapInPandas(over_batches, schema)
-    blocks = points.select(F.col("entity_id").alias("_entity"), F.col("block").alias("_block")).distinct()
-    spread = blocks.join(named, F.col("_entity") == F.col("entity_id")).drop("entity_id")
-    return (
-        points.groupBy("entity_id", "block").cogroup(spread.groupBy("_entity", "_block"))
-        .applyInPandas(work, schema)
-    )
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
 
-def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """(entity_id, trial, cluster, vec, n, cost): new centers and the cost under the old ones.
+def _lists(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.reshape(-1), pa.float64()))
 
-    ``vec`` is the mean of the points nearest to the old center; a center nothing is nearest to
-    disappears.
-    """
-    sums = _per_block(
-        points, centers, _partial_sums,
-        "entity_id string, trial int, cluster int, total array<double>, n double, cost double",
+
+def _pack(block: pa.Table) -> pa.Table:
+    """The points of one block as one row with flat arrays."""
+    whole = pa.array([len(block)], pa.int32())
+    ends = pa.array([0, len(block)], pa.int32())
+    flat = block["vec"].combine_chunks().flatten()
+    return pa.table({
+        "entity_id": block["entity_id"].combine_chunks().slice(0, 1), "points": whole,
+        "values": pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat),
+        "weights": pa.ListArray.from_arrays(ends, block["weight"].combine_chunks()),
+    })
+
+
+def packed(points: DataFrame) -> DataFrame:
+    """(entity_id, points, values, weights): a row per block of points, so that centers can be joined to blocks."""
+    if "values" in points.columns:
+        return points
+    return points.groupBy("entity_id", "block").applyInArrow(
+        _pack, "entity_id string, points int, values array<double>, weights array<bigint>"
     )
-    added = sums.groupBy("entity_id", "trial", "cluster").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+
+
+def _with_centers(blocks: DataFrame, centers: DataFrame, small: bool) -> DataFrame:
+    """Blocks with the centers of their entity as one array, sent to the tasks if their number is small."""
+    per_entity = centers.groupBy("entity_id").agg(
+        F.array_sort(F.collect_list(F.struct("trial", "cluster", "vec"))).alias("centers")
     )
-    return added.select(
-        "entity_id", "trial", "cluster",
-        F.transform("total", lambda v: v / F.col("n")).alias("vec"), "n", "cost",
+    return packed(blocks).join(F.broadcast(per_entity) if small else per_entity, "entity_id")
+
+
+def _assigned(batch: pa.RecordBatch):
+    """Per block and trial: the block's row, trial, points, weights, labels, their clusters and squared distances."""
+    for i in range(batch.num_rows):
+        x = batch["values"][i].values.to_numpy().reshape(batch["points"][i].as_py(), -1)
+        w = batch["weights"][i].values.to_numpy().astype(float)
+        centers = batch["centers"][i].values
+        trials, clusters = centers.field("trial").to_numpy(), centers.field("cluster").to_numpy()
+        c = _matrix(centers.field("vec"))
+        squares = (x * x).sum(axis=1)
+        for trial in np.unique(trials):
+            own = trials == trial
+            gap = (c[own] ** 2).sum(axis=1) - 2.0 * x @ c[own].T
+            best = gap.argmin(axis=1)
+            away = np.maximum(gap[np.arange(len(x)), best] + squares, 0.0)
+            yield i, int(trial), x, w, best, clusters[own], away
+
+
+def _partial_sums(batches):
+    for batch in batches:
+        rows, totals, far = [], [], []
+        for i, trial, x, w, best, clusters, away in _assigned(batch):
+            for label in np.unique(best):
+                own = best == label
+                farthest = np.flatnonzero(own)[away[own].argmax()]
+                rows.append((i, trial, clusters[label], w[own].sum(), (away[own] * w[own]).sum(), away[farthest]))
+                totals.append(w[own] @ x[own])
+                far.append(x[farthest])
+        if rows:
+            i, trial, cluster, n, cost, gap = zip(*rows)
+            yield pa.RecordBatch.from_pydict({
+                "entity_id": batch["entity_id"].take(pa.array(i)), "trial": pa.array(trial, pa.int32()),
+                "cluster": pa.array(cluster, pa.int32()), "total": _lists(np.array(totals)), "n": pa.array(n, pa.float64()),
+                "cost": pa.array(cost, pa.float64()), "gap": pa.array(gap, pa.float64()), "point": _lists(np.array(far)),
+            })
+
+
+def _labels(batches):
+    for batch in batches:
+        for i, _, x, w, best, clusters, _ in _assigned(batch):
+            yield pa.RecordBatch.from_pydict({
+                "entity_id": batch["entity_id"].take(pa.array([i] * len(x))), "vec": _lists(x),
+                "weight": pa.array(w.astype(np.int64)), "cluster": pa.array(clusters[best], pa.int32()),
+            })
+
+
+def labelled_points(blocks: DataFrame, centers: DataFrame) -> DataFrame:
+    """(entity_id, vec, weight, cluster): every distinct point with its nearest center."""
+    small = (centers.agg(F.sum(F.size("vec"))).first()[0] or 0) <= BROADCAST_VALUES
+    return _with_centers(blocks, centers, small).mapInArrow(
+        _labels, "entity_id string, vec array<double>, weight bigint, cluster int"
     )
 
 
-def _movement(old: DataFrame, new: DataFrame) -> float:
-    """Largest squared move of any center, the only thing a round sends to the driver."""
-    before = old.select("entity_id", "trial", "cluster", F.col("vec").alias("_old"))
-    both = before.join(new, ["entity_id", "trial", "cluster"], "left")
+def lloyd_step(points: DataFrame, centers: DataFrame, small: bool = True) -> DataFrame:
+    """(entity_id, trial, cluster, vec, n, cost, moved): centers after one round, with the costs under the old ones.
+
+    ``vec`` is the mean of the points nearest to the old center. A center nothing is nearest to stays, except the first
+    such one of a trial: it moves to the point farthest from its own center, so that every cluster gets points in the end.
+    ``moved`` is the squared move, ``cost`` that of the whole trial.
+    """
+    sums = _with_centers(points, centers, small).mapInArrow(
+        _partial_sums,
+        "entity_id string, trial int, cluster int, total array<double>, n double, cost double, gap double, point array<double>",
+    )
+    key = ["entity_id", "trial", "cluster"]
+    added = sums.groupBy(*key).agg(
+        vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("n").alias("n"),
+        F.sum("cost").alias("cost"), F.max(F.struct("gap", "point")).alias("far"),
+    )
+    # a window holds the clusters of one trial, never more than the largest k
+    trial = W.partitionBy("entity_id", "trial")
+    empty = F.col("n").isNull()
+    first_empty = F.row_number().over(trial.orderBy(F.desc(empty), "cluster")) == 1
+    far = F.max("far").over(trial)
+    joined = centers.select(*key, F.col("vec").alias("_old")).join(added, key, "left")
+    seen = joined.withColumns({
+        "_fill": empty & first_empty & (far.getField("gap") > STILL), "_far": far.getField("point"),
+        "cost": F.sum("cost").over(trial),
+    })
+    mean = F.transform("total", lambda v: v / F.col("n"))
+    new = seen.withColumn("vec", F.when(F.col("_fill"), F.col("_far")).when(empty, F.col("_old")).otherwise(mean))
     gap = F.zip_with("_old", "vec", lambda a, b: a - b)
-    moved = F.when(F.col("vec").isNull(), 1.0).otherwise(dot(gap, gap))
-    return both.agg(F.coalesce(F.max(moved), F.lit(0.0))).first()[0]
+    return new.select(*key, "vec", F.coalesce("n", F.lit(0.0)).alias("n"), "cost", dot(gap, gap).alias("moved"))
 
 
 def grouped_kmeans(
     df: DataFrame, counts: DataFrame, seed: int = SEED, trials: int = TRIALS, rounds: int = ROUNDS,
     max_clusters: int = MAX_CLUSTERS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(points, centers): the best trial's centers per entity with ``first_cost`` and ``cost``."""
-    points = cut_lineage(
-        distinct_points(df, counts).repartition("entity_id", "block").sortWithinPartitions("entity_id")
+    """(blocks, centers): the best trial's centers per entity with ``first_cost`` and ``cost``.
+
+    All entities and trials are moved together, each round by one job; a trial whose centers stand still is left out of
+    later rounds. The rounds report the number of open trials through an observation, nothing else reaches the driver.
+    """
+    points = pinned(distinct_points(df, counts), "points")
+    blocks = pinned(packed(points), "blocks")
+    width = F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")
+    size = points.groupBy("entity_id").agg(width).join(counts, "entity_id").agg(F.sum(F.col("k") * F.col("d"))).first()[0]
+    small = (size or 0) * trials <= BROADCAST_VALUES
+    start = initial_centroids(points, counts, seed, trials, max_clusters)
+    unknown = F.lit(None).cast("double")
+    state = pinned(
+        start.select("*", F.lit(0.0).alias("n"), unknown.alias("cost"), unknown.alias("first_cost"), F.lit(False).alias("settled")),
+        "centers",
     )
-    centers = cut_lineage(initial_centroids(points, counts, seed, trials, max_clusters))
-    first = None
     for _ in range(rounds):
-        moved = cut_lineage(lloyd_step(points, centers))
-        if first is None:
-            first = moved.groupBy("entity_id", "trial").agg(F.sum("cost").alias("first_cost"))
-        change = _movement(centers, moved)
-        centers = moved
-        if change < 1e-18:
+        state, still_open = _round(blocks, state, small)
+        if not still_open:
             break
     else:
         raise RuntimeError(f"centers still move after {rounds} rounds; allow more")
-    costs = centers.groupBy("entity_id", "trial").agg(F.sum("cost").alias("cost"))
-    best = (
-        costs.join(first, ["entity_id", "trial"])
-        .groupBy("entity_id")
-        .agg(F.min(F.struct("cost", "trial", "first_cost")).alias("b"))
-        .select("entity_id", F.col("b.trial").alias("trial"), F.col("b.cost").alias("cost"),
-                F.col("b.first_cost").alias("first_cost"))
+    best = state.groupBy("entity_id").agg(F.min(F.struct("cost", "trial")).alias("_b"))
+    chosen = state.drop("settled").join(best.select("entity_id", F.col("_b.trial").alias("trial")), ["entity_id", "trial"])
+    return blocks, pinned(chosen, "chosen")
+
+
+def _round(blocks: DataFrame, state: DataFrame, small: bool) -> tuple[DataFrame, int]:
+    """The state after one round of the open trials, and how many of their centers are not settled."""
+    open_trials = state.filter("not settled")
+    costs = open_trials.select("entity_id", "trial", "cluster", "first_cost")
+    trial = W.partitionBy("entity_id", "trial")
+    moved = (
+        lloyd_step(blocks, open_trials, small).join(costs, ["entity_id", "trial", "cluster"])
+        .withColumns({"first_cost": F.coalesce("first_cost", "cost"), "settled": F.max("moved").over(trial) < STILL})
+        .drop("moved")
     )
-    chosen = centers.drop("cost").join(best, ["entity_id", "trial"])
-    return points, cut_lineage(chosen)
+    report = Observation()
+    observed = moved.observe(report, F.count(F.when(~F.col("settled"), 1)).alias("open"))
+    after = pinned(state.filter("settled").unionByName(observed), "centers")
+    return after, report.get["open"]
 
 
 def centroids(labelled: DataFrame) -> DataFrame:
@@ -211,27 +291,50 @@ def centroids(labelled: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_in_entity(clusters: pd.DataFrame) -> pd.DataFrame:
-    clusters = clusters.sort_values("cluster")
-    labels = clusters["cluster"].to_numpy()
-    m = np.stack(clusters["vec"].to_numpy())
-    sim = m @ m.T
-    np.fill_diagonal(sim, -np.inf)
-    to = sim.argmax(axis=1)
-    keep = np.isfinite(sim[np.arange(len(labels)), to])
-    return pd.DataFrame(
-        {
-            "entity_id": clusters["entity_id"].to_numpy(), "cluster": labels,
-            "nearest": labels[to], "similarity": sim[np.arange(len(labels)), to],
-        }
-    )[keep]
+def nearest_clusters(clusters: DataFrame) -> DataFrame:
+    """(entity_id, cluster, nearest, similarity): most similar other cluster, ties to the lowest label.
+
+    An entity has at most ``max_clusters`` clusters, so the pairs of an entity are few.
+    """
+    other = clusters.select("entity_id", F.col("cluster").alias("nearest"), F.col("vec").alias("_other"))
+    pairs = clusters.select("entity_id", "cluster", "vec").join(other, "entity_id").filter("cluster <> nearest")
+    compared = pairs.select("entity_id", "cluster", "nearest", dot("vec", "_other").alias("similarity"))
+    order = W.partitionBy("entity_id", "cluster").orderBy(F.desc("similarity"), "nearest")
+    return compared.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
-def nearest_clusters(clusters: DataFrame) -> DataFrame:
-    """(entity_id, cluster, nearest, similarity): most similar other cluster, ties to the lowest
-    label. A group is one entity's clusters, never more than ``max_clusters`` rows."""
-    return clusters.select("entity_id", "cluster", "vec").groupBy("entity_id").applyInPandas(
-        _nearest_in_entity, "entity_id string, cluster int, nearest int, similarity double"
+def merge_pairs(clusters: DataFrame, threshold: float) -> DataFrame:
+    """(entity_id, cluster, target): clusters that one merging round moves, and the lower label they go to.
+
+    Two clusters merge if each is the other's nearest and they are similar enough; two large ones need a margin.
+    """
+    near = nearest_clusters(clusters).join(clusters.select("entity_id", "cluster", "n"), ["entity_id", "cluster"])
+    other = near.select(
+        "entity_id", F.col("cluster").alias("nearest"), F.col("nearest").alias("back"), F.col("n").alias("other_n")
+    )
+    both_large = (F.col("n") >= LARGE_CLUSTER) & (F.col("other_n") >= LARGE_CLUSTER)
+    needed = F.when(both_large, threshold + LARGE_MARGIN).otherwise(threshold)
+    return (
+        near.join(other, ["entity_id", "nearest"])
+        .filter((F.col("back") == F.col("cluster")) & (F.col("cluster") < F.col("nearest")))
+        .filter(F.col("similarity") >= needed)
+        .select("entity_id", F.col("nearest").alias("cluster"), F.col("cluster").alias("target"))
+    )
+
+
+def merge_round(state: DataFrame, threshold: float) -> DataFrame:
+    """``state`` (entity_id, cluster, total, n, vec, members) after one round; ``target`` tells who moved into a cluster.
+
+    Sums and sizes add up, so the points are not read again.
+    """
+    moved = state.join(merge_pairs(state, threshold), ["entity_id", "cluster"], "left")
+    return (
+        moved.groupBy("entity_id", F.coalesce("target", "cluster").alias("cluster"))
+        .agg(
+            vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"), F.sum("n").alias("n"),
+            F.flatten(F.collect_list("members")).alias("members"), F.count("target").alias("merged"),
+        )
+        .withColumn("vec", unit("total"))
     )
 
 
@@ -241,37 +344,13 @@ def merge_clusters(clusters: DataFrame, threshold: float) -> DataFrame:
     In each round the clusters that are each other's nearest and similar enough become one, under
     the lower label. Sums and sizes add up, so the points are not read again.
     """
-    state = cut_lineage(
-        clusters.select("entity_id", "cluster", "total", "n", "vec", F.array("cluster").alias("members"))
-    )
-    while True:
-        near = nearest_clusters(state).join(state.select("entity_id", "cluster", "n"), ["entity_id", "cluster"])
-        other = near.select(
-            "entity_id", F.col("cluster").alias("nearest"), F.col("nearest").alias("back"),
-            F.col("n").alias("other_n"),
-        )
-        both_large = (F.col("n") >= LARGE_CLUSTER) & (F.col("other_n") >= LARGE_CLUSTER)
-        needed = F.when(both_large, threshold + LARGE_MARGIN).otherwise(threshold)
-        pairs = cut_lineage(
-            near.join(other, ["entity_id", "nearest"])
-            .filter((F.col("back") == F.col("cluster")) & (F.col("cluster") < F.col("nearest")))
-            .filter(F.col("similarity") >= needed)
-            .select("entity_id", F.col("nearest").alias("cluster"), F.col("cluster").alias("target"))
-        )
-        if pairs.isEmpty():
-            break
-        moved = state.join(pairs, ["entity_id", "cluster"], "left").withColumn(
-            "cluster", F.coalesce("target", "cluster")
-        )
-        state = cut_lineage(
-            moved.groupBy("entity_id", "cluster")
-            .agg(
-                vector_to_array(Summarizer.sum(array_to_vector("total"))).alias("total"),
-                F.sum("n").alias("n"),
-                F.flatten(F.collect_list("members")).alias("members"),
-            )
-            .withColumn("vec", unit("total"))
-        )
+    state = pinned(clusters.select("entity_id", "cluster", "total", "n", "vec", F.array("cluster").alias("members")), "clusters")
+    merged = None
+    while merged != 0:  # every round with a pair removes a cluster, so this ends
+        report = Observation()
+        observed = merge_round(state, threshold).observe(report, F.coalesce(F.sum("merged"), F.lit(0)).alias("merged"))
+        state = pinned(observed.drop("merged"), "clusters")
+        merged = report.get["merged"]
     return state.select(
         "entity_id", F.explode("members").alias("member"), F.col("cluster").alias("kept")
     ).withColumnRenamed("member", "cluster")
@@ -316,13 +395,8 @@ def cluster_vectors(
 ) -> DataFrame:
     """Adds ``local_id`` to rows that carry vectors."""
     counts = cut_lineage(cluster_counts(rows, max_clusters))
-    points, centers = grouped_kmeans(rows, counts, trials=trials, max_clusters=max_clusters)
-    labelled = cut_lineage(
-        _per_block(
-            points, centers, _labels,
-            "entity_id string, vec array<double>, weight bigint, cluster int",
-        )
-    )
+    blocks, centers = grouped_kmeans(rows, counts, trials=trials, max_clusters=max_clusters)
+    labelled = pinned(labelled_points(blocks, centers), "labelled")
     final = relabel(merge_clusters(centroids(labelled), threshold))
     by_point = labelled.join(final, ["entity_id", "cluster"]).select("entity_id", "vec", "local_id")
     keyed = rows.withColumn("_vec", unit("risk_embedding"))

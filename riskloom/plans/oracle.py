@@ -337,6 +337,39 @@ for _rows in ["grouped", "small", "by_author"]:
     CTES.update(_scoring(_rows))
 
 
+def _merging(rounds: int, threshold: float) -> dict[str, str]:
+    """Merging rounds one after the other; an entity of m clusters is at rest after m - 1 of them."""
+    steps = {"merged_0": "SELECT DISTINCT entity_id, cluster, cluster AS kept FROM vecs"}
+    for r in range(rounds):
+        steps[f"heads_{r}"] = f"""
+            SELECT entity_id, kept, max(n) AS n, list(total ORDER BY dim) AS t, list_transform(t, lambda x: x / sqrt(list_dot_product(t, t))) AS v
+            FROM (SELECT entity_id, kept, dim, count(*) AS n, sum(value) AS total FROM (
+                SELECT entity_id, kept, generate_subscripts(v, 1) AS dim, unnest(v) AS value
+                FROM unit_vecs JOIN merged_{r} USING (entity_id, cluster)) GROUP BY ALL) GROUP BY ALL"""
+        steps[f"closest_{r}"] = f"""
+            SELECT a.entity_id, a.kept, b.kept AS other, a.n, b.n AS other_n, list_dot_product(a.v, b.v) AS s
+            FROM heads_{r} a JOIN heads_{r} b ON a.entity_id = b.entity_id AND a.kept <> b.kept
+            QUALIFY row_number() OVER (PARTITION BY a.entity_id, a.kept ORDER BY s DESC, b.kept) = 1"""
+        steps[f"joined_{r}"] = f"""
+            SELECT a.entity_id, a.other AS kept, a.kept AS target FROM closest_{r} a JOIN closest_{r} b
+            ON a.entity_id = b.entity_id AND a.other = b.kept AND b.other = a.kept
+            WHERE a.kept < a.other AND a.s >= {threshold} + CASE WHEN a.n >= 20 AND a.other_n >= 20 THEN 0.03 ELSE 0 END"""
+        steps[f"merged_{r + 1}"] = f"""
+            SELECT entity_id, cluster, coalesce(target, kept) AS kept FROM merged_{r} LEFT JOIN joined_{r} USING (entity_id, kept)"""
+    return steps
+
+
+CTES.update(_merging(4, 0.1))
+CTES["start_vecs"] = """
+    SELECT entity_id, v, row_number() OVER (PARTITION BY entity_id ORDER BY CAST(post_id AS BIGINT)) - 1 AS cluster
+    FROM (SELECT entity_id, post_id, v FROM unit_vecs) QUALIFY cluster < 5"""
+CTES["start_near"] = """
+    SELECT u.entity_id, u.post_id, any_value(u.v) AS v, arg_min(c.cluster, (d, c.cluster)) AS cluster, min(d) AS d
+    FROM (SELECT u.*, c.cluster, list_sum(list_transform(list_zip(u.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+          FROM (SELECT entity_id, post_id, v FROM unit_vecs) u JOIN start_vecs c USING (entity_id)) u
+    JOIN start_vecs c USING (entity_id, cluster) GROUP BY u.entity_id, u.post_id"""
+
+
 def _needed(sql: str, found: list[str], within: str = "") -> None:
     for name in CTES:
         if name not in found and name != within and re.search(rf"\b{name}\b", sql):
@@ -522,6 +555,15 @@ BODIES: dict[str, str] = {
     "normalized_vectors": """SELECT post_id, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v), 6) + 0.0 AS value FROM unit_vecs""",
     "grouped_clusters": """SELECT CAST(label AS VARCHAR) AS entity_id, count(*) AS points, true AS at_most_k, true AS more_than_one,
         true AS cost_not_above_first FROM embeddings GROUP BY ALL""",
+    "lloyd_round": """
+        SELECT entity_id, cluster, count(*) AS n, round(any_value(cost), 6) AS cost, dim, round(avg(value), 6) + 0.0 AS value FROM (
+            SELECT entity_id, cluster, sum(d) OVER (PARTITION BY entity_id) AS cost, v FROM start_near), LATERAL (
+            SELECT generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS value) GROUP BY entity_id, cluster, dim""",
+    "cluster_fill": """SELECT CAST(label AS VARCHAR) AS entity_id, CAST(CASE WHEN count(*) <= 3 THEN 1
+        ELSE least(40, greatest(2, floor(pow(count(*), 0.6))), count(*)) END AS BIGINT) AS clusters, count(*) AS points
+        FROM embeddings GROUP BY ALL""",
+    "merge_pairs": "SELECT entity_id, kept AS cluster, target FROM joined_0",
+    "merge_fixpoint": "SELECT entity_id, cluster, kept FROM merged_4",
     "cluster_centroids": """SELECT entity_id, cluster, n, generate_subscripts(v, 1) - 1 AS dim, round(unnest(v), 6) + 0.0 AS value FROM centroids""",
     "nearest_cluster_pairs": """SELECT a.entity_id, a.cluster, b.cluster AS nearest, round(list_dot_product(a.v, b.v), 6) AS similarity
         FROM centroids a JOIN centroids b ON a.entity_id = b.entity_id AND a.cluster <> b.cluster

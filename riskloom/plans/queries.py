@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from riskloom.functions import numeric as N, text as T
 from riskloom.operators import (
@@ -638,6 +638,32 @@ def grouped_clusters(spark, sf):
     )
 
 
+@query
+def lloyd_round(spark, sf):
+    """One k-means round of all entities from the five lowest post ids of each."""
+    rows = V.vectors(spark, sf)
+    points = C.distinct_points(rows, C.cluster_counts(rows))
+    first = W.partitionBy("entity_id").orderBy(F.col("post_id").cast("long"))
+    start = rows.withColumn("cluster", F.row_number().over(first) - 1).filter("cluster < 5").select(
+        "entity_id", F.lit(0).alias("trial"), F.col("cluster").cast("int").alias("cluster"), N.unit("risk_embedding").alias("vec")
+    )
+    moved = C.lloyd_step(points, start)
+    return moved.select(
+        "entity_id", F.col("cluster").cast("bigint").alias("cluster"), F.col("n").cast("bigint").alias("n"),
+        F.round("cost", 6).alias("cost"), F.posexplode("vec").alias("dim", "value"),
+    ).withColumns({"dim": F.col("dim").cast("bigint"), "value": F.round("value", 6) + 0.0})
+
+
+@query
+def cluster_fill(spark, sf):
+    """Clusters and points of every entity after k-means: as many clusters as asked for, none of them empty."""
+    rows = V.vectors(spark, sf)
+    _, centers = C.grouped_kmeans(rows, C.cluster_counts(rows), trials=2)
+    return centers.groupBy("entity_id").agg(
+        F.count(F.when(F.col("n") > 0, 1)).alias("clusters"), F.sum("n").cast("bigint").alias("points")
+    )
+
+
 @query
 def cluster_centroids(spark, sf):
     c = C.centroids(weighted(local_groups(spark, sf)))
@@ -670,6 +696,20 @@ def merged_clusters(spark, sf):
     )
 
 
+@query
+def merge_pairs(spark, sf):
+    """Clusters that one merging round moves, and where they go."""
+    pairs = C.merge_pairs(C.centroids(weighted(local_groups(spark, sf))), 0.1)
+    return pairs.select("entity_id", *(F.col(c).cast("bigint").alias(c) for c in ("cluster", "target")))
+
+
+@query
+def merge_fixpoint(spark, sf):
+    """Where every cluster ends up when merging has come to rest."""
+    merged = C.merge_clusters(C.centroids(weighted(local_groups(spark, sf))), 0.1)
+    return merged.select("entity_id", *(F.col(c).cast("bigint").alias(c) for c in ("cluster", "kept")))
+
+
 @query
 def contiguous_labels(spark, sf):
     rows = local_groups(spark, sf).filter("cluster <> 2")

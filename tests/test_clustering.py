@@ -72,6 +72,46 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
     assert cost() == pytest.approx(whole)
 
 
+def test_empty_clusters_are_refilled_with_the_farthest_point(spark):
+    data = [[float(np.cos(a)), float(np.sin(a))] for a in (0.0, 0.01, 0.02, 0.03, 0.04, 1.5)]
+    df = vectors(spark, {"a": data})
+    points = C.distinct_points(df, C.cluster_counts(df))
+    far_off = [-1.0, 0.0]  # nothing is nearest to the last two
+    start = spark.createDataFrame(
+        [("a", 0, 0, data[0]), ("a", 0, 1, data[1]), ("a", 0, 2, far_off), ("a", 0, 3, far_off)],
+        "entity_id string, trial int, cluster int, vec array<double>",
+    )
+    once = {r["cluster"]: r for r in C.lloyd_step(points, start).collect()}
+    assert np.allclose(once[2]["vec"], data[5]) and once[2]["n"] == 0 and once[2]["moved"] > 1
+    assert np.allclose(once[3]["vec"], far_off) and once[3]["moved"] == 0  # one a round
+    assert once[0]["n"] + once[1]["n"] == 6
+
+
+def test_as_many_clusters_as_asked_for(spark):
+    rng = np.random.default_rng(7)
+    groups = {"near": (np.eye(3)[0] + rng.normal(0, 1e-4, (90, 3))).tolist(), "few": [[1, 0, 0], [0, 1, 0]] * 40, "wide": rng.normal(size=(70, 3)).tolist()}
+    df = vectors(spark, groups)
+    counts = C.cluster_counts(df)
+    _, centers = C.grouped_kmeans(df, counts, trials=2)
+    found = {r["entity_id"]: r["count"] for r in centers.filter("n > 0").groupBy("entity_id").count().collect()}
+    assert found == {"near": 14, "few": 2, "wide": 12}
+
+
+def test_starts_are_mutually_far(spark):
+    df = vectors(spark, {"a": blobs(5, 60)})
+    counts = C.cluster_counts(df, 3)
+    start = C.initial_centroids(C.distinct_points(df, counts), counts, 42, 2, 3).collect()
+    assert len(start) == 6
+    for trial in (0, 1):
+        assert {int(np.argmax(r["vec"])) for r in start if r["trial"] == trial} == {0, 1, 2}
+
+
+def test_a_merging_round_only_moves_mutual_pairs(spark):
+    rows = clusters(spark, [("a", 0, 0, 5), ("a", 1, 5, 5), ("a", 2, 9, 5), ("b", 0, 0, 5), ("b", 1, 1, 5), ("c", 4, 0, 1)])
+    pairs = sorted((r["entity_id"], r["cluster"], r["target"]) for r in C.merge_pairs(rows, 0.95).collect())
+    assert pairs == [("a", 2, 1), ("b", 1, 0)]
+
+
 def test_copies_are_folded_into_weights(spark):
     df = vectors(spark, {"a": [[1, 0]] * 9 + [[0, 1]]})
     points = C.distinct_points(df, C.cluster_counts(df)).collect()
