@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from riskloom.functions.numeric import LABEL_COMPONENT_PREFIX, day, engagement, num
 from riskloom.functions.text import (
     blank, bounded_summary, compact, has_quotes, is_generic_title, occurrences, strip, strip_quotes,
 )
 from riskloom.operators.prefilter import signal_text
-from riskloom.session import broadcast_if_small, first_existing, numbered
+from riskloom.session import broadcast_if_small, first_existing, numbered, pinned
 
 # Weights of the score, confidence limits, trend length, defaults.
 VOLUME_WEIGHT = 5.0
@@ -344,6 +344,54 @@ def titles(df: DataFrame) -> tuple[Column, Column]:
     )
 
 
+def _order_number(df: DataFrame, name: str) -> Column:
+    """A decimal in the order of ``name``: its number, or the first 14 bytes of a string.
+
+    Decimals are updated in place by a hash aggregate, strings would need a sort. Longer strings with one beginning
+    share a number; who needs the least of them compares the few that do.
+    """
+    if dict(df.dtypes)[name] != "string":
+        return F.col(name).cast("decimal(38,0)")
+    raw = F.col(name).cast("binary")
+
+    def seven_bytes(start):
+        return F.conv(F.rpad(F.hex(F.substring(raw, start, 7)), 14, "0"), 16, 10).cast("decimal(17,0)")
+
+    return (seven_bytes(1) * F.lit(1 << 56).cast("decimal(17,0)") + seven_bytes(8)).cast("decimal(38,0)")
+
+
+SEEDED = {
+    "narrative_title": ("seeded_title", "string"), "narrative_summary": ("seeded_summary", "string"),
+    "narrative_taxonomy_labels": ("seeded_labels", "array<string>"),
+}
+
+
+def narrow_rows(rows: DataFrame, taxonomy: dict[str, list[str]]) -> DataFrame:
+    """What scoring adds up, one row per post row and no text: keyword hits are counted where the text is read."""
+    confidence = num("resolution_confidence") if "resolution_confidence" in rows.columns else F.lit(None)
+    kept = [c for c in (time_column(rows), author_column(rows), "author_id", "followers", "author_influence") if c in rows.columns]
+    kept += [c for c in ("entity", *SEEDED) if c in rows.columns]
+    return _lowered(rows).select(
+        *KEY, "post_id", _order_number(rows, "post_id").alias("_order"), engagement(rows).alias("_engagement"),
+        confidence.cast("double").alias("_confidence"),
+        *[occurrences("_lower", words).alias(f"_in_{i}") for i, words in enumerate(taxonomy.values())],
+        *dict.fromkeys(kept),
+    )
+
+
+def _first_rows(narrow: DataFrame, sums: DataFrame) -> DataFrame:
+    """(entity_id, narrative_id, entity, seeded_*): strings of each narrative's first row."""
+    name = F.col("entity") if "entity" in narrow.columns else F.lit("")
+    seeds = [
+        (F.col(c) if c in narrow.columns else F.lit(None).cast(kind)).alias(to) for c, (to, kind) in SEEDED.items()
+    ]
+    least = same_narrative(narrow, sums.select(*KEY, "_least"), "inner").filter("_order = _least")
+    first = W.partitionBy(*KEY).orderBy("post_id")
+    return least.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(
+        *KEY, strip(name).alias("entity"), *seeds
+    )
+
+
 def score(
     rows: DataFrame,
     authors: DataFrame | None,
@@ -354,16 +402,19 @@ def score(
     """One row per narrative with its components, score, labels, confidence, trend and title.
 
     ``supplied`` is an optional label table (entity_id, narrative_id, supplied_labels); stored
-    labels on the rows are used otherwise, and keyword hits where neither gives any.
+    labels on the rows are used otherwise, and keyword hits where neither gives any. The rows are
+    read once; every later step reads a narrow table without texts.
     """
-    df = (
-        _lowered(rows).groupBy(*KEY)
-        .agg(*_base_sums(rows), *_hit_sums("_lower", taxonomy), _seed_values(rows))
-        .select("*", "_seed.*").drop("_seed")
+    narrow = pinned(narrow_rows(rows, taxonomy), "scoring")
+    sums = narrow.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("volume"), F.sum("_engagement").alias("engagement"),
+        F.avg("_confidence").alias("mean_confidence"), F.min("_order").alias("_least"),
+        *[F.sum(f"_in_{i}").alias(f"_hits_{i}") for i in range(len(taxonomy))],
     )
-    df = same_narrative(df, author_influence(rows, authors))
+    df = same_narrative(sums, _first_rows(narrow, sums))
+    df = same_narrative(df, author_influence(narrow, authors))
     df = base_components(df.withColumn("influence", F.coalesce("influence", F.lit(0.0))))
-    df = same_narrative(df, trend(rows))
+    df = same_narrative(df, trend(narrow))
     if supplied is not None:
         df = same_narrative(df, supplied)
     else:

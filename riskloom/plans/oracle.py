@@ -9,6 +9,7 @@ import re
 
 from riskloom.plans import seeds
 from riskloom.plans.queries import DETAIL, OVERVIEW, TAXONOMY, WEIGHTS
+from riskloom.plans.views import SERVED_ENTITY
 
 
 def _text(value: str) -> str:
@@ -333,7 +334,25 @@ CTES.update(
             FROM customer WHERE c_custkey % 2 = 0""",
     }
 )
-for _rows in ["grouped", "small", "by_author"]:
+_FUZZY = """
+    SELECT post_id, entity_id, win AS mention_text, round(least(0.85, greatest(0.75, ratio * 0.9)), 2) AS confidence
+    FROM open_windows w JOIN fuzzy_ratios r ON r.b = w.win JOIN fuzzy_terms t ON t.term_norm = r.a AND t.width = w.width
+    QUALIFY row_number() OVER (PARTITION BY post_id, entity_id ORDER BY ratio DESC, term_pos, start, win, canonical_name) = 1"""
+# every tier, then the risk gate, then one narrative per entity
+CTES["every_tier"] = f"""
+    SELECT * FROM expanded_kept UNION ALL BY NAME
+    SELECT p.*, f.entity_id, e.canonical_name AS entity, trim(f.mention_text) AS mention_text, f.confidence AS resolution_confidence
+    FROM kept p JOIN ({_FUZZY}) f USING (post_id) JOIN entities e USING (entity_id)"""
+CTES["gate"] = f"""
+    SELECT * EXCLUDE (hit), {_squash(_no_quotes(f"coalesce({_sentences('risk_context')}[1], '')"))} AS said, lower(said) AS low,
+           EXISTS (SELECT 1 FROM taxonomy WHERE contains(lower(risk_context), word)) AND low <> '' AND NOT (
+               starts_with(low, 'posts mentioning') OR starts_with(low, 'this context indicates risk')
+               OR starts_with(low, 'discussion focused on potential') OR starts_with(low, 'this post indicates risk signals')) AS accepted
+    FROM ({_risk('every_tier')})"""
+CTES["gated"] = """
+    SELECT *, dense_rank() OVER (ORDER BY first, entity_id) AS narrative_id
+    FROM (SELECT *, min(post_id) OVER (PARTITION BY entity_id) AS first FROM gate WHERE accepted)"""
+for _rows in ["grouped", "small", "by_author", "gated"]:
     CTES.update(_scoring(_rows))
 
 
@@ -387,10 +406,6 @@ def _sql(body: str) -> str:
     return f"WITH {recursive}" + ",\n".join(f"{name} AS ({CTES[name]})" for name in found) + "\n" + body
 
 
-_FUZZY = """
-    SELECT post_id, entity_id, win AS mention_text, round(least(0.85, greatest(0.75, ratio * 0.9)), 2) AS confidence
-    FROM open_windows w JOIN fuzzy_ratios r ON r.b = w.win JOIN fuzzy_terms t ON t.term_norm = r.a AND t.width = w.width
-    QUALIFY row_number() OVER (PARTITION BY post_id, entity_id ORDER BY ratio DESC, term_pos, start, win, canonical_name) = 1"""
 _MATCH = "entity_id, mention_text, confidence, method"
 _RANKED = """SELECT row_number() OVER (ORDER BY score DESC, entity_id, narrative_id) AS rank, *
              FROM narratives_grouped"""
@@ -707,6 +722,14 @@ BODIES: dict[str, str] = {
     "narrative_feedback": "SELECT doc_id % 50 AS narrative_id, count(*) AS ratings, round(avg(1 + doc_id % 5), 9) AS mean_rating FROM labels GROUP BY ALL",
 }
 BODIES["fuzzy_tier"] = _FUZZY
+BODIES["gated_narratives"] = BODIES["ranked_narratives"].replace("narratives_grouped", "narratives_gated")
+BODIES["serve_overview"] = re.sub(r"(\w+)_grouped|\bgrouped\b", lambda m: f"{m[1]}_gated" if m[1] else "gated", BODIES["narrative_overview_table"])
+BODIES["serve_entity"] = BODIES["narratives_per_type"].replace("narratives_grouped", f"narratives_gated WHERE entity_id = '{SERVED_ENTITY}'")
+BODIES["observed_stage_counts"] = """SELECT 'input_posts' AS stage, count(*) AS "rows" FROM posts
+    UNION ALL SELECT 'kept_posts', count(*) FROM kept UNION ALL SELECT 'dropped_posts', count(*) FROM evaluated WHERE reason IS NOT NULL
+    UNION ALL SELECT 'entity_rows_after_resolution', count(*) FROM gate
+    UNION ALL SELECT 'entity_rows_risk_relevant', count(*) FROM gate WHERE accepted
+    UNION ALL SELECT 'entity_rows_dropped_no_risk', count(*) FROM gate WHERE NOT accepted"""
 BODIES["resolved_every_tier"] = f"""
     SELECT p.post_id, coalesce(n, matches) AS matches, CASE WHEN n > 0 THEN 'fuzzy' ELSE resolution_method END AS resolution_method,
            coalesce(name, entity) AS entity, coalesce(near, resolution_confidence) AS resolution_confidence

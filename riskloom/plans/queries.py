@@ -11,10 +11,10 @@ from riskloom.operators import (
     clustering as C, dashboard as D, detail as X, entities as E, fuzzy as Z, prefilter as P,
     report as R, risk as K, scoring as S,
 )
-from riskloom.plans import seeds, views as V
+from riskloom.plans import seeds, serve, views as V
 from riskloom.plans.build import build
-from riskloom.session import cut_lineage, first_existing, scratch_path
-from riskloom.sources import readers, sinks
+from riskloom.session import cut_lineage, first_existing, pinned, scratch_path
+from riskloom.sources import readers, sinks, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -64,8 +64,25 @@ def clustered(spark, sf):
     return C.single_narratives(cut_lineage(expanded(spark, sf)))
 
 
+def built(spark, sf):
+    return build(
+        V.posts(spark, sf), V.authors(spark, sf), V.entities(spark), V.extra_aliases(spark),
+        V.lexicon(spark), TAXONOMY, WEIGHTS,
+    )
+
+
+def gated(spark, sf):
+    """Rows that every tier resolved and the risk gate accepted, with one narrative per entity."""
+    known = V.entities(spark)
+    resolved_rows = E.resolve(kept(spark, sf), known, V.extra_aliases(spark))
+    rows = pinned(K.contexts(E.expand(resolved_rows, known)), "contexts")
+    routed = K.apply_decisions(rows, K.keyword_decisions(K.work_items(rows), TAXONOMY))
+    return C.single_narratives(pinned(K.accepted_rows(routed), "accepted"))
+
+
 def narratives_of(rows, spark, sf):
-    return S.score(rows, V.authors(spark, sf), TAXONOMY, WEIGHTS)
+    """Scored narratives, written once: they are few, and dashboards read them several times."""
+    return pinned(S.score(rows, V.authors(spark, sf), TAXONOMY, WEIGHTS), "narratives")
 
 
 def risk_rows(spark, sf):
@@ -945,6 +962,42 @@ def ranked_narratives(spark, sf):
     return scored.select("rank", "narrative_id", "entity_id", "entity", "title", "score", "volume", "engagement")
 
 
+@query
+def gated_narratives(spark, sf):
+    """Ranked narratives of posts that went through every resolution tier and the risk gate."""
+    scored = S.ranked(narratives_of(gated(spark, sf), spark, sf))
+    return scored.select("rank", "narrative_id", "entity_id", "entity", "title", "score", "volume", "engagement")
+
+
+def _served(spark, sf, entity_id=None):
+    folder = scratch_path(spark, "store")
+    rows = gated(spark, sf)
+    narratives = narratives_of(rows, spark, sf)
+    store.save(S.attach_metadata(rows, narratives), narratives, folder)
+    return serve.overview(spark, folder, V.authors(spark, sf), TAXONOMY, WEIGHTS, entity_id)
+
+
+@query
+def serve_overview(spark, sf):
+    """The overview table from stored posts of all entities, scored again with stored titles and labels."""
+    return _served(spark, sf).table.select(
+        "rank", "narrative_id", "description", "entity", "volume", F.array_join("drivers", "|").alias("drivers"),
+        "confidence", "risk_delta", "score",
+    )
+
+
+@query
+def serve_entity(spark, sf):
+    """Narratives per risk type of one entity, from its own folder of the store."""
+    return D.with_acronym(_served(spark, sf, V.SERVED_ENTITY).narratives_by_type, seeds.ACRONYMS)
+
+
+@query
+def observed_stage_counts(spark, sf):
+    """Rows of each stage of a whole build, as its writes reported them."""
+    return built(spark, sf).counts().filter("stage <> 'narratives'")
+
+
 @query
 def attached_metadata(spark, sf):
     rows = clustered(spark, sf)
@@ -969,11 +1022,7 @@ def build_stage_counts(spark, sf):
 @query
 def full_build(spark, sf):
     """The whole build with every default producer, fuzzy tier and clustering included."""
-    made = build(
-        V.posts(spark, sf), V.authors(spark, sf), V.entities(spark), V.extra_aliases(spark),
-        V.lexicon(spark), TAXONOMY, WEIGHTS,
-    )
-    return S.ranked(made.narratives).drop("trend", "score_components")
+    return S.ranked(built(spark, sf).narratives).drop("trend", "score_components")
 
 
 # ---- dashboard ----------------------------------------------------------------------------------

@@ -8,6 +8,10 @@ from riskloom.plans import seeds
 from riskloom.session import lookup, spread
 
 
+#: The entity whose overview is served alone.
+SERVED_ENTITY = "licensse"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,6 +84,13 @@ def pinned(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """``pinned`` rows and the values of ``counts``, aggregates that the write itself works out."""
+    report = Observation()
+    rows = pinned(df.observe(report, *[value.alias(key) for key, value in counts.items()]), name)
+    return rows, report.get
+
+
 def bounded_rows(df: DataFrame, limit: int):
     """The rows of ``df`` if there are at most ``limit`` of them, else ``None``."""
     rows = df.limit(limit + 1).collect()
