@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,13 +70,26 @@ class WordHashes(dict):
         return value
 
 
-_hashes = WordHashes()
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What this worker process remembers under ``name``. What other operators left behind is forgotten first: workers
+    outlive stages, and their memories would add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def _word_memory() -> WordHashes:
+    return kept("words", WordHashes)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
     """Hash of each word, A-Z lower-cased; ``bytes.split`` cuts at exactly the white space of ``GAP``."""
     words = text.lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_word_memory().__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -104,4 +116,6 @@ def local_offsets(rows: DataFrame, keys: list[str], part: str, amount: Column) -
     ).drop("_sum")
 
 
-LETTER = re.compile(r"[^\W\d_]")
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; digits of any script, fractions and marks are none."""
+    return any(map(str.isalpha, text))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import _hashes, mix, slices, text_bytes
+from riskloom.llm.common import _word_memory, mix, slices, text_bytes
 
 #: Words of a seed, and how often a seed may be expected by chance in the corpus.
 SEED_WORDS, CHANCE = 3, 1.0
@@ -29,7 +29,7 @@ BREAKS = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c
 def passage_hashes(text: bytes) -> np.ndarray:
     """Hash of each word, A-Z lower-cased and ASCII punctuation left out."""
     words = text.lower().translate(BREAKS).split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(_word_memory().__getitem__, words), np.uint64, len(words))
 
 
 def _grams(h: np.ndarray) -> np.ndarray:

@@ -7,13 +7,14 @@ dictionary; the smallest total wins. The margin to the second decides how sure t
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.llm.common import LETTER, slices
+from riskloom.llm.common import has_letter, kept, slices
 
 #: Labelled documents per language that make up its dictionary, characters of each, and bytes of a dictionary. Many
 #: short excerpts keep boilerplate that one of them quotes from deciding.
@@ -57,7 +58,7 @@ class Classifier:
 
         Null texts and texts without a letter are undetermined with score 0; equal sizes go to the first language.
         """
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0, True
         data = letters(text).encode()
         sizes = self.sizes(data)
@@ -72,39 +73,35 @@ def learn(docs: DataFrame, usable: Column | None = None, per_language: int = TRA
     """Dictionary bytes by language from at most ``per_language`` hash-chosen documents of each.
 
     Only doc_id and lang are read to choose them; the texts of the chosen rows follow by a broadcast of bounded size.
-    Rows without lang, doc_id or text are not learned from.
+    Rows without lang, doc_id or text are not learned from; of rows that repeat an id and language one excerpt is.
     """
     known = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null and text is not null")
     known = known if usable is None else known.filter(usable)
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    chosen = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("doc_id", "lang", "_n")
+    ranked = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
+    chosen = ranked.groupBy("doc_id", "lang").agg(F.min("_n").alias("_n"))
     texts = docs.select("doc_id", "lang", F.expr(f"substring(text, cast(char_length(text) / 3 as int) + 1, {TRAIN_CHARS})").alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).toPandas().sort_values(["lang", "_n"])
+    found = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "_n").agg(F.min("text").alias("text"))
+    rows = found.toPandas().sort_values(["lang", "_n"])
     samples = {}
     for lang, own in rows.groupby("lang"):
         # nearest to the end is cheapest to refer to; the last bytes are kept
-        content = " ".join(letters(t) for t in own["text"] if t and LETTER.search(t)).encode()[-DICTIONARY_BYTES:]
+        content = " ".join(letters(t) for t in own["text"] if t and has_letter(t)).encode()[-DICTIONARY_BYTES:]
         if len(content) >= 8:
             samples[lang] = content
     return samples
 
 
-_classifiers: dict[int, Classifier] = {}
-
-
 def identify(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """Per row of ``docs``: doc_id, lang_pred, score (0 to 1), rejected. Only the text decides.
 
     Rejected texts still name the best language; callers choose. Other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(samples)  # DICTIONARY_BYTES per language at most
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, samples))  # DICTIONARY_BYTES per language at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(shared.value)
-        if key not in _classifiers:
-            _classifiers.clear()
-            _classifiers[key] = Classifier(shared.value)
-        own = _classifiers[key]
+        key, samples = shared.value
+        own = kept(key, lambda: Classifier(samples))
         for big in batches:
             for batch in slices(big, 1):
                 found = [own.judge(t) for t in batch.column(1).to_pylist()]

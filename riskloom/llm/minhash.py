@@ -178,6 +178,10 @@ def components(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
+#: Number of a row among the pinned documents.
+ROW = "_near_row"
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * |A and B| >= percent * |A or B| on sets of ``k``-word shingles.
 
@@ -329,6 +333,14 @@ def _crossing(rest: DataFrame, held: DataFrame, tested: DataFrame, percent: int)
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``docs`` without the documents that another one of their group stands for; all columns stay."""
-    gone = near_duplicates(docs, k, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of ``docs`` per group of linked texts, that with the smallest doc_id; all columns stay.
+
+    Rows are told apart by a number of their own: shared ids lose no other text, copies with null or equal ids leave one
+    row. Texts without a word are linked with nothing and all stay. An empty table gives an empty table.
+    """
+    keyed = pin(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(keyed.select(F.col(ROW).alias("doc_id"), "text"), k, percent)
+    members = groups.select(F.col("doc_id").alias(ROW), "component_id").join(keyed.select(ROW, "doc_id"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", ROW))
+    stays = members.groupBy("component_id").agg(first.alias("_first")).select(F.col(f"_first.{ROW}").alias(ROW))
+    return keyed.join(stays, ROW, "left_semi").drop(ROW)

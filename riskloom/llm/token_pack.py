@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import local_offsets, pin, shuffle_partitions, slices, text_bytes
+from riskloom.llm.common import kept, local_offsets, pin, shuffle_partitions, slices, text_bytes
 from riskloom.session import scratch_path
 
 #: Ids of a block (a multiple of 8, so that blocks start on bytes) and ids after which an image is closed.
@@ -200,14 +200,9 @@ class Encoder:
         ]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
     """One per worker process."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    return kept(f"encoder {vocabulary}", lambda: Encoder(vocabulary))
 
 
 IMAGES = "part int, seq int, first_id long, n_ids long, n_docs long, image binary"

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.llm.common import slices
+from riskloom.llm.common import kept, slices
 
 #: Labelled documents that the field is fitted on at most, per label; longer texts than this are not fitted on.
 TRAIN_DOCS, TRAIN_CHARS = 1_500, 8_000
@@ -336,26 +337,20 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_
     chosen = ranked.filter(F.col("_n") <= per_label).select("doc_id", "toxic")  # at most 2 * per_label rows
     texts = docs.select("doc_id", "text").filter(F.char_length("text") <= TRAIN_CHARS)
     rows = (
-        texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"])
+        texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
         .toPandas().sort_values("doc_id")
     )
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
 
 
-_taggers: dict[int, Tagger] = {}
-
-
 def _tagger(shared) -> Tagger:
-    key = shared._jid if hasattr(shared, "_jid") else id(shared)
-    if key not in _taggers:
-        _taggers.clear()
-        _taggers[key] = Tagger(Field(*shared.value))
-    return _taggers[key]
+    key, *field = shared.value
+    return kept(key, lambda: Tagger(Field(*field)))
 
 
 def _share(docs: DataFrame, model: Field):
     """The training bounds limit the number of weights."""
-    return docs.sparkSession.sparkContext.broadcast((model.weights, model.moves, model.head))
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.weights, model.moves, model.head))
 
 
 def tag(docs: DataFrame, model: Field) -> DataFrame:

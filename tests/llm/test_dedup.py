@@ -204,3 +204,32 @@ def test_suffix_array_and_prefixes():
             x, y = b[sa[k - 1] :], b[sa[k] :]
             m = next((j for j in range(min(len(x), len(y), 100)) if x[j] != y[j]), min(len(x), len(y), 100))
             assert got[k] == m
+
+
+def shared_ids(spark):
+    rows = [(1, A), (5, A), (5, UNIQUE), (None, B), (None, B), (None, B), (7, B), (8, None), (8, None), (9, UNIQUE + " again")]
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
+
+
+A, B = "one text that two documents hold " * 4, "another text whose copies have no id " * 4
+UNIQUE = "a text of its own under an id that another row has as well, with words enough for shingles of five"
+
+
+def test_exact_copies_go_by_row_and_no_text_is_lost(spark):
+    out = exact_dedup.drop_exact_duplicates(shared_ids(spark))
+    assert out.columns == ["doc_id", "text", "_row"]
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, A), (5, UNIQUE), (7, B), (8, None), (9, UNIQUE + " again")], key=repr)
+
+
+def test_copies_without_any_id_leave_one_row(spark):
+    docs = spark.createDataFrame([(None, B)] * 5 + [(None, A)], "doc_id long, text string").repartition(3)
+    for drop in (exact_dedup.drop_exact_duplicates, minhash.drop_near_duplicates):
+        assert sorted(r.text for r in drop(docs).collect()) == sorted([A, B])
+
+
+def test_near_copies_go_by_row_and_no_text_is_lost(spark):
+    out = minhash.drop_near_duplicates(shared_ids(spark))
+    assert out.columns == ["doc_id", "text", "_row"]
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    assert got == sorted([(1, A), (5, UNIQUE), (7, B), (8, None), (8, None)], key=repr)

@@ -136,3 +136,21 @@ def test_trees_learn_the_rules_look(spark):
     rows += [(1000 + i, f"http://b{i}.net/{'fr' if i % 2 else 'de'}/{i}") for i in range(40)]
     got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).filter("page_id >= 1000").collect()
     assert sum((r["verdict"] == "allow") == bool(r["page_id"] % 2) for r in got) >= 38
+
+
+def test_texts_without_letters_are_undetermined(spark):
+    docs = spark.createDataFrame([(1, "²"), (2, "½ 3"), (3, "٣ _"), (4, "é"), (5, "ﬁ 1")], "doc_id long, text string")
+    samples = {"de": b"der die das und nicht ein", "en": b"the and of to in that is"}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, samples).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] != "und" and got[5][0] != "und"
+
+
+def test_repeated_ids_send_one_excerpt_each(spark):
+    docs = spark.createDataFrame([(1, f"ein deutscher satz nummer {i}", "de") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(language_id.learn(docs)["de"]) <= language_id.TRAIN_CHARS
+
+
+def test_models_are_not_mixed_up(spark):
+    docs = spark.createDataFrame([(1, "the and of to in that is")], "doc_id long, text string")
+    for lang in ("aa", "bb", "cc"):
+        assert language_id.identify(docs, {lang: b"the and of to in that is"}).first().lang_pred == lang
