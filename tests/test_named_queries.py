@@ -14,7 +14,7 @@ QUERIES, ORACLE = named.all_queries(), oracle.all_sql()
 
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"fuzzy_tier", "full_build"}
+    assert set(QUERIES) - set(ORACLE) == {"full_build"}
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
