@@ -148,5 +148,5 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in queries.all_queries()]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
     assert set(queries.all_sql()) <= set(queries.all_queries())
