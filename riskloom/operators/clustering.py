@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Observation, Window as W, functions as F
 from riskloom.functions.numeric import dot, unit
 from riskloom.functions.text import blank
 from riskloom.operators.risk import TEXT_FEATURES, context_chars, text_vectors
-from riskloom.session import broadcast_if_small, cut_lineage, numbered, pinned
+from riskloom.session import broadcast_if_small, cut_lineage, dictionary_join, numbered, pinned
 
 # Cluster counts, restarts and merge thresholds.
 MAX_CLUSTERS = 40
@@ -398,10 +398,11 @@ def cluster_vectors(
     blocks, centers = grouped_kmeans(rows, counts, trials=trials, max_clusters=max_clusters)
     labelled = pinned(labelled_points(blocks, centers), "labelled")
     final = relabel(merge_clusters(centroids(labelled), threshold))
-    by_point = labelled.join(final, ["entity_id", "cluster"]).select("entity_id", "vec", "local_id")
+    point = F.struct("entity_id", "_vec")
+    by_point = labelled.join(final, ["entity_id", "cluster"]).withColumnRenamed("vec", "_vec").select(point.alias("_point"), "local_id")
     keyed = rows.withColumn("_vec", unit("risk_embedding"))
-    found = keyed.join(by_point.withColumnRenamed("vec", "_vec"), ["entity_id", "_vec"], "left")
-    return found.drop("_vec").withColumn("local_id", F.coalesce("local_id", F.lit(0)))
+    keyed = keyed.withColumn("_point", F.when(F.col("_vec").isNotNull(), point)).drop("_vec")
+    return dictionary_join(keyed, by_point, "_point", "local_id").drop("_point").withColumn("local_id", F.coalesce("local_id", F.lit(0)))
 
 
 def cluster(
@@ -442,7 +443,7 @@ def _cluster_contexts(rows: DataFrame, max_clusters: int, trials: int) -> DataFr
     if readable.isEmpty():
         return rows.withColumn("local_id", F.lit(0))
     zero = F.array_repeat(F.lit(0.0), TEXT_FEATURES)
-    vectors = rows.join(text_vectors(readable, "cluster_context"), "cluster_context", "left").withColumn(
+    vectors = dictionary_join(rows, text_vectors(readable, "cluster_context"), "cluster_context", "risk_embedding").withColumn(
         "risk_embedding", F.coalesce("risk_embedding", zero)
     )
     return cluster_vectors(cut_lineage(vectors), TEXT_THRESHOLD, max_clusters, trials).drop(

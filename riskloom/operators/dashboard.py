@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.numeric import day, display_label, effective_confidence, num
 from riskloom.functions.text import blank, strip
+from riskloom.operators import selection
 from riskloom.operators.detail import risk_series
 from riskloom.operators.scoring import (
     DEFAULT_LABEL, KEY, author_followers, ranked, same_narrative, time_column,
 )
+from riskloom.session import join_by_id
 
 # Histogram bins and driver threshold.
 CONFIDENCE_BINS = 20
@@ -44,14 +46,10 @@ def with_acronym(df: DataFrame, acronyms: dict[str, str], label: str = "type") -
 
 def followers_enriched(rows: DataFrame, authors: DataFrame) -> DataFrame:
     """Adds or fills ``followers``: own value, else the author's (last duplicate), else 0."""
-    table = author_followers(authors, keep="last").select(
-        F.col("author_id").alias("_author"), F.col("followers").alias("_looked_up")
-    )
+    table = author_followers(authors, keep="last").withColumnRenamed("followers", "_looked_up")
     own = F.col("followers").try_cast("double") if "followers" in rows.columns else F.lit(None).cast("double")
-    joined = rows.join(table, strip("author_id") == F.col("_author"), "left")
-    return joined.withColumn("followers", F.coalesce(own, "_looked_up", F.lit(0.0))).drop(
-        "_author", "_looked_up"
-    )
+    joined = join_by_id(rows, table, strip("author_id"), "author_id", "_looked_up")
+    return joined.withColumn("followers", F.coalesce(own, "_looked_up", F.lit(0.0))).drop("_looked_up")
 
 
 def total_posts(narratives: DataFrame) -> DataFrame:
@@ -101,9 +99,9 @@ def confidence_histogram(rows: DataFrame, bins: int = CONFIDENCE_BINS) -> DataFr
 
 
 def median_confidence(rows: DataFrame) -> DataFrame:
-    """Exact median; values are counted first, so the aggregate sees one row per distinct value."""
-    counts = rows.groupBy(num("resolution_confidence").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.percentile("c", 0.5, F.col("n")).alias("median_confidence"))
+    """Exact median, one row; null without rows."""
+    middle = selection.median(rows, num("resolution_confidence"))
+    return rows.sparkSession.range(1).select(F.lit(middle).cast("double").alias("median_confidence"))
 
 
 def daily_total_risk(rows: DataFrame, narratives: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.operators.scoring import stage_counts
+from riskloom.operators.selection import value_counts
 
 # Bins of the report's histograms.
 CONFIDENCE_BINS, SCORE_BINS = 25, 20
@@ -21,18 +22,17 @@ def method_mix(resolved: DataFrame) -> DataFrame:
 
 
 def confidence_bins(resolved: DataFrame, n: int = CONFIDENCE_BINS) -> DataFrame:
-    """(bin, count): equal-width bins between the smallest and the largest confidence."""
-    values = resolved.select(F.col("resolution_confidence").try_cast("double").alias("c")).filter(
-        "c is not null"
-    )
-    low = values.agg(F.min("c")).scalar()
-    high = values.agg(F.max("c")).scalar()
-    width = (high - low) / n
-    place = F.when(width > 0, F.least(F.lit(n - 1), F.floor(F.round((F.col("c") - low) / width, 9))))
-    return (
-        values.withColumn("bin", F.coalesce(place, F.lit(0)).cast("int"))
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
-    )
+    """(bin, count): equal-width bins between the smallest and the largest confidence.
+
+    Values are counted once; bounds come from that pass and bins from the counts.
+    """
+    values, bounds = value_counts(resolved, F.col("resolution_confidence").try_cast("double"))
+    low, high = bounds["low"], bounds["high"]
+    number = F.lit(0)
+    if bounds["total"] and high > low:
+        width = (high - low) / n
+        number = F.least(F.lit(n - 1), F.floor(F.round((F.col("value") - low) / width, 9)))
+    return values.groupBy(number.cast("int").alias("bin")).agg(F.sum("n").alias("count"))
 
 
 def size_distribution(rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from riskloom.functions.text import (
     without_quotes, words_present,
 )
 from riskloom.operators.prefilter import signal_text
-from riskloom.session import numbered
+from riskloom.session import dictionary_join, numbered_locally
 
 # Window sizes, batch sizes and reject reason.
 RISK_WINDOW, RISK_WORDS = 2, 100
@@ -76,13 +76,13 @@ def work_items(df: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def batched(items: DataFrame, size: int, key: str = "id") -> DataFrame:
-    """Adds ``batch``: runs of ``size`` items in key order, numbered from 0."""
-    return (
-        numbered(items, [key], "_at")
-        .withColumn("batch", F.floor((F.col("_at") - 1) / size))
-        .drop("_at")
-    )
+def batched(items: DataFrame, size: int) -> DataFrame:
+    """Adds ``batch``: groups of ``size`` items, numbered from 0; only the last may be smaller.
+
+    Items are batched as they lie; batches have no order.
+    """
+    placed = numbered_locally(items, "items", "_place")
+    return placed.withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def keyword_decisions(items: DataFrame, taxonomy: dict[str, list[str]]) -> DataFrame:
@@ -179,7 +179,7 @@ def embed(df: DataFrame, vectors: DataFrame | None = None, column: str = "risk_s
     ``vectors`` is a table (summary, risk_embedding); without it the default producer is used.
     """
     table = text_vectors(df, column) if vectors is None else vectors
-    return df.join(table, column, "left")
+    return dictionary_join(df, table, column, "risk_embedding")
 
 
 def missing_embeddings(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from riskloom.functions.text import (
     blank, bounded_summary, compact, has_quotes, is_generic_title, occurrences, strip, strip_quotes,
 )
 from riskloom.operators.prefilter import signal_text
-from riskloom.session import broadcast_if_small, first_existing, numbered, pinned
+from riskloom.session import broadcast_if_small, first_existing, join_by_id, numbered, pinned
 
 # Weights of the score, confidence limits, trend length, defaults.
 VOLUME_WEIGHT = 5.0
@@ -65,20 +65,19 @@ def author_followers(authors: DataFrame, keep: str = "first") -> DataFrame:
     ).agg(pick(num("followers"), order).alias("followers"))
 
 
-def with_followers(rows: DataFrame, authors: DataFrame | None) -> DataFrame:
-    """Adds ``_followers``: own column, else influence column, else the author's, else 0."""
+def with_followers(rows: DataFrame, authors: DataFrame | None, heavy: bool = True) -> DataFrame:
+    """Adds ``_followers``: own column, else influence column, else the author's, else 0.
+
+    ``heavy=False`` spares the count of authors where one has few rows at most.
+    """
     own = first_existing(rows, ["followers", "author_influence"])
     if own:
         return rows.withColumn("_followers", num(own))
     if authors is None or "author_id" not in rows.columns:
         return rows.withColumn("_followers", F.lit(0.0))
-    table = author_followers(authors).select(
-        F.col("author_id").alias("_author"), F.col("followers").alias("_followers")
-    )
-    return (
-        rows.join(table, strip("author_id") == F.col("_author"), "left").drop("_author")
-        .withColumn("_followers", F.coalesce("_followers", F.lit(0.0)))
-    )
+    table = author_followers(authors).withColumnRenamed("followers", "_followers")
+    joined = join_by_id(rows, table, strip("author_id"), "author_id", "_followers", heavy)
+    return joined.withColumn("_followers", F.coalesce("_followers", F.lit(0.0)))
 
 
 def author_influence(rows: DataFrame, authors: DataFrame | None) -> DataFrame:
@@ -94,7 +93,7 @@ def author_influence(rows: DataFrame, authors: DataFrame | None) -> DataFrame:
         per_author = rows.groupBy(*KEY, strip("author_id").alias("author_id")).agg(
             F.count(F.lit(1)).alias("_rows")
         )
-        sums = with_followers(per_author, authors).groupBy(*KEY).agg(
+        sums = with_followers(per_author, authors, heavy=False).groupBy(*KEY).agg(
             F.sum(F.col("_followers") * F.col("_rows")).alias("_f")
         )
     return sums.select(*KEY, F.log1p(F.greatest(F.lit(0.0), "_f")).alias("influence"))

@@ -541,7 +541,8 @@ BODIES: dict[str, str] = {
     "risk_context_rows": """SELECT post_id, entity_id, entity AS entity_label, risk_context,
         sha256(entity || chr(31) || risk_context) AS item_id FROM risk_rows""",
     "risk_work_items": "SELECT id, entity, context FROM items",
-    "work_item_batches": "SELECT id, (row_number() OVER (ORDER BY id) - 1) // 2 AS batch FROM items",
+    "work_item_batches": """SELECT left(id, 2) AS prefix, count(*) AS items, count(*) AS placed FROM items GROUP BY ALL
+        UNION ALL SELECT 'batches', (count(*) + 1) // 2, (count(*) + 1) // 2 FROM items""",
     "keyword_risk_decisions": "SELECT id, is_risk, summary FROM decisions",
     "decision_payloads": """SELECT doc_id, CASE WHEN ok THEN CAST(doc_id AS VARCHAR) END AS id, CASE WHEN ok THEN toxic = 1 END AS is_risk,
         CASE WHEN ok THEN CASE WHEN toxic = 1 THEN 'Its a claim ' || doc_id ELSE '' END END AS summary,
@@ -586,7 +587,7 @@ BODIES: dict[str, str] = {
     "merged_clusters": """SELECT entity_id, count(DISTINCT cluster) AS clusters, true AS kept_is_lowest, min(cluster) AS lowest
         FROM vecs GROUP BY ALL""",
     "contiguous_labels": """SELECT entity_id, cluster, dense_rank() OVER (PARTITION BY entity_id ORDER BY cluster) - 1 AS local_id
-        FROM (SELECT DISTINCT entity_id, cluster FROM vecs WHERE cluster <> 2)""",
+        FROM (SELECT DISTINCT entity_id, cluster + CAST(cluster >= 2 AS INT) AS cluster FROM vecs)""",
     "global_narrative_ids": """SELECT post_id, entity_id, dense_rank() OVER (ORDER BY first, entity_id, cluster) AS narrative_id
         FROM (SELECT *, min(post_id) OVER (PARTITION BY entity_id) AS first FROM vecs)""",
     "single_narrative_rows": "SELECT post_id, entity_id, narrative_id FROM grouped",

@@ -543,8 +543,20 @@ def risk_work_items(spark, sf):
 
 @query
 def work_item_batches(spark, sf):
-    items = K.work_items(risk_rows(spark, sf))
-    return K.batched(items, K.DECISION_BATCH).select("id", F.col("batch").cast("bigint").alias("batch"))
+    """Items per leading digits of their id, how many of them are in a batch of the right size, and all batches.
+
+    Which items share a batch is left open, so sizes and completeness are compared.
+    """
+    rows = pinned(K.batched(K.work_items(risk_rows(spark, sf)), K.DECISION_BATCH), "batches")
+    sizes = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
+    counted = sizes.agg(F.count(F.lit(1)).alias("batches"), F.max("batch").alias("last")).first()
+    short = F.col("batch") == counted["last"]
+    good = (F.col("size") == K.DECISION_BATCH) | (short & F.col("size").between(1, K.DECISION_BATCH))
+    per_prefix = rows.join(sizes, "batch").groupBy(F.left("id", F.lit(2)).alias("prefix")).agg(
+        F.countDistinct("id").alias("items"), F.count_if(good).alias("placed")
+    )
+    every = sizes.agg(F.count(F.lit(1)).alias("items"), (F.max("batch") + 1).cast("bigint").alias("placed"))
+    return per_prefix.unionByName(every.select(F.lit("batches").alias("prefix"), "items", "placed"))
 
 
 @query
@@ -615,11 +627,10 @@ def summary_embeddings(spark, sf):
 
 @query
 def missing_summary_embeddings(spark, sf):
-    """Summaries that a vector table does not cover: here it only holds those of odd length."""
+    """Summaries that a vector table does not cover: here it holds another text for those of even length."""
     rows = _accepted(spark, sf)
-    table = rows.select("risk_summary").distinct().filter(F.length("risk_summary") % 2 == 1).withColumn(
-        "risk_embedding", F.array(F.lit(1.0))
-    )
+    other = F.when(F.length("risk_summary") % 2 == 1, F.col("risk_summary")).otherwise(F.concat(F.lit("\u001f"), "risk_summary"))
+    table = rows.select(other.alias("risk_summary")).distinct().withColumn("risk_embedding", F.array(F.lit(1.0)))
     return K.missing_embeddings(K.embed(rows, table))
 
 
@@ -729,7 +740,8 @@ def merge_fixpoint(spark, sf):
 
 @query
 def contiguous_labels(spark, sf):
-    rows = local_groups(spark, sf).filter("cluster <> 2")
+    """Local numbers without gaps where label 2 is skipped."""
+    rows = local_groups(spark, sf).withColumn("cluster", F.col("cluster") + (F.col("cluster") >= 2).cast("int"))
     merged = rows.select("entity_id", "cluster").distinct().withColumn("kept", F.col("cluster"))
     return C.relabel(merged).select(
         "entity_id", F.col("cluster").cast("bigint").alias("cluster"), F.col("local_id").cast("bigint").alias("local_id")
@@ -1001,7 +1013,8 @@ def observed_stage_counts(spark, sf):
 @query
 def attached_metadata(spark, sf):
     rows = clustered(spark, sf)
-    scored = cut_lineage(narratives_of(rows, spark, sf).filter("narrative_id % 2 = 1"))
+    known = F.when(F.col("narrative_id") % 2 == 1, F.col("narrative_id")).otherwise(-F.col("narrative_id"))
+    scored = cut_lineage(narratives_of(rows, spark, sf).withColumn("narrative_id", known))
     return S.attach_metadata(rows, scored).select("post_id", "entity_id", "narrative_title", "narrative_summary")
 
 

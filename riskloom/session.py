@@ -131,6 +131,77 @@ def pinned_union(parts: list[DataFrame], name: str) -> DataFrame:
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(path)
 
 
+def numbered_locally(df: DataFrame, name: str, number: str = "position") -> DataFrame:
+    """Gapless numbers from 0 in no particular order, for rows as they lie: nothing is sorted or exchanged.
+
+    Rows are pinned with their partition and their place in it; the only rows that are gathered are the sizes of the
+    partitions.
+    """
+    path = scratch_path(df.sparkSession, name)
+    keyed = df.withColumn("_at", F.monotonically_increasing_id())
+    keyed.write.parquet(path)
+    rows = df.sparkSession.read.schema(keyed.schema).parquet(path)
+    part = F.shiftright("_at", 33)  # the upper bits hold the partition, the lower ones the place
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
+    )
+    placed = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.withColumn(number, F.col("_offset") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_offset")
+
+
+#: Values that a join key of an absent id is spread over.
+SPREAD = 4096
+
+
+def join_by_id(rows: DataFrame, table: DataFrame, id_: Column, key: str, value: str, heavy: bool = True) -> DataFrame:
+    """``rows`` with ``value`` of the row of ``table`` whose ``key`` is ``id_``, null where there is none.
+
+    ``id_`` and ``key`` are trimmed strings, ``key`` is unique. Null ids never travel under one key. With ``heavy``, ids
+    that hold more than a quarter of a partition's share of the rows are found by a count; there are at most four times
+    as many of them as partitions, so their values are broadcast and their rows need no common key either.
+    """
+    known = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
+    keyed = rows.withColumn("_id", id_)
+    found, alone = F.col("_value"), F.col("_id").isNull()
+    if heavy:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        counts = keyed.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+        share = counts.agg(F.sum("_n") / (4 * parts)).scalar()
+        often = counts.filter(F.col("_id").isNotNull() & (F.col("_n") > share)).select(F.col("_id").alias("_often"))
+        often = often.join(known, F.col("_often") == F.col("_key"), "left").select("_often", F.col("_value").alias("_often_value"))
+        keyed = keyed.join(F.broadcast(often), F.col("_id") == F.col("_often"), "left")
+        found = F.when(F.col("_often").isNotNull(), F.col("_often_value")).otherwise(found)
+        alone = alone | F.col("_often").isNotNull()
+    # a trimmed key never starts with a space, so these keys find nothing
+    nowhere = F.concat(F.lit(" "), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("string"))
+    joined = keyed.withColumn("_id", F.when(alone, nowhere).otherwise(F.col("_id"))).join(known, F.col("_id") == F.col("_key"), "left")
+    return joined.withColumn(value, found).drop("_id", "_key", "_value", "_often", "_often_value")
+
+
+def digest_columns(column: str, name: str) -> dict[str, Column]:
+    """Two columns that stand for a value in joins: 128 hash bits, null and dealt at random for a null value."""
+    absent = F.col(column).isNull()
+    return {
+        f"{name}_1": F.when(~absent, F.xxhash64(column)),
+        f"{name}_2": F.when(absent, F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.xxhash64(F.lit(name), column)),
+    }
+
+
+def dictionary_join(rows: DataFrame, table: DataFrame, column: str, value: str) -> DataFrame:
+    """``rows`` left-joined to ``value`` of ``table`` (column, value) on equal ``column``, a text or an array.
+
+    Rows are dealt, sorted and matched by 128 hash bits instead of the value; a match is then compared in full, and the
+    job fails if two values ever share a digest.
+    """
+    left = rows.withColumns(digest_columns(column, "_d"))
+    right = table.select(F.col(column).alias("_full"), F.col(value).alias("_value")).withColumns(digest_columns("_full", "_d"))
+    joined = left.join(right, ["_d_1", "_d_2"], "left")
+    clash = F.col("_full").isNotNull() & (F.col("_full") != F.col(column))
+    checked = F.when(clash, F.raise_error(F.lit("two values share a digest"))).otherwise(F.col("_value"))
+    return joined.withColumn(value, checked).drop("_d_1", "_d_2", "_full", "_value")
+
+
 def first_existing(df: DataFrame, names: Sequence[str]) -> str | None:
     """First of ``names`` that ``df`` has; resolved once, when the plan is built."""
     return next((n for n in names if n in df.columns), None)
