@@ -1,12 +1,13 @@
 """Repeated byte strings by suffix arrays.
 
 Every byte covered by a LENGTH-byte string that also starts earlier is removed. All LENGTH-byte strings of the corpus
-fall under an anchor: the least hashed GRAM in them. Equal strings have equal anchors, so strings are dealt to shards
-by anchor, and only those whose anchor occurs again. A shard sorts its strings with a suffix array (Larsson and
+fall under an anchor: the least hashed GRAM in them. At least HALF bytes more lie left or right of it, so strings are keyed
+by the anchor and the HALF bytes on that side. Equal strings have equal keys, so strings are dealt to shards
+by key, and only those whose key occurs again; by chance that is far rarer than for an anchor alone. A shard sorts its strings with a suffix array (Larsson and
 Sadakane's refinement in numpy), takes common prefixes with Kasai's algorithm, and finds the first start of each class
-of equal strings. An anchor with very many places is cut into parts; the first strings of the parts are dealt
+of equal strings. A key with very many places is cut into parts; the first strings of the parts are dealt
 by a digest of the whole string and compared with the first of their digest only, so that no task holds the strings of
-an anchor. Documents that equal an earlier one as a whole are removed as a whole and not dealt.
+a key. Documents that equal an earlier one as a whole are removed as a whole and not dealt.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from riskloom.llm.common import mix, pin, shuffle_partitions, slices
 
 #: Bytes of a string that counts, and of an anchor.
 LENGTH, GRAM = 100, 40
-#: Places of an anchor that are sorted together, and bytes of a shard (with one more part it must stay below 2**21).
+#: Bytes that any string has on one side of its anchor.
+HALF = (LENGTH - GRAM) // 2
+#: Places of a key that are sorted together, and bytes of a shard (with one more part it must stay below 2**21).
 PART, SHARD_BYTES = 2048, 1 << 20
 PLACE = np.uint64((1 << 28) - 1)
 FACTOR = 0x9E3779B97F4A7C15
@@ -49,7 +52,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, number of starts) for each run of starts that share an anchor."""
+    """(key, first start, number of starts) for each run of starts that share an anchor and the side of its longer rest."""
     if len(data) < LENGTH:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = gram_hashes(data)
@@ -62,7 +65,18 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         low = np.minimum(low[: len(low) - (width - n)], low[width - n :])
     at = (low & PLACE).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
-    return h[at[first]], first, np.diff(np.append(first, len(at)))
+    at, stop = at[first], np.append(first[1:], len(at))
+    middle = np.clip(at - HALF + 1, first, stop)  # starts below it have HALF bytes or more before the anchor
+    left, right = np.flatnonzero(first < middle), np.flatnonzero(middle < stop)
+    # two overlapping grams stand for the anchor and HALF bytes beside it
+    keys = np.concatenate([_pair(h[at[left] - HALF], h[at[left]]), _pair(h[at[right]], h[at[right] + HALF])])
+    begin = np.concatenate([first[left], middle[right]])
+    count = np.concatenate([middle[left], stop[right]]) - begin
+    return keys, begin, count
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(FACTOR) + b)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
