@@ -80,16 +80,23 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffix array of fewer than 2**21 bytes: sort by four bytes, then refine the unsorted groups by doubling."""
+    """Suffix array of fewer than 2**21 bytes: sort by four bytes, then refine the unsorted groups by doubling.
+
+    A negative value ends a piece; the last piece ends so too, or there is one piece without. Every end is below any
+    byte and differs from every other, earlier ones are smaller; so a suffix is settled once its end is reached, and
+    copies laid side by side cost no further rounds.
+    """
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(4, np.uint64)])  # the end is below any byte
+    ends = np.append(np.flatnonzero(data.astype(np.int64) < 0), n)
+    rest = np.repeat(ends, np.diff(ends, prepend=-1))[:n] - np.arange(n)
+    padded = np.concatenate([data.astype(np.int64) + 1, np.zeros(4, np.int64)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(4):
-        key = (key << np.uint64(9)) | padded[j : n + j]
+        key = (key << np.uint64(9)) | np.where(j < rest, padded[j : n + j], np.uint64(0))
     packed = np.sort((key << np.uint64(21)) | np.arange(n, dtype=np.uint64))
     low = np.uint64((1 << 21) - 1)
     sa = (packed & low).astype(np.int64)
-    start = np.flatnonzero(np.diff(packed >> np.uint64(21), prepend=np.uint64(2**64 - 1)))
+    start = np.flatnonzero((np.diff(packed >> np.uint64(21), prepend=np.uint64(2**64 - 1)) != 0) | (rest[sa] < 4))
     rank = np.empty(n + 1, np.int64)
     rank[sa] = np.repeat(start, np.diff(np.append(start, n)))
     rank[n] = -1
@@ -101,16 +108,18 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         if not len(spots):
             return sa
         own = sa[spots]
-        later = rank[np.minimum(own + h, n)] + 1
+        later = rank[own + h] + 1
         packed = np.sort((rank[own].astype(np.uint64) << np.uint64(42)) | (later.astype(np.uint64) << np.uint64(21)) | own.astype(np.uint64))
         sa[spots] = (packed & low).astype(np.int64)
-        new = np.flatnonzero(np.diff(packed >> np.uint64(21), prepend=np.uint64(2**64 - 1)))
+        settled = rest[sa[spots]] < 2 * h
+        new = np.flatnonzero((np.diff(packed >> np.uint64(21), prepend=np.uint64(2**64 - 1)) != 0) | settled)
         rank[sa[spots]] = np.repeat(spots[new], np.diff(np.append(new, len(spots))))
         h *= 2
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, most: int = LENGTH, chain: int = 64) -> np.ndarray:
-    """Kasai's algorithm, up to ``most`` bytes: prefix that each suffix shares with the one before it in ``sa``.
+    """Kasai's algorithm, up to ``most`` bytes and the end of a piece: prefix that each suffix shares with the one before
+    it in ``sa``.
 
     Positions are walked in order, so a prefix shrinks by one byte at most from one to the next; chains of positions
     are walked side by side.
@@ -240,8 +249,10 @@ def _removed_rows(ids, keys, starts, stops, pieces=None) -> pa.RecordBatch:
 
 def sort_shard(ids, keys, starts, counts, parts, pieces: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Removed runs of a shard, and the first strings of its cut anchors."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    begin = np.cumsum([0, *map(len, pieces[:-1])])
+    sizes = np.array([len(piece) for piece in pieces])
+    begin = np.cumsum(sizes + 1) - sizes - 1
+    data = np.full(int(sizes.sum()) + len(pieces), -1, np.int16)  # an end behind each piece
+    data[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(pieces)), sizes)] = np.frombuffer(b"".join(pieces), np.uint8)
     sa = suffix_array(data)
     prefix = common_prefixes(data, sa)
     owner = np.repeat(np.arange(len(pieces)), counts)

@@ -206,6 +206,37 @@ def test_suffix_array_and_prefixes():
             assert got[k] == m
 
 
+def test_suffix_array_of_pieces():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        d = np.append(rng.integers(-1, rng.integers(1, 4), rng.integers(1, 80)), -1).astype(np.int16)
+        ends = np.flatnonzero(d < 0)
+
+        def piece(i):
+            end = ends[np.searchsorted(ends, i)]
+            return [*d[i:end].tolist(), end - 1_000_000]
+
+        sa = suffix_dedup.suffix_array(d)
+        assert sa.tolist() == sorted(range(len(d)), key=piece)
+        got = suffix_dedup.common_prefixes(d, sa)
+        for k in range(1, len(d)):
+            x, y = piece(sa[k - 1]), piece(sa[k])
+            assert got[k] == next(j for j in range(len(x)) if x[j] != y[j])
+
+
+def test_keys_of_strings_cover_every_start_once():
+    data = np.random.default_rng(4).integers(0, 3, 700).astype(np.uint8)
+    data[400:600] = data[50:250]
+    keys, first, count = suffix_dedup.anchors(data)
+    starts = np.concatenate([np.arange(a, a + n) for a, n in zip(first, count)])
+    assert sorted(starts.tolist()) == list(range(601))
+    of_string = {}
+    for key, a, n in zip(keys.tolist(), first.tolist(), count.tolist()):
+        for s in range(a, a + n):
+            of_string.setdefault(data[s : s + 100].tobytes(), set()).add(key)
+    assert all(len(found) == 1 for found in of_string.values()) and len(of_string) < 601
+
+
 def shared_ids(spark):
     rows = [(1, A), (5, A), (5, UNIQUE), (None, B), (None, B), (None, B), (7, B), (8, None), (8, None), (9, UNIQUE + " again")]
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _row int")
