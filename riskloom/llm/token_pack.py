@@ -28,6 +28,8 @@ from riskloom.session import scratch_path
 #: Ids of a block (a multiple of 8, so that blocks start on bytes) and ids after which an image is closed.
 BLOCK, IMAGE_IDS = 4096, 1 << 20
 MAGIC, HEADER = b"TPK1", np.dtype([("width", "<u4"), ("n_docs", "<u8"), ("n_ids", "<u8"), ("n_blocks", "<u8")])
+#: Widths whose fields are machine integers.
+WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 #: Pieces a worker remembers.
 MEMO_PIECES = 1_000_000
 
@@ -41,6 +43,8 @@ def width_of(vocabulary_size: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids as consecutive ``width``-bit little-endian fields; eight ids fill ``width`` bytes."""
+    if width in WHOLE:
+        return ids.astype(WHOLE[width]).tobytes()
     lanes = np.zeros(-(-len(ids) // 8) * 8, np.uint64)
     lanes[: len(ids)] = ids
     lanes = lanes.reshape(-1, 8)
@@ -57,6 +61,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     """The first ``n`` ids of packed bytes."""
+    if width in WHOLE:
+        return np.frombuffer(data, WHOLE[width], n).astype(np.uint32)
     groups = -(-n // 8)
     raw = np.zeros(groups * width, np.uint8)
     raw[: min(len(data), len(raw))] = np.frombuffer(data, np.uint8)[: len(raw)]

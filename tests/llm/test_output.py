@@ -90,6 +90,17 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert all(words[i] == n for i, n in taken.items())
 
 
+def test_fields_follow_each_other_bit_by_bit():
+    rng = np.random.default_rng(4)
+    for width in range(1, 33):
+        for n in (0, 1, 7, 8, 9, 100):
+            ids = rng.integers(0, 2**width, n, dtype=np.uint64).astype(np.uint32)
+            value = sum(int(x) << (i * width) for i, x in enumerate(ids))
+            data = token_pack.pack(ids, width)
+            assert data == value.to_bytes((n * width + 7) // 8, "little")
+            assert (token_pack.unpack(data, n, width) == ids).all()
+
+
 def test_packing_round_trip():
     rng = np.random.default_rng(1)
     for width in (1, 3, 8, 13, 16, 17, 31):
