@@ -1,7 +1,7 @@
 """Benchmark decontamination: rare word n-grams of test items are seeds, Smith-Waterman alignment scores the rest.
 
-An n-gram is rare if its words, at their frequencies in the whole corpus, would meet by chance at most ``CHANCE``
-times. Every document is searched for seeds; around its hits the item is aligned with the document's words, so edited
+An n-gram is rare if its words, at their frequencies in the whole corpus, would meet by chance at most at a rate of
+``CHANCE``, whatever the corpus holds in all: a larger one of the same kind has the same seeds. Every document is searched for seeds; around its hits the item is aligned with the document's words, so edited
 and paraphrased copies score too. The benchmark is processed in blocks of bounded size, each of which is broadcast.
 """
 
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.common import _word_memory, mix, slices, text_bytes
 
-#: Words of a seed, and how often a seed may be expected by chance in the corpus.
-SEED_WORDS, CHANCE = 3, 1.0
+#: Words of a seed, and how often a seed may be expected by chance per word of the corpus.
+SEED_WORDS, CHANCE = 3, 1e-6
 #: Alignment: a match counts 1, an exchanged, missing or extra word costs PENALTY; score = best sum / words of the item.
 PENALTY, THRESHOLD = 0.5, 0.5
 #: Bytes of benchmark text that are broadcast at once.
@@ -64,8 +64,9 @@ class Index:
         grams, owners = [], []
         for i, (_, h) in enumerate(self.items):
             share = np.array([frequency.get(int(w), 0) for w in h], float) / max(1, total)
-            expected = total * np.prod([share[j : len(h) - SEED_WORDS + 1 + j] for j in range(SEED_WORDS)], axis=0)
-            rare = expected <= max(CHANCE, float(np.quantile(expected, 1 / 3)))
+            expected = np.prod([share[j : len(h) - SEED_WORDS + 1 + j] for j in range(SEED_WORDS)], axis=0)
+            known = expected[expected > 0]  # grams of words that no document has find nothing
+            rare = expected <= max(CHANCE, float(np.quantile(known, 1 / 3)) if len(known) else 0.0)
             grams.append(_grams(h)[rare])
             owners.append(np.full(int(rare.sum()), i))
         self.grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)

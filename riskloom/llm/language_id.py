@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.llm.common import has_letter, kept, slices
+from riskloom.llm.common import has_letter, kept, lowest_hashes, slices
 
 #: Labelled documents per language that make up its dictionary, characters of each, and bytes of a dictionary. Many
 #: short excerpts keep boilerplate that one of them quotes from deciding.
@@ -76,10 +76,10 @@ def learn(docs: DataFrame, usable: Column | None = None, per_language: int = TRA
     Rows without lang, doc_id or text are not learned from; of rows that repeat an id and language one excerpt is.
     """
     known = docs.select("doc_id", "lang").filter("lang is not null and doc_id is not null and text is not null")
-    known = known if usable is None else known.filter(usable)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
-    ranked = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language)
-    chosen = ranked.groupBy("doc_id", "lang").agg(F.min("_n").alias("_n"))
+    known = (known if usable is None else known.filter(usable)).withColumn("_h", F.xxhash64("doc_id", F.lit(3)))
+    order = W.partitionBy("lang").orderBy("_h", "doc_id")
+    few = lowest_hashes(known, "_h", per_language, "lang").distinct()
+    chosen = few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).select("doc_id", "lang", "_n")
     texts = docs.select("doc_id", "lang", F.expr(f"substring(text, cast(char_length(text) / 3 as int) + 1, {TRAIN_CHARS})").alias("text"))
     found = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "_n").agg(F.min("text").alias("text"))
     rows = found.toPandas().sort_values(["lang", "_n"])

@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.llm.common import kept, slices
+from riskloom.llm.common import kept, lowest_hashes, slices
 
 #: Labelled documents that the field is fitted on at most, per label; longer texts than this are not fitted on.
 TRAIN_DOCS, TRAIN_CHARS = 1_500, 8_000
-#: Segments of a gradient pass at most, and tokens of a segment (texts are cut into segments, nothing is left out).
+#: Segments of a gradient pass at most, and tokens of a segment. Training looks at segments; tagging passes messages from
+#: one to the next, so its chains are whole texts.
 TRAIN_SEGMENTS, SEGMENT = 8_000, 64
 #: Weights nearer to 0 than this are not kept.
 SMALL = 0.02
@@ -69,23 +70,28 @@ class Field:
         return BIAS + sum(get(n, 0.0) for n in _names(word)), get("prev=" + low, 0.0), get("next=" + low, 0.0)
 
 
-def marginals(emission: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward over padded segments [n, t]: P(toxic) per token and expected label pairs [n, 2, 2].
+def marginals(
+    emission: np.ndarray, length: np.ndarray, moves: np.ndarray, before: np.ndarray | None = None, behind: np.ndarray | float = 1.0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over padded segments [n, t]: P(toxic) per token, and the messages and odds behind it.
 
-    Only ratios of the two labels' messages are kept, so nothing under- or overflows.
+    Only ratios of the two labels' messages are kept, so nothing under- or overflows. ``before`` is the forward message
+    of the token before a segment (NaN: there is none), ``behind`` the backward message of its last token.
     """
     m = np.exp(moves)
     n, steps = emission.shape
     odds = np.exp(np.clip(emission, -30, 30))
     ahead, back = np.empty((n, steps)), np.empty((n, steps))
     r = odds[:, 0].copy()
+    if before is not None:
+        r *= np.where(np.isnan(before), 1.0, (m[0, 1] + m[1, 1] * before) / (m[0, 0] + m[1, 0] * before))
     ahead[:, 0] = r
     for t in range(1, steps):
         r = odds[:, t] * (m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r)
         ahead[:, t] = r
     s = np.ones(n)
     for t in range(steps - 1, -1, -1):
-        s = np.where(t >= length - 1, 1.0, s)
+        s = np.where(t >= length - 1, behind, s)
         back[:, t] = s
         x = odds[:, t] * s
         s = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
@@ -93,6 +99,43 @@ def marginals(emission: np.ndarray, length: np.ndarray, moves: np.ndarray) -> tu
     return both / (1 + both), np.stack([ahead, back, odds])
 
 
+def chain_marginals(emission: np.ndarray, length: np.ndarray, first: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """P(toxic) per token of chains cut into segments: a segment that is not a ``first`` one continues the row above it.
+
+    A segment does to the message that enters it what a 2 x 2 matrix does to a pair. These matrices are made for all
+    segments at once, messages then pass from segment to segment, and the recursions within segments start from them.
+    """
+    if first.all():
+        return marginals(emission, length, moves)[0]
+    m = np.exp(moves)
+    n, steps = emission.shape
+    odds = np.exp(np.clip(emission, -30, 30))
+    ahead, back = np.zeros((2, 2, n)), np.zeros((2, 2, n))
+    ahead[0, 0] = ahead[1, 1] = back[0, 0] = back[1, 1] = 1.0
+    for t in range(steps):
+        x = odds[:, t]
+        moved = np.stack([m[0, 0] * ahead[0] + m[1, 0] * ahead[1], x * (m[0, 1] * ahead[0] + m[1, 1] * ahead[1])])
+        if t == 0:
+            moved = np.where(first, np.stack([ahead[0], x * ahead[0]]), moved)
+        ahead = moved / moved.sum((0, 1))
+    for t in range(steps - 1, -1, -1):
+        x = odds[:, t] * back[1]
+        moved = np.stack([m[0, 0] * back[0] + m[0, 1] * x, m[1, 0] * back[0] + m[1, 1] * x])
+        back = np.where(t < length, moved / moved.sum((0, 1)), back)
+    rank = np.arange(n) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    rows = np.split(np.argsort(rank, kind="stable"), np.cumsum(np.bincount(rank))[:-1])
+    before, out, behind = np.full(n, np.nan), np.zeros(n), np.ones(n)
+    for j, at in enumerate(rows):
+        if j:
+            before[at] = out[at - 1]
+        r = before[at] if j else 0.0
+        out[at] = (ahead[1, 0, at] + ahead[1, 1, at] * r) / (ahead[0, 0, at] + ahead[0, 1, at] * r)
+    for at in rows[:0:-1]:
+        s = behind[at]
+        behind[at - 1] = (back[1, 0, at] + back[1, 1, at] * s) / (back[0, 0, at] + back[0, 1, at] * s)
+    return marginals(emission, length, moves, before, behind)[0]
+
+
 def _pair_counts(p: np.ndarray, inner: np.ndarray, length: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Expected label pairs, summed over the segments."""
     ahead, back, odds = inner
@@ -274,7 +317,6 @@ class Tagger:
         at = np.arange(len(ids)) - np.repeat(ends - counts, counts)
         place, last = at % SEGMENT, np.zeros(len(ids), bool)
         last[ends[counts > 0] - 1] = True
-        last |= place == SEGMENT - 1
         own, before, after = self.parts[ids].T
         emission = own.copy()
         emission[1:] += np.where(last[:-1], 0, before[:-1])
@@ -282,7 +324,7 @@ class Tagger:
         segment = np.cumsum(place == 0) - 1
         padded = np.zeros((segment[-1] + 1, SEGMENT))
         padded[segment, place] = emission
-        p, _ = marginals(padded, np.bincount(segment), self.model.moves)
+        p = chain_marginals(padded, np.bincount(segment), at[place == 0] == 0, self.model.moves)
         return np.split(p[segment, place], ends[:-1])
 
 
@@ -331,8 +373,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_
     """
     known = labels.select("doc_id", "toxic").filter("toxic is not null and doc_id is not null")
     known = known if usable is None else known.filter(usable)
-    ranked = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn(
-        "_n", F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id"))
+    each = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.xxhash64("doc_id", F.lit(5)))
+    ranked = lowest_hashes(each, "_h", per_label, "toxic").withColumn(
+        "_n", F.row_number().over(W.partitionBy("toxic").orderBy("_h", "doc_id"))
     )
     chosen = ranked.filter(F.col("_n") <= per_label).select("doc_id", "toxic")  # at most 2 * per_label rows
     texts = docs.select("doc_id", "text").filter(F.char_length("text") <= TRAIN_CHARS)

@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.llm.common import pin
+from riskloom.llm.common import lowest_hashes, pin
 
 #: (host, path, verdict)
 RULES = (
@@ -96,7 +96,7 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, trai
     labelled = base.filter("_match is not null").select(
         (F.col("_match.verdict") == "block").cast("double").alias("label"), F.xxhash64("url").alias("_h"), vector.alias("_v")
     )
-    train = pin(labelled.orderBy("_h").limit(train_rows), "urls")
+    train = pin(lowest_hashes(labelled, "_h", train_rows).orderBy("_h").limit(train_rows), "urls")
     kinds = [r["label"] for r in train.select("label").distinct().collect()]
     wide = lambda df: VectorAssembler(inputCols=names, outputCol="features").transform(
         df.select("*", *(F.col("_v")[i].alias(c) for i, c in enumerate(names)))

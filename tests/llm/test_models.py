@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 
-from riskloom.llm import decontaminate, language_id, toxicity, url_filter
+from riskloom.llm import common, decontaminate, language_id, toxicity, url_filter
 from tests.llm import data
 
 SF = "/root/testdata/sf0.01"
@@ -154,3 +154,58 @@ def test_models_are_not_mixed_up(spark):
     docs = spark.createDataFrame([(1, "the and of to in that is")], "doc_id long, text string")
     for lang in ("aa", "bb", "cc"):
         assert language_id.identify(docs, {lang: b"the and of to in that is"}).first().lang_pred == lang
+
+
+def test_chains_of_segments_equal_whole_chains():
+    rng = np.random.default_rng(8)
+    for size, lengths in ((4, [1, 4, 5, 8, 23, 3]), (1, [3, 1, 6]), (5, [2, 5]), (64, [200, 1, 64, 65])):
+        moves = rng.normal(size=(2, 2)) * 2
+        whole = rng.normal(size=(len(lengths), max(lengths))) * 3
+        want, _ = toxicity.marginals(whole, np.array(lengths), moves)
+        cut = [(k, a) for k, n in enumerate(lengths) for a in range(0, n, size)]
+        rows, length = np.zeros((len(cut), size)), np.array([min(size, lengths[k] - a) for k, a in cut])
+        for i, (k, a) in enumerate(cut):
+            rows[i, : length[i]] = whole[k, a : a + length[i]]
+        got = toxicity.chain_marginals(rows, length, np.array([a == 0 for _, a in cut]), moves)
+        for i, (k, a) in enumerate(cut):
+            assert np.allclose(got[i, : length[i]], want[k, a : a + length[i]])
+
+
+def test_long_chains_stay_finite():
+    n = 40_000
+    emission = np.where(np.arange(n) % 7 < 3, 30.0, -30.0).reshape(-1, toxicity.SEGMENT)
+    first = np.arange(len(emission)) == 0
+    got = toxicity.chain_marginals(emission, np.full(len(emission), toxicity.SEGMENT), first, np.array([[3.0, -3.0], [-3.0, 3.0]]))
+    assert np.isfinite(got).all() and got.min() >= 0 and got.max() <= 1
+
+
+def test_neighbours_reach_across_segments():
+    model = toxicity.Field({"w=bad": 6.0, "next=bad": 5.0, "prev=bad": 5.0}, np.array([[0.5, -0.5], [-0.5, 0.5]]))
+    tagger = toxicity.Tagger(model)
+    near = [tagger.probabilities([" ".join(["fine"] * n + ["bad"] + ["fine"] * 40)])[0][n - 1 : n + 2] for n in (40, 63, 64, 65, 128)]
+    assert all(np.allclose(near[0], other, atol=1e-6) for other in near[1:])
+
+
+def test_seeds_do_not_depend_on_the_size_of_the_corpus():
+    rng = np.random.default_rng(3)
+    items = [(i, (300 * rng.random(30) ** 4).astype(np.uint64)) for i in range(20)]
+    counts = {w: int(10**5 / (w + 1)) for w in range(280)}
+    total = sum(counts.values())
+    small = decontaminate.Index(items, counts, total)
+    assert 0 < len(small.grams) < sum(len(h) - 2 for _, h in items)
+    for times in (100, 1000):
+        large = decontaminate.Index(items, {w: times * c for w, c in counts.items()}, times * total)
+        assert (small.grams == large.grams).all() and (small.owners == large.owners).all()
+
+
+def test_lowest_hashes_keep_the_lowest(spark):
+    rows = spark.range(20_000).selectExpr("id % 7000 as id", "if(id % 7000 % 10 = 0, 'few', 'many') as kind").selectExpr("*", "xxhash64(id) as h")
+    for group in (None, "kind"):
+        kept = common.lowest_hashes(rows, "h", 50, group)
+        assert kept.columns == (["kind", "id", "h"] if group else ["id", "kind", "h"])
+        assert kept.select("id").distinct().count() < 1_200
+        for kind in ("few", "many") if group else (None,):
+            of = lambda df: [r.h for r in (df.filter(f"kind = '{kind}'") if kind else df).select("h").distinct().orderBy("h").limit(50).collect()]  # noqa: E731, B023
+            assert of(kept) == of(rows)
+    assert common.lowest_hashes(rows.filter("id < 0"), "h", 50).count() == 0
+    assert common.lowest_hashes(rows, "h", 10**6).count() == 20_000
