@@ -110,10 +110,10 @@ def lowest_hashes(rows: DataFrame, column: str, limit: int, group: str | None =
     The number of distinct hashes is estimated first and gives a bound on the hash, so a later top-k gets about
     4 * limit values however many splits the rows come from. Groups are the classes of a model: one small row each.
     """
-    share = (4.0 * limit + 100) / F.approx_count_distinct(column, 0.02)
+    share = (4.0 * limit + 100) / F.greatest(F.approx_count_distinct(column, 0.02), F.lit(1))
     bound = (F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).alias("_bound")
     if group is None:
-        return rows.filter(F.col(column) <= (rows.agg(bound).first()["_bound"] or 2.0**63))
+        return rows.filter(F.col(column) <= rows.agg(bound).first()["_bound"])
     bounds = F.broadcast(rows.groupBy(group).agg(bound))
     return rows.join(bounds, group).filter(F.col(column) <= F.col("_bound")).drop("_bound")
 
