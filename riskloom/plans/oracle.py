@@ -505,8 +505,10 @@ BODIES: dict[str, str] = {
         FROM (SELECT post_id, {_sentences('text')} AS l FROM posts)""",
     "risk_contexts": "SELECT post_id, entity_id, mention_text, risk_context FROM risk_posts",
     "cluster_contexts": "SELECT post_id, entity_id, cluster_context FROM chars_posts",
-    "narrative_snippets": f"""SELECT narrative_id, {_compact('risk_context', 260)} AS snippet, min(post_id) AS first_post
-        FROM risk_rows GROUP BY ALL HAVING snippet <> ''""",
+    # HAVING on the alias would make GROUP BY ALL group by the whole context too
+    "narrative_snippets": f"""SELECT narrative_id, snippet, min(post_id) AS first_post
+        FROM (SELECT narrative_id, post_id, {_compact('risk_context', 260)} AS snippet FROM risk_rows)
+        WHERE snippet <> '' GROUP BY narrative_id, snippet""",
     "narrative_quotes": _quotes(f"(SELECT narrative_id, {_squash('risk_context')} AS s, post_id FROM risk_rows)"),
     "narrative_quotes_from_copies": _quotes(
         f"""(SELECT narrative_id, 'one shared context of platform ' || platform || '{_QUOTE_WORDS}' AS s, post_id FROM posts
