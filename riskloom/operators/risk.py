@@ -12,7 +12,7 @@ from riskloom.functions.text import (
     without_quotes, words_present,
 )
 from riskloom.operators.prefilter import signal_text
-from riskloom.session import dictionary_join, numbered_locally
+from riskloom.session import dictionary_join, numbered
 
 # Window sizes, batch sizes and reject reason.
 RISK_WINDOW, RISK_WORDS = 2, 100
@@ -76,13 +76,10 @@ def work_items(df: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def batched(items: DataFrame, size: int) -> DataFrame:
-    """Adds ``batch``: groups of ``size`` items, numbered from 0; only the last may be smaller.
-
-    Items are batched as they lie; batches have no order.
-    """
-    placed = numbered_locally(items, "items", "_place")
-    return placed.withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
+def batched(items: DataFrame, size: int, key: str = "id") -> DataFrame:
+    """Adds ``batch``: runs of ``size`` items in key order, numbered from 0; only the last may be smaller."""
+    placed = numbered(items, [key], "_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def keyword_decisions(items: DataFrame, taxonomy: dict[str, list[str]]) -> DataFrame:

@@ -543,20 +543,8 @@ def risk_work_items(spark, sf):
 
 @query
 def work_item_batches(spark, sf):
-    """Items per leading digits of their id, how many of them are in a batch of the right size, and all batches.
-
-    Which items share a batch is left open, so sizes and completeness are compared.
-    """
-    rows = pinned(K.batched(K.work_items(risk_rows(spark, sf)), K.DECISION_BATCH), "batches")
-    sizes = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
-    counted = sizes.agg(F.count(F.lit(1)).alias("batches"), F.max("batch").alias("last")).first()
-    short = F.col("batch") == counted["last"]
-    good = (F.col("size") == K.DECISION_BATCH) | (short & F.col("size").between(1, K.DECISION_BATCH))
-    per_prefix = rows.join(sizes, "batch").groupBy(F.left("id", F.lit(2)).alias("prefix")).agg(
-        F.countDistinct("id").alias("items"), F.count_if(good).alias("placed")
-    )
-    every = sizes.agg(F.count(F.lit(1)).alias("items"), (F.max("batch") + 1).cast("bigint").alias("placed"))
-    return per_prefix.unionByName(every.select(F.lit("batches").alias("prefix"), "items", "placed"))
+    items = pinned(K.work_items(risk_rows(spark, sf)), "items")  # numbering reads them twice
+    return K.batched(items, K.DECISION_BATCH).select("id", F.col("batch").cast("bigint").alias("batch"))
 
 
 @query

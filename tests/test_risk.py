@@ -48,6 +48,12 @@ def test_work_items_are_distinct_and_batched(spark):
     assert K.batched(many.filter("false"), 2).count() == 0
 
 
+def test_batches_are_runs_in_id_order(spark):
+    many = spark.range(50).selectExpr("sha2(string(id), 256) AS id").repartition(7)
+    got = {r["id"]: r["batch"] for r in K.batched(many, 2).collect()}
+    assert got == {id_: place // 2 for place, id_ in enumerate(sorted(got))} and len(got) == 50
+
+
 def test_payloads(spark):
     raw = spark.createDataFrame(
         [
