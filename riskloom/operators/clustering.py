@@ -2,8 +2,9 @@
 
 A group's rows are never brought together. Points are distinct vectors with a weight; each entity's
 points are spread over blocks of bounded size, which are rows with flat arrays. Centers are joined to
-the blocks, blocks return partial sums, and the sums are added with partial aggregation. Only cluster-level rows (at most ``max_clusters`` per entity) are ever
-looked at as a whole.
+the blocks, blocks return partial sums, and the sums are added. Only cluster-level rows (at most ``max_clusters`` per entity)
+are ever looked at as a whole. As long as all centers together are few, they travel as a broadcast variable, so that a
+round is one job of two stages; beyond that they stay a table.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SEED = 42
 SUPPLIED_THRESHOLD, TEXT_THRESHOLD = 0.95, 0.90
 LARGE_CLUSTER, LARGE_MARGIN = 20, 0.03
 
-#: Rounds after which k-means gives up with an error; it stops when no center moves.
-ROUNDS = 300
+#: Rounds after which k-means gives up with an error; it stops when no center moves, which takes more rounds the more points there are.
+ROUNDS = 5_000
 #: Values of a block of points, which is one row; values of all centers that are sent to every task.
 BLOCK_VALUES = 250_000
 BROADCAST_VALUES = 8_000_000
@@ -237,7 +238,8 @@ def grouped_kmeans(
     """(blocks, centers): the best trial's centers per entity with ``first_cost`` and ``cost``.
 
     All entities and trials are moved together, each round by one job; a trial whose centers stand still is left out of
-    later rounds. The rounds report the number of open trials through an observation, nothing else reaches the driver.
+    later rounds. At most ``BROADCAST_VALUES`` numbers of centers are sent to the tasks; beyond that the centers stay a table
+    and the rounds report the number of open trials through an observation.
     """
     points = pinned(distinct_points(df, counts), "points")
     blocks = pinned(packed(points), "blocks")
@@ -245,6 +247,8 @@ def grouped_kmeans(
     size = points.groupBy("entity_id").agg(width).join(counts, "entity_id").agg(F.sum(F.col("k") * F.col("d"))).first()[0]
     small = (size or 0) * trials <= BROADCAST_VALUES
     start = initial_centroids(points, counts, seed, trials, max_clusters)
+    if small:
+        return blocks, pinned(_settled(blocks, start, rounds), "chosen")
     unknown = F.lit(None).cast("double")
     state = pinned(
         start.select("*", F.lit(0.0).alias("n"), unknown.alias("cost"), unknown.alias("first_cost"), F.lit(False).alias("settled")),
@@ -261,6 +265,115 @@ def grouped_kmeans(
     return blocks, pinned(chosen, "chosen")
 
 
+def _step(x: np.ndarray, w: np.ndarray, c: np.ndarray) -> list:
+    """Totals, weights, cost, largest squared distance and its point of every trial, for ``c`` (trials, clusters, values)."""
+    trials, k, width = c.shape
+    flat = c.reshape(-1, width)
+    gap = ((flat * flat).sum(axis=1) - 2.0 * x @ flat.T).reshape(len(x), trials, k)
+    best = gap.argmin(axis=2)
+    away = np.maximum(np.take_along_axis(gap, best[:, :, None], axis=2)[:, :, 0] + (x * x).sum(axis=1)[:, None], 0.0)
+    member = np.zeros((len(x), trials * k))
+    member[np.arange(len(x))[:, None], best + np.arange(trials) * k] = w[:, None]
+    far = away.max(axis=0)
+    points = [max(map(tuple, x[np.flatnonzero(away[:, t] == far[t])])) for t in range(trials)]
+    return [(member.T @ x).reshape(c.shape), member.sum(axis=0).reshape(trials, k), w @ away, far, np.array(points)]
+
+
+def _added(a: list, b: list) -> list:
+    """What ``_step`` says of two blocks together; of equally far points the greater one is kept."""
+    later = [(bg, tuple(bp)) > (ag, tuple(ap)) for ag, ap, bg, bp in zip(a[3], a[4], b[3], b[4])]
+    return [*(p + q for p, q in zip(a[:3], b[:3])), np.where(later, b[3], a[3]), np.where(np.array(later)[:, None], b[4], a[4])]
+
+
+PARTIAL = "entity_id string, trial int, total array<double>, n array<double>, cost double, gap double, point array<double>"
+MOVED = "entity_id string, trial int, vec array<double>, n array<double>, cost double, moved double"
+MOVED_COLUMNS = ["entity_id", "trial", "vec", "n", "cost", "moved"]
+
+
+def _moved(blocks: DataFrame, centers: dict) -> pa.Table:
+    """One round of all open trials, ``centers`` being {entity: (trials, array of (trials, clusters, values))}.
+
+    Tasks add up their blocks, the sums of a trial meet in one group, which moves its centers by the rule of ``lloyd_step``.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(centers)
+
+    def partial(batches):
+        held = {}
+        for batch in batches:
+            for i, entity in enumerate(batch["entity_id"].to_pylist()):
+                if entity in shared.value:
+                    x = batch["values"][i].values.to_numpy().reshape(batch["points"][i].as_py(), -1)
+                    w = batch["weights"][i].values.to_numpy().astype(float)
+                    found = _step(x, w, shared.value[entity][1])
+                    held[entity] = _added(held[entity], found) if entity in held else found
+        for entity, (total, n, cost, gap, point) in held.items():
+            yield pa.RecordBatch.from_pydict({
+                "entity_id": pa.array([entity] * len(n), pa.string()), "trial": pa.array(shared.value[entity][0], pa.int32()),
+                "total": _lists(total.reshape(len(n), -1)), "n": _lists(n), "cost": pa.array(cost), "gap": pa.array(gap), "point": _lists(point),
+            })
+
+    def move(group: pa.Table) -> pa.Table:
+        group = group.sort_by("cost")  # sums do not depend on the order of arrival
+        trials, c = shared.value[group["entity_id"][0].as_py()]
+        old = c[trials.index(group["trial"][0].as_py())]
+        total, n = _matrix(group["total"]).sum(axis=0).reshape(old.shape), _matrix(group["n"]).sum(axis=0)
+        new = np.where(n[:, None] > 0, total / np.maximum(n, 1.0)[:, None], old)
+        gap, point = max(zip(group["gap"].to_pylist(), group["point"].to_pylist()))
+        if (n == 0).any() and gap > STILL:
+            new[(n == 0).argmax()] = point
+        return pa.table({
+            "entity_id": group["entity_id"].slice(0, 1), "trial": group["trial"].slice(0, 1), "vec": _lists(new.reshape(1, -1)),
+            "n": _lists(n.reshape(1, -1)), "cost": pa.array([sum(group["cost"].to_pylist())], pa.float64()),
+            "moved": pa.array([((new - old) ** 2).sum(axis=1).max()], pa.float64()),
+        })
+
+    try:
+        return blocks.mapInArrow(partial, PARTIAL).groupBy("entity_id", "trial").applyInArrow(move, MOVED).toArrow()
+    finally:
+        shared.destroy()
+
+
+def _settled(blocks: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+    """(entity_id, trial, cluster, vec, n, cost, first_cost) of the best trial of every entity, after rounds by ``_moved``.
+
+    The driver only hands centers on, at most ``BROADCAST_VALUES`` numbers.
+    """
+    starts: dict = {}
+    for row in start.toArrow().sort_by([("entity_id", "ascending"), ("trial", "ascending"), ("cluster", "ascending")]).to_pylist():
+        starts.setdefault(row["entity_id"], {}).setdefault(row["trial"], []).append(row["vec"])
+    open_trials = {entity: {t: np.array(c) for t, c in found.items()} for entity, found in starts.items()}
+    first, best = {}, {}
+    for _ in range(rounds):
+        if not open_trials:
+            break
+        moved = _moved(blocks, {e: (list(found), np.stack(list(found.values()))) for e, found in open_trials.items()})
+        for entity, trial, vec, n, cost, gap in zip(*(moved[c] for c in MOVED_COLUMNS)):
+            entity, trial, cost = entity.as_py(), trial.as_py(), cost.as_py()
+            n = n.values.to_numpy()
+            c = vec.values.to_numpy().reshape(len(n), -1)
+            open_trials[entity][trial] = c
+            first.setdefault((entity, trial), cost)
+            if gap.as_py() < STILL:
+                del open_trials[entity][trial]
+                found = (cost, trial, c, n)
+                best[entity] = min(best.get(entity, found), found, key=lambda b: b[:2])
+        open_trials = {entity: found for entity, found in open_trials.items() if found}
+    if open_trials:
+        raise RuntimeError(f"centers still move after {rounds} rounds; allow more")
+    rows = [
+        (entity, trial, i, c[i].tolist(), float(n[i]), cost, first[entity, trial])
+        for entity, (cost, trial, c, n) in best.items() for i in range(len(n))
+    ]
+    kinds = {
+        "entity_id": pa.string(), "trial": pa.int32(), "cluster": pa.int32(), "vec": pa.list_(pa.float64()),
+        "n": pa.float64(), "cost": pa.float64(), "first_cost": pa.float64(),
+    }
+    columns = list(zip(*rows)) or [[]] * len(kinds)
+    return blocks.sparkSession.createDataFrame(
+        pa.table({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns)}, schema=pa.schema(kinds))
+    )
+
+
 def _round(blocks: DataFrame, state: DataFrame, small: bool) -> tuple[DataFrame, int]:
     """The state after one round of the open trials, and how many of their centers are not settled."""
     open_trials = state.filter("not settled")

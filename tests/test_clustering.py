@@ -72,6 +72,27 @@ def test_blocks_do_not_change_the_result(spark, monkeypatch):
     assert cost() == pytest.approx(whole)
 
 
+def test_rounds_of_few_centers_write_no_tables_and_agree_with_those_that_do(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    groups = {"a": blobs(6, 50), "near": (np.eye(4)[0] + rng.normal(0, 1e-4, (60, 4))).tolist(), "tiny": [[1, 0, 0, 0]] * 2}
+    df = vectors(spark, groups)
+    counts = C.cluster_counts(df)
+    written, plain = [], C.pinned
+    monkeypatch.setattr(C, "pinned", lambda rows, name: (written.append(name), plain(rows, name))[1])
+
+    def centers():
+        rows = C.grouped_kmeans(df, counts, trials=3)[1].orderBy("entity_id", "trial", "cluster").collect()
+        keys = [(r["entity_id"], r["trial"], r["cluster"], r["n"]) for r in rows]
+        return keys, np.array([[*r["vec"], r["cost"], r["first_cost"]] for r in rows])
+
+    few = centers()
+    assert "centers" not in written
+    monkeypatch.setattr(C, "BROADCAST_VALUES", 0)
+    many = centers()
+    assert "centers" in written
+    assert few[0] == many[0] and np.allclose(few[1], many[1])
+
+
 def test_empty_clusters_are_refilled_with_the_farthest_point(spark):
     data = [[float(np.cos(a)), float(np.sin(a))] for a in (0.0, 0.01, 0.02, 0.03, 0.04, 1.5)]
     df = vectors(spark, {"a": data})
