@@ -11,8 +11,8 @@ from riskloom.operators.selection import value_counts
 CONFIDENCE_BINS, SCORE_BINS = 25, 20
 
 
-def funnel(tables: dict[str, DataFrame]) -> DataFrame:
-    return stage_counts(tables)
+def funnel(tables: dict[str, DataFrame], known: DataFrame | None = None) -> DataFrame:
+    return stage_counts(tables, known)
 
 
 def method_mix(resolved: DataFrame) -> DataFrame:

@@ -463,13 +463,13 @@ def attach_metadata(rows: DataFrame, narratives: DataFrame) -> DataFrame:
     )
 
 
-def stage_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(stage, rows): one count per stage table."""
+def stage_counts(tables: dict[str, DataFrame], known: DataFrame | None = None) -> DataFrame:
+    """(stage, rows): one count per stage table, and those that are ``known`` already."""
     parts = [
         df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("stage"), "rows")
         for name, df in tables.items()
     ]
-    out = parts[0]
-    for p in parts[1:]:
+    out = parts[0] if known is None else known
+    for p in parts[1:] if known is None else parts:
         out = out.unionByName(p)
     return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from riskloom.functions import numeric as N, text as T
 from riskloom.operators import (
@@ -13,7 +13,7 @@ from riskloom.operators import (
 )
 from riskloom.plans import seeds, serve, views as V
 from riskloom.plans.build import build
-from riskloom.session import cut_lineage, first_existing, pinned, scratch_path
+from riskloom.session import cut_lineage, first_existing, lookup, pinned, scratch_path
 from riskloom.sources import readers, sinks, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,24 @@ def risk_rows(spark, sf):
     return K.contexts(expanded(spark, sf))
 
 
+def counted_stages(spark, sf, raw, passed, dropped):
+    """Counts of the prefilter under these names, and gate rows (entity_id, _drop_reason).
+
+    Posts are judged once: the pass that writes the expanded rows counts them on its way.
+    """
+    seen = Observation()
+    judged = evaluated(spark, sf).observe(
+        seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_drop_reason").isNull()).alias("kept")
+    )
+    known = V.entities(spark)
+    resolved_rows = E.resolve(P.kept(judged), known, V.extra_aliases(spark), fuzzy=False)
+    rows = pinned(K.contexts(E.expand(resolved_rows, known)).select("entity_id", "entity_label", "risk_context", "item_id"), "contexts")
+    routed = K.apply_decisions(rows.select("entity_id", "item_id"), K.keyword_decisions(K.work_items(rows), TAXONOMY))
+    found = seen.get
+    counts = [(raw, found["rows"]), (passed, found["kept"]), (dropped, found["rows"] - found["kept"])]
+    return lookup(spark, ["stage", "rows"], counts), rows, pinned(routed, "routed")
+
+
 def label_decisions(items_rows, spark, sf):
     """Decision table from the label table: an item is risk when any of its posts is toxic."""
     labels = V.table(spark, sf, "labels").select(
@@ -1008,15 +1026,12 @@ def attached_metadata(spark, sf):
 
 @query
 def build_stage_counts(spark, sf):
-    rows = cut_lineage(risk_rows(spark, sf))
-    routed = K.apply_decisions(rows, K.keyword_decisions(K.work_items(rows), TAXONOMY))
-    checked = evaluated(spark, sf)
+    known, rows, routed = counted_stages(spark, sf, "input_posts", "kept_posts", "dropped_posts")
     return S.stage_counts(
         {
-            "input_posts": V.post_texts(spark, sf), "kept_posts": P.kept(checked), "dropped_posts": P.dropped(checked),
             "entity_rows_after_resolution": rows, "entity_rows_risk_relevant": K.accepted_rows(routed),
             "entity_rows_dropped_no_risk": K.rejected_rows(routed),
-        }
+        }, known,
     )
 
 
@@ -1222,16 +1237,13 @@ def entity_overview_facts(spark, sf):
 
 @query
 def stage_funnel(spark, sf):
-    checked = evaluated(spark, sf)
-    rows = cut_lineage(risk_rows(spark, sf))
-    routed = K.apply_decisions(rows, K.keyword_decisions(K.work_items(rows), TAXONOMY))
+    known, _, routed = counted_stages(spark, sf, "Raw posts", "Resolved rows", "Dropped posts")
     accepted = K.accepted_rows(routed)
-    groups = accepted.select("entity_id").distinct()
     return R.funnel(
         {
-            "Raw posts": V.post_texts(spark, sf), "Resolved rows": P.kept(checked), "Dropped posts": P.dropped(checked),
-            "Dropped entity rows": K.rejected_rows(routed), "Clustered rows": accepted, "Narratives": groups,
-        }
+            "Dropped entity rows": K.rejected_rows(routed), "Clustered rows": accepted,
+            "Narratives": accepted.select("entity_id").distinct(),
+        }, known,
     )
 
 

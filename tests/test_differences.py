@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
 from riskloom.plans import oracle, queries as named
 from tests.compare import difference
@@ -30,3 +31,14 @@ def test_snippets_of_contexts_that_differ_behind_the_cut(spark, folder):
     assert difference(spark, con, folder, "narrative_snippets", QUERIES, ORACLE) is None
     snippets = QUERIES["narrative_snippets"](spark, folder).collect()
     assert sorted(r["first_post"] for r in snippets) == ["1", "3"]
+
+
+@pytest.mark.parametrize("name", ["build_stage_counts", "stage_funnel"])
+def test_stages_are_counted_by_one_pass_over_the_posts(spark, folder, monkeypatch, name):
+    texts = ["Licensse thin license.", "Licensse thin.", "thin", "ined", "worthlesss thin Licensse trash."]
+    con = planted(spark, folder, texts)
+    assert difference(spark, con, folder, name, QUERIES, ORACLE) is None
+    judged, plain = [], named.evaluated
+    monkeypatch.setattr(named, "evaluated", lambda spark, sf: judged.append(sf) or plain(spark, sf))
+    assert not [f for f in QUERIES[name](spark, folder).inputFiles() if "documents" in f]
+    assert len(judged) == 1
