@@ -34,6 +34,8 @@ ROUNDS = 5_000
 #: Values of a block of points, which is one row; values of all centers that are sent to every task.
 BLOCK_VALUES = 250_000
 BROADCAST_VALUES = 8_000_000
+#: Entities that a filter lists by name.
+FEW_ENTITIES = 100
 #: Squared distance below which a center counts as unmoved; candidates per cluster for the start.
 STILL = 1e-18
 CANDIDATES = 10
@@ -271,7 +273,7 @@ def _step(x: np.ndarray, w: np.ndarray, c: np.ndarray) -> list:
     flat = c.reshape(-1, width)
     gap = ((flat * flat).sum(axis=1) - 2.0 * x @ flat.T).reshape(len(x), trials, k)
     best = gap.argmin(axis=2)
-    away = np.maximum(np.take_along_axis(gap, best[:, :, None], axis=2)[:, :, 0] + (x * x).sum(axis=1)[:, None], 0.0)
+    away = np.maximum(gap.min(axis=2) + (x * x).sum(axis=1)[:, None], 0.0)
     member = np.zeros((len(x), trials * k))
     member[np.arange(len(x))[:, None], best + np.arange(trials) * k] = w[:, None]
     far = away.max(axis=0)
@@ -327,6 +329,8 @@ def _moved(blocks: DataFrame, centers: dict) -> pa.Table:
             "moved": pa.array([((new - old) ** 2).sum(axis=1).max()], pa.float64()),
         })
 
+    if len(centers) <= FEW_ENTITIES:  # blocks of settled entities stay out of the workers
+        blocks = blocks.filter(F.col("entity_id").isin(list(centers)))
     try:
         return blocks.mapInArrow(partial, PARTIAL).groupBy("entity_id", "trial").applyInArrow(move, MOVED).toArrow()
     finally:
