@@ -17,6 +17,8 @@ METHOD = {EXACT: "exact", SEED_ALIAS: "exact alias", EXTRA_ALIAS: "exact alias"}
 
 IN_ROW_TERMS = 256
 ANCHOR_LENGTHS = [1, 2, 3, 4, 6, 8]
+#: Words of 64 bits per anchor of the mask over them, and its words at most; more anchors only make it let more windows pass.
+MASK_SPARSE, MASK_WORDS = 16, 1 << 16
 
 MATCH_ARRAY = "array<struct<entity_id:string,mention_text:string,confidence:double>>"
 HIT = (
@@ -122,10 +124,32 @@ def _anchored(dictionary: DataFrame) -> DataFrame:
     return dictionary.join(rarest, "term_norm").select("*", F.col("_best._gram").alias("_anchor")).drop("_best")
 
 
+def _anchor_mask(anchored: DataFrame):
+    """A test that every anchor passes and few other texts do: one bit of a literal, addressed by two hashes."""
+    anchors = anchored.select("_anchor").distinct()
+    words = min(MASK_WORDS, 1 + anchors.count() * MASK_SPARSE)
+
+    def word(text):
+        return F.pmod(F.xxhash64(text), F.lit(words)).cast("int")
+
+    def bit(text):
+        return F.pmod(F.hash(text), F.lit(64))
+
+    mask = [0] * words
+    for row in anchors.select(word("_anchor").alias("word"), bit("_anchor").alias("bit")).groupBy("word").agg(
+        F.collect_set("bit").alias("bits")
+    ).collect():
+        value = sum(1 << b for b in row["bits"])
+        mask[row["word"]] = value - (1 << 64) if value >> 63 else value  # a signed long
+    literal = F.from_json(F.lit(json.dumps(mask)), "array<bigint>")
+    return lambda text: F.bit_get(F.get(literal, word(text)), bit(text)) == 1
+
+
 def _hits_by_join(posts: DataFrame, dictionary: DataFrame, block_bytes: int) -> DataFrame:
     """Equi-join of the text's character windows with a rare piece of each term.
 
-    A term can only occur where its anchor does, so no match is lost; ``contains`` then decides. The terms go to the
+    A term can only occur where its anchor does, so no match is lost; ``contains`` then decides. Windows that cannot be an
+    anchor are sorted out inside the row, so that the text is not repeated for each of them. The terms go to the
     posts in blocks of bounded bytes: texts and windows are not exchanged, whatever anchors they share.
     """
     posts = row_keyed(posts, "hits")  # ids may repeat or be null
@@ -137,8 +161,9 @@ def _hits_by_join(posts: DataFrame, dictionary: DataFrame, block_bytes: int) ->
     hit = F.struct(
         "entity_pos", "tier", "alias_pos", "entity_id", "canonical_name", "term", "term_norm"
     )
+    possible = _anchor_mask(anchored)
     spread_out = posts.select(
-        "_row", "_norm", F.explode(F.array_distinct(F.concat(*windows))).alias("_anchor")
+        "_row", "_norm", F.explode(F.array_distinct(F.concat(*[F.filter(w, possible) for w in windows]))).alias("_anchor")
     )
     found = pinned_union([
         spread_out.join(block, "_anchor")
