@@ -121,3 +121,25 @@ def test_numbers_and_bands(spark):
 def test_engagement_without_any_column_is_zero(spark):
     df = posts(spark, "x")
     assert df.select(N.engagement(df)).first()[0] == 0.0
+
+
+def test_kept_posts_are_searched_once(spark):
+    """A filter on the reason that moves to the source must not repeat the search of the text for every use of its sum."""
+    plan = P.kept(P.prefilter(posts(spark, "bad"), lookup(spark, ["token", "valence"], LEXICON)))._jdf.queryExecution()
+    text = plan.optimizedPlan().toString()
+    assert text.count("regexp_extract_all(lower(") == 1 and text.count("regexp_extract_all(") <= 2
+
+
+def test_words_that_lower_case_makes_do_not_count(spark):
+    """The Kelvin sign and the dotted capital I are no word letters, but their lower case is."""
+    df = posts(spark, "bad K bad", "İ bad", "bİg bad")
+    rows = P.prefilter(df, lookup(spark, ["token", "valence"], LEXICON)).orderBy("post_id").collect()
+    assert [r["_word_count"] for r in rows] == [2, 1, 3]
+
+
+def test_empty_lexicon_and_odd_tokens(spark):
+    df = posts(spark, "it's 'bad' don't", "")
+    empty = P.prefilter(df, lookup(spark, ["token", "valence"], LEXICON).filter("false"))
+    assert {r["_vader_compound"] for r in empty.collect()} == {0.0}
+    odd = P.prefilter(df, lookup(spark, ["token", "valence"], [("it's", -1.0), ("don't", -2.0), ("a\\b", 1.0), (None, 1.0)]))
+    assert reasons(odd) == {"0": None, "1": P.NOT_NEGATIVE}
