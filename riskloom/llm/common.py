@@ -77,11 +77,18 @@ def kept(name: str, make: Callable[[], object]):
     """What this worker process remembers under ``name``. What other operators left behind is forgotten first: workers
     outlive stages, and their memories would add up."""
     if name not in _kept:
-        _kept.clear()
+        forget()
         _kept[name] = make()
     return _kept[name]
 
 
+def forget() -> None:
+    """Drops what this worker process remembers and gives its memory back."""
+    if _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def _word_memory() -> WordHashes:
     return kept("words", WordHashes)
 

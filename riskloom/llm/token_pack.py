@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import kept, local_offsets, pin, shuffle_partitions, slices, text_bytes
+from riskloom.llm.common import forget, kept, local_offsets, pin, shuffle_partitions, slices, text_bytes
 from riskloom.session import scratch_path
 
 #: Ids of a block (a multiple of 8, so that blocks start on bytes) and ids after which an image is closed.
@@ -90,7 +90,7 @@ def write_image(doc_ids: list[int | None], ids: list[np.ndarray], width: int) ->
 class Image:
     """Reads an image: its documents, or any run of ids without touching other blocks."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         if data[:4] != MAGIC:
             raise ValueError("not a token image")
         self.data = data
@@ -255,16 +255,17 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_i
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()  # the encoder of the writing tasks
     for batch in batches:
-        for part, first, data in zip(*(batch.column(c).to_pylist() for c in ("part", "first_id", "image"))):
-            image = Image(data)
-            ids = image.ids(0, image.n_ids).astype("<u4")
+        for part, first, data in zip(*(batch.column(c) for c in ("part", "first_id", "image"))):
+            part, first, image = part.as_py(), first.as_py(), Image(memoryview(data.as_buffer()))  # not copied
+            ids = image.ids(0, image.n_ids).astype("<u4", copy=False)
             spans = list(zip(image.starts[:-1].tolist(), image.starts[1:].tolist()))
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part] * len(spans), pa.int32()), "doc_id": pa.array(image.doc_ids, pa.int64()),
                 "local": pa.array([first + a for a, _ in spans], pa.int64()),
                 "n_tokens": pa.array([b - a for a, b in spans], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in spans], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in spans], pa.int64()),
             })
 
 

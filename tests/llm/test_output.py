@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from riskloom.llm import mixing, queries, sharding, token_pack
+from riskloom.llm import common, mixing, queries, sharding, token_pack
 from riskloom.llm.common import pin
 from tests.llm import data
 
@@ -161,3 +162,12 @@ def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in queries.all_queries()]
     assert sorted(names) == sorted(f"op{i}" for i in range(1, 14))
     assert set(queries.all_sql()) <= set(queries.all_queries())
+
+
+def test_reading_tokens_gives_up_the_encoder():
+    image = token_pack.write_image([4, None], [np.array([5, 2], np.uint32), np.array([2], np.uint32)], 16)
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int32()), "first_id": [10], "image": [image]})
+    token_pack.encoder(token_pack.VOCABULARY)
+    rows = [r for b in token_pack._digests(iter([batch])) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["local"], r["n_tokens"]) for r in rows] == [(4, 10, 2), (None, 12, 1)]
+    assert rows[0]["ids_crc32"] == zlib.crc32(np.array([5, 2], "<u4").tobytes()) and not common._kept
