@@ -307,6 +307,28 @@ def _item_facts(held: DataFrame) -> DataFrame:
     return pin(facts, "items")
 
 
+def _named(df: DataFrame, to: str, *more) -> DataFrame:
+    facts = {"node": to, "s": "s", "own": "o", "common": "c", "rare": "r", "widest": "w", "component": "g"}
+    return df.select(*more, *(F.col(k).alias(v if k == "node" else v + to) for k, v in facts.items()))
+
+
+def _within(n: str, a: str, percent: int) -> str:
+    return f"100 * least({n}x, {n}y) >= {percent} * ({a}x + {a}y + greatest({n}x, {n}y))"
+
+
+def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of open buckets that cross components and pass the bounds, each once however many buckets they share.
+
+    A pair is made in the least of its common buckets; a node is in one bucket of a band at most, so its list is short.
+    """
+    listed = rest.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("mine")), "node")
+    small = _named(listed.join(_mains(rest), "bucket").filter("component != main"), "x", "bucket", "main", F.col("mine").alias("bx"))
+    return small.join(_named(listed, "y", "bucket", F.col("mine").alias("by")), "bucket").filter(
+        f"gx != gy and (gy = main or x < y) and {_within('s', 'o', percent)} and ({_within('c', 'r', percent)} or least(wx, wy) <= {FEW}) "
+        "and bucket = array_min(array_intersect(bx, by))"
+    ).select("x", "y")
+
+
 def _crossing(rest: DataFrame, held: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
     """Untested pairs of different components that may be similar enough.
 
@@ -314,21 +336,10 @@ def _crossing(rest: DataFrame, held: DataFrame, tested: DataFrame, percent: int)
     together; the buckets give those that pass. In wide groups, pairs that share a rare item come from its few holders;
     elsewhere every pair of a bucket is few enough. The largest component of a bucket is only paired with the others.
     """
-    def named(df, to, *more):
-        facts = {"node": to, "s": "s", "own": "o", "common": "c", "rare": "r", "widest": "w", "component": "g"}
-        return df.select(*more, *(F.col(k).alias(v if k == "node" else v + to) for k, v in facts.items()))
-
-    def within(n, a):
-        return f"100 * least({n}x, {n}y) >= {percent} * ({a}x + {a}y + greatest({n}x, {n}y))"
-
-    small = named(rest.join(_mains(rest), "bucket").filter("component != main"), "x", "bucket", "main")
-    pairs = small.join(named(rest, "y", "bucket"), "bucket").filter(
-        f"gx != gy and (gy = main or x < y) and {within('s', 'o')} and ({within('c', 'r')} or least(wx, wy) <= {FEW})"
-    )
     wide = rest.filter(F.col("widest") > FEW).select("node", "s", "own", "common", "rare", "widest", "component").distinct()
     holders = pin(held.filter(f"n > 1 and n <= {FEW}").select("item", "node").join(wide, "node"), "holders")
-    sharing = named(holders, "x", "item").join(named(holders, "y", "item"), "item").filter(f"x < y and gx != gy and {within('s', 'o')}")
-    both = pairs.select("x", "y").union(sharing.select("x", "y"))
+    sharing = _named(holders, "x", "item").join(_named(holders, "y", "item"), "item").filter(f"x < y and gx != gy and {_within('s', 'o', percent)}")
+    both = _bucket_pairs(rest, percent).union(sharing.select("x", "y"))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
 
 

@@ -264,3 +264,13 @@ def test_near_copies_go_by_row_and_no_text_is_lost(spark):
     assert out.columns == ["doc_id", "text", "_row"]
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     assert got == sorted([(1, A), (5, UNIQUE), (7, B), (8, None), (8, None)], key=repr)
+
+
+def test_a_pair_of_many_buckets_is_made_once(spark):
+    """Nodes 1, 2 and 5 share three buckets, 5 and 6 a fourth: each crossing pair comes from one bucket only."""
+    places = {10: (1, 2, 5), 11: (1, 2, 5), 12: (2, 1, 5), 13: (5, 6)}
+    component = {1: 1, 2: 1, 5: 5, 6: 6}
+    rows = [(b, n, 100, 0, 100, 0, 300, component[n]) for b, nodes in places.items() for n in nodes]
+    rest = spark.createDataFrame(rows, "bucket long, node long, s long, own long, common long, rare long, widest long, component long")
+    pairs = [tuple(sorted((r["x"], r["y"]))) for r in minhash._bucket_pairs(rest, 80).collect()]
+    assert sorted(pairs) == [(1, 5), (2, 5), (5, 6)]
