@@ -5,7 +5,7 @@ fall under an anchor: the least hashed GRAM in them. At least HALF bytes more li
 by the anchor and the HALF bytes on that side. Equal strings have equal keys, so strings are dealt to shards
 by key, and only those whose key occurs again; by chance that is far rarer than for an anchor alone. A shard sorts its strings with a suffix array (Larsson and
 Sadakane's refinement in numpy), takes common prefixes with Kasai's algorithm, and finds the first start of each class
-of equal strings. A key with very many places is cut into parts; the first strings of the parts are dealt
+of equal strings; of places whose strings are all equal it sorts the first only. A key with very many places is cut into parts; the first strings of the parts are dealt
 by a digest of the whole string and compared with the first of their digest only, so that no task holds the strings of
 a key. Documents that equal an earlier one as a whole are removed as a whole and not dealt.
 """
@@ -283,13 +283,34 @@ def sort_shard(ids, keys, starts, counts, parts, pieces: list[bytes]) -> Iterato
         yield _removed_rows(*zip(*rows))
 
 
+def _unlike(rows: pa.Table, ids, keys, starts, counts, parts) -> tuple[np.ndarray, np.ndarray]:
+    """(rows to sort, copies) of a shard. Of equal bytes under a key only the first place is sorted, the others go whole.
+
+    Strings that share an anchor at one place are unlike, so bytes without unlike ones beside them under their key need
+    no sorting, unless their key was cut.
+    """
+    h, same = rows.column("h").to_numpy(), rows.column("bytes").combine_chunks().dictionary_encode().indices.to_numpy()
+    order = np.lexsort((starts, keys, ids, same, parts, h))
+    of_key = (np.diff(h[order], prepend=h[order[:1]]) != 0) | (np.diff(parts[order], prepend=-2) != 0)
+    of_key[0] = True
+    first = of_key | (np.diff(same[order], prepend=-1) != 0)
+    key = np.cumsum(of_key) - 1
+    alone = np.bincount(key[first], minlength=key[-1] + 1) == 1
+    return order[first & ~(alone[key] & (parts[order] < 0))], order[~first]
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts rows sorted by (h, part) into shards at group ends and sorts each."""
     held: list[pa.RecordBatch] = []
 
     def run(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, keys, starts, counts, parts = (rows.column(c).to_numpy().astype(np.int64) for c in ("id", "key", "start", "count", "part"))
-        yield from sort_shard(ids, keys, starts, counts, parts, rows.column("bytes").to_pylist())
+        columns = [rows.column(c).to_numpy().astype(np.int64) for c in ("id", "key", "start", "count", "part")]
+        rest, copies = _unlike(rows, *columns)
+        ids, keys, starts, counts, _ = (c[copies] for c in columns)
+        if len(copies):
+            yield _removed_rows(ids, keys, starts, starts + counts + LENGTH - 1)
+        if len(rest):
+            yield from sort_shard(*(c[rest] for c in columns), rows.column("bytes").take(pa.array(rest)).to_pylist())
 
     size = 0
     for big in batches:

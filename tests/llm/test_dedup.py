@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskloom.llm import exact_dedup, minhash, suffix_dedup
@@ -274,3 +275,31 @@ def test_a_pair_of_many_buckets_is_made_once(spark):
     rest = spark.createDataFrame(rows, "bucket long, node long, s long, own long, common long, rare long, widest long, component long")
     pairs = [tuple(sorted((r["x"], r["y"]))) for r in minhash._bucket_pairs(rest, 80).collect()]
     assert sorted(pairs) == [(1, 5), (2, 5), (5, 6)]
+
+
+def _contexts_of(texts, keys):
+    rows = []
+    for i, text in enumerate(texts):
+        h, first, count = suffix_dedup.anchors(np.frombuffer(text, np.uint8))
+        rows += [(int(k), int(i), f, c, text[f : f + c + suffix_dedup.LENGTH - 1]) for k, f, c in zip(h.view(np.int64), first.tolist(), count.tolist())]
+    rows.sort(key=lambda r: r[0])
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    columns = ([r[0] for r in rows], [-1] * len(rows), [r[1] for r in rows], [keys[r[1]] for r in rows], *([r[j] for r in rows] for j in (2, 3, 4)))
+    names = ["h", "part", "id", "key", "start", "count", "bytes"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+
+def test_equal_places_are_sorted_once(monkeypatch):
+    rng = random.Random(5)
+    base = data.words(rng, 200)
+    texts = [base, data.words(rng, 150), base[:700] + data.words(rng, 60), data.words(rng, 20) + base[300:], base, base * 2]
+    batch = _contexts_of([t.encode() for t in texts], [7, 3, 5, 1, -2, 0])
+    whole, sort = [batch.column(c).to_numpy().astype(np.int64) for c in ("id", "key", "start", "count", "part")], suffix_dedup.sort_shard
+
+    def removed(out):
+        return {(r["id"], r["key"], p) for b in out for r in b.to_pylist() for p in range(r["start"], r["stop"])}
+
+    want, sorted_rows = removed(sort(*whole, batch.column("bytes").to_pylist())), []
+    monkeypatch.setattr(suffix_dedup, "sort_shard", lambda *a: sorted_rows.append(len(a[0])) or sort(*a))
+    assert removed(suffix_dedup._shards(iter([batch]))) == want and len(want) > 3_000
+    assert sum(sorted_rows) < batch.num_rows / 3
