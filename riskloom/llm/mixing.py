@@ -42,16 +42,19 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levelled.withColumn("target", share_of).select("source", "source_size", "target")
 
 
-def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """``docs`` (doc_id, source, size and any others) with _source_size, _target and _taken.
+def _key() -> Column:
+    return F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16)
+
+
+def _placed(docs: DataFrame, ties: list[str], weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``docs`` (doc_id, source, size and any others) with _key, _source_size, _target, _epochs and _some.
 
-    Every row gets whole epochs of its size plus its part of the last epoch: the words of the source's order that lie
-    before the budget. Ties of the key (equal ids) are ordered by id and size; equal rows are interchangeable.
+    Every row gets _epochs times its size, and _some words of the last epoch: those of the source's order (_key, then
+    ``ties``) that lie before the budget.
     """
-    order = ["source", "_key", "doc_id", "size"]
-    keyed = docs.withColumn("_key", F.substring(F.md5(F.concat(F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16))
     dealt = pin(
-        keyed.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).withColumn("_part", F.spark_partition_id()), "mixed"
+        docs.withColumn("_key", _key()).repartitionByRange(shuffle_partitions(docs.sparkSession), "source", "_key", *ties)
+        .withColumn("_part", F.spark_partition_id()), "mixed"
     )
     sums = dealt.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sums, weights, share, most)
@@ -60,16 +63,23 @@ def taken_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
         offsets["source"].alias("_source"), F.col("_part").alias("_at"), "_before",
         F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
     )
-    running = W.partitionBy("_part", "source").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    running = W.partitionBy("_part", "source").orderBy("_key", *ties).rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("_local", F.coalesce(F.sum("size").over(running), F.lit(0)))
     joined = placed.join(lookup, (placed["_part"] == lookup["_at"]) & placed["source"].eqNullSafe(lookup["_source"]))
     budget = F.floor(F.col("_target"))
     epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(F.lit(0))
     left = budget - epochs * F.col("_source_size") - F.col("_before") - F.col("_local")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return joined.withColumn("_taken", (epochs * F.col("size") + part).cast("long")).drop(
-        "_key", "_part", "_local", "_before", "_at", "_source"
-    )
+    some = F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
+    return joined.withColumns({"_epochs": epochs.cast("long"), "_some": some}).drop("_part", "_local", "_before", "_at", "_source")
+
+
+def taken_words(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (doc_id, source, size and any others) with _source_size, _target and _taken.
+
+    Ties of the key (equal ids) are ordered by id and size; equal rows are interchangeable.
+    """
+    placed = _placed(docs, ["doc_id", "size"], **options)
+    return placed.withColumn("_taken", F.col("_epochs") * F.col("size") + F.col("_some")).drop("_key", "_epochs", "_some")
 
 
 def mix_digest(docs: DataFrame, **options) -> DataFrame:
@@ -80,14 +90,42 @@ def mix_digest(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def _source_cuts(sizes: DataFrame, **options) -> DataFrame:
+    """Per source of ``sizes`` (doc_id, source, size, _tie): _source, _epochs, and as _cut the last place in the source's
+    order that the budget reaches, the rows at that place and the words taken from them together (null: none)."""
+    place = ["_key", "doc_id", "size", "_tie"]
+    places = _placed(sizes, place[1:], **options).groupBy("source", *place).agg(
+        F.max("_epochs").alias("_epochs"), F.count(F.lit(1)).alias("_rows"), F.sum("_some").alias("_some")
+    )
+    cut = F.max(F.when(F.col("_some") > 0, F.struct(*place, "_rows", "_some")))
+    return places.groupBy(F.col("source").alias("_source")).agg(F.max("_epochs").alias("_epochs"), cut.alias("_cut"))
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each epoch that takes words from a document.
 
-    The one document per source that the budget cuts is shortened to its first words, joined by single spaces.
+    The one document per source that the budget cuts is shortened to its first words, joined by single spaces. Only ids,
+    sizes and text hashes are ordered; the texts stay where they are and are compared with the place of the cut. Ties
+    (rows of equal id, size and text hash) are dealt out by numbers when the cut falls among them.
     """
-    names = docs.columns
-    packed = docs.select("doc_id", "source", words().alias("size"), F.struct(*docs.columns).alias("_row"))
-    mixed = taken_words(packed, **options).filter("_taken > 0")
+    names, place = docs.columns, ["_key", "doc_id", "size", "_tie"]
+    sized = docs.select("doc_id", "source", words().alias("size"), F.xxhash64("text").alias("_tie"), F.struct(*names).alias("_row"))
+    cuts = pin(_source_cuts(pin(sized.drop("_row"), "sizes"), **options), "cuts")
+    rows = sized.withColumn("_key", _key()).join(cuts, F.col("source").eqNullSafe(F.col("_source")))
+    here, cut = F.struct(*place), F.struct(*(F.col("_cut")[c].alias(c) for c in place))
+    reached = F.when(F.col("_cut").isNull() | (here > cut), F.lit(0)).when(here < cut, F.col("size")).otherwise(F.col("_cut._some"))
+    split = F.col("_cut").isNotNull() & (here == cut) & (F.col("_cut._rows") > 1)
+    columns = ("_row", "size", "_epochs")
+    mixed = rows.select(*columns, reached.alias("_some"), F.coalesce(split, F.lit(False)).alias("_split"), "_source", "_cut")
+    if not cuts.filter("_cut._rows > 1").isEmpty():
+        tied = pin(mixed.filter("_split").withColumn("_part", F.spark_partition_id()), "ties")
+        before = local_offsets(tied, ["_source"], "_part", F.count(F.lit(1))).select(F.col("_source").alias("_s"), F.col("_part").alias("_at"), "_before")
+        number = F.row_number().over(W.partitionBy("_part", "_source").orderBy("size")) - 1
+        numbered = tied.withColumn("_number", number).join(before, (F.col("_part") == F.col("_at")) & F.col("_source").eqNullSafe(F.col("_s")))
+        left = F.col("_cut._some") - (F.col("_before") + F.col("_number")) * F.col("size")
+        own = F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
+        mixed = mixed.filter("not _split").select(*columns, "_some").union(numbered.select(*columns, own.alias("_some")))
+    mixed = mixed.withColumn("_taken", F.col("_epochs") * F.col("size") + F.col("_some")).filter("_taken > 0")
     epoch = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("size")).cast("int")))
     rows = mixed.select("_row", "size", "_taken", epoch.alias("_epoch"))
     here = F.least(F.col("size"), F.col("_taken") - (F.col("_epoch") - 1) * F.col("size"))

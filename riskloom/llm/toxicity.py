@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from riskloom.llm.common import kept, lowest_hashes, slices
+from riskloom.llm.common import forget, kept, lowest_hashes, slices
 
 #: Labelled documents that the field is fitted on at most, per label; longer texts than this are not fitted on.
 TRAIN_DOCS, TRAIN_CHARS = 1_500, 8_000
@@ -241,7 +241,8 @@ def fit(texts: list[str], labels: list[int], epochs: int = 4, seed: int = 11) ->
 
     Clean segments that the first field takes for toxic are added to those of the second.
     """
-    docs = [TOKEN.findall(t or "") for t in texts]
+    same: dict[str, str] = {}  # every token is held once
+    docs = [[same.setdefault(w, w) for w in TOKEN.findall(t or "")] for t in texts]
     toxic, clean = [d for d, y in zip(docs, labels) if y], [d for d, y in zip(docs, labels) if not y]
     markers = token_markers(toxic, clean) if toxic and clean else set()
     if not markers:
@@ -379,11 +380,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_
     )
     chosen = ranked.filter(F.col("_n") <= per_label).select("doc_id", "toxic")  # at most 2 * per_label rows
     texts = docs.select("doc_id", "text").filter(F.char_length("text") <= TRAIN_CHARS)
-    rows = (
-        texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-        .toPandas().sort_values("doc_id")
-    )
-    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    fitted = rows.repartition(1).mapInArrow(_fit_rows, "names array<string>, weights array<double>, moves array<double>, head array<double>").collect()
+    if not fitted:
+        return Field()
+    names, weights, moves, head = fitted[0]
+    return Field(dict(zip(names, weights)), np.array(moves).reshape(2, 2), np.array(head))
+
+
+def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The field of the chosen rows, fitted in one task so that the driver holds neither texts nor features."""
+    forget()
+    rows = sorted((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), key=lambda row: row[0])
+    if rows:
+        _, texts, labels = zip(*rows)
+        found = fit(list(texts), [int(x) for x in labels])
+        yield pa.RecordBatch.from_pydict({
+            "names": [list(found.weights)], "weights": [list(found.weights.values())], "moves": [found.moves.ravel().tolist()],
+            "head": [found.head.tolist()],
+        })
 
 
 def _tagger(shared) -> Tagger:

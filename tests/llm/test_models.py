@@ -42,6 +42,21 @@ def test_toxicity_held_out(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
 
 
+def test_the_driver_does_not_fit(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.filter("char_length(text) <= 8000").join(labels, "doc_id").orderBy("doc_id").select("text", "toxic").collect()
+    want = toxicity.fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+
+    def held(*_):
+        raise AssertionError("fitted in the driver")
+
+    monkeypatch.setattr(toxicity, "fit", held)
+    got = toxicity.train(docs, labels, per_label=10**6)
+    assert got.weights.keys() == want.weights.keys() and np.allclose(got.head, want.head) and np.allclose(got.moves, want.moves)
+    assert np.allclose([got.weights[k] for k in want.weights], list(want.weights.values()))
+    assert toxicity.train(docs, labels.limit(0)).weights == {}
+
+
 def test_spans_are_offsets():
     text = "Good day, you utter scum and trash!"
     p = np.array([float(w in ("scum", "trash")) for w in toxicity.TOKEN.findall(text)])

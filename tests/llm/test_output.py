@@ -91,6 +91,27 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert all(words[i] == n for i, n in taken.items())
 
 
+def test_mix_orders_no_texts(spark):
+    plan = mixing.mix_documents(data.documents(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+
+
+def test_a_cut_among_ties_is_dealt_out(spark):
+    # rows of one id, text and source in several partitions: the budget ends among them
+    rows = [(None, "one two three", "a", i) for i in range(40)] + [(i, "x y", "b", i) for i in range(100)] + [(None, "four five", None, 1)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long").repartition(7)
+    for share, most in ((0.7, 2), (0.31, 1), (1.5, 2)):
+        want, got = Counter(), Counter()
+        for r in mixing.mix_digest(docs, share=share, most=most).collect():
+            want[r["doc_id"], r["size"]] += r["taken"]
+        mixed = mixing.mix_documents(docs, share=share, most=most).collect()
+        for r in mixed:
+            got[r["doc_id"], {"o": 3, "x": 2, "f": 2}[r["text"][0]]] += len(r["text"].split())
+        assert got == +want and len(mixed) > 3
+        cut = [r for r in mixed if r["text"] in ("one", "one two", "x", "four")]
+        assert len(cut) <= 3
+
+
 def test_fields_follow_each_other_bit_by_bit():
     rng = np.random.default_rng(4)
     for width in range(1, 33):
