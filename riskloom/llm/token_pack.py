@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from riskloom.llm.common import forget, kept, local_offsets, pin, shuffle_partitions, slices, text_bytes
+from riskloom.llm.common import BATCH_BYTES, forget, kept, local_offsets, pin, shuffle_partitions, slices, text_bytes
 from riskloom.session import scratch_path
 
 #: Ids of a block (a multiple of 8, so that blocks start on bytes) and ids after which an image is closed.
@@ -119,6 +120,8 @@ PIECE = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 ODD_ASCII = [chr(c) for c in range(0x1C, 0x20)]
 ODD_SPACE = re.compile("[%s]" % "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])))
 SPACES = " \t\n\r\x0b\x0c"
+#: Found in texts whose pieces are not what stands between single spaces and line feeds.
+UNPLAIN = r"[\x00\t\r\x0b\x0c%s]|\A[ \n]|[ \n]\z|[ \n][ \n]" % "".join(rf"\x{{{ord(c):x}}}" for c in ODD_SPACE.pattern[1:-1])
 
 
 def _key(piece: str) -> str:
@@ -138,12 +141,6 @@ def piece_keys(text: str) -> list[str] | None:
         return []
     if "\0" in text or (any(c in text for c in ODD_ASCII) if text.isascii() else ODD_SPACE.search(text)):
         return None
-    if "\n\n" not in text and not any(c in text for c in "\t\r\x0b\x0c"):
-        # single spaces and line feeds only: plain splitting finds the same pieces
-        keys = text.replace("\n", " \n").split(" ")
-        if keys[0] and "" not in keys and "\n" not in keys:
-            keys[0] = "\0" + keys[0]
-            return keys
     return [_key(p) for p in PIECE.findall(text)]
 
 
@@ -175,35 +172,56 @@ class Encoder:
         ended = {k: k[:-1] for k in keys if k[-1] in self.marks and k[-2:-1].isalnum() and k[0] != "\0"}
         stems = set(ended.values()) - self.memo.keys()
         joined = [k for k in {*keys, *stems} if k[0] != "\0" and k not in ended]
-        for i in range(0, len(joined), 256):
-            some = joined[i : i + 256]
-            pieces = [_piece(k) for k in some]
-            ids = np.array(self.library.encode("".join(pieces), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in pieces])
-            cuts = (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1).tolist()
-            data = ids.tobytes()
-            for k, a, b in zip(some, [0, *cuts[:-1]], cuts):
-                into[k] = data[4 * a : 4 * b]
+        for i in range(0, len(joined), 64 * 256):
+            runs = [joined[j : j + 256] for j in range(i, min(i + 64 * 256, len(joined)), 256)]
+            pieces = [list(map(_piece, run)) for run in runs]
+            found = self.library.encode_batch_fast(list(map("".join, pieces)), add_special_tokens=False)
+            for run, own, code in zip(runs, pieces, found):
+                ids = np.array(code.ids, "<u4")
+                ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in own])
+                cuts = (4 * np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 4).tolist()
+                data = ids.tobytes()
+                into.update((k, data[a:b]) for k, a, b in zip(run, [0, *cuts], cuts))
         for k in keys:
             if k in ended:
                 into[k] = (into.get(ended[k]) or self.memo[ended[k]]) + self.marks[k[-1]]
             elif k[0] == "\0":
                 into[k] = self.whole(_piece(k))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [piece_keys(t) for t in texts]
-        new = list(set().union(*(keys for keys in cut if keys)) - self.memo.keys())
-        memo = self.memo
-        if len(memo) + len(new) > MEMO_PIECES:
-            memo = {}
-            self._learn(new, memo)
-            get = lambda k: self.memo.get(k) or memo[k]
-        else:
-            self._learn(new, memo)
-            get = memo.__getitem__
-        return [
-            np.frombuffer(self.whole(t) if keys is None else b"".join(map(get, keys)), "<u4") for t, keys in zip(texts, cut)
-        ]
+    def _distinct(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one behind the other, and their numbers."""
+        found = list(map(self.memo.get, keys))
+        new = [k for k, ids in zip(keys, found) if ids is None]
+        if new:
+            into = self.memo if len(self.memo) + len(new) <= MEMO_PIECES else {}
+            self._learn(new, into)
+            found = [into[k] if ids is None else ids for k, ids in zip(keys, found)]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text. Pieces are told apart and numbered by Arrow; a distinct one is looked up once a call."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        odd = np.asarray(pc.or_(pc.match_substring_regex(texts, UNPLAIN), pc.equal(pc.binary_length(texts), 0)))
+        plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
+        # single spaces and line feeds only: plain splitting finds the same pieces
+        split = pc.split_pattern(pc.binary_join_element_wise("\0", pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), ""), " ")
+        others = texts.take(pa.array(rest)).to_pylist()
+        cut = [piece_keys(t) for t in others]
+        pieces = pa.concat_arrays([split.flatten(), pa.array([k for keys in cut for k in keys or ()], pa.string())]).dictionary_encode()
+        ids, counts = self._distinct(pieces.dictionary.to_pylist())
+        own = pieces.indices.to_numpy()
+        n = counts[own]
+        ends = np.append(0, np.cumsum(n))
+        flat = ids[np.repeat((np.cumsum(counts) - counts)[own] - ends[:-1], n) + np.arange(ends[-1])]
+        n_pieces = np.append(np.asarray(pc.list_value_length(split)), [len(keys or ()) for keys in cut]).astype(np.int64)
+        stops = ends[np.cumsum(n_pieces)].tolist()
+        out: list[np.ndarray] = [None] * len(texts)
+        for at, a, b in zip([*plain.tolist(), *rest.tolist()], [0, *stops], stops):
+            out[at] = flat[a:b]
+        for at, text, keys in zip(rest.tolist(), others, cut):
+            if keys is None:
+                out[at] = np.frombuffer(self.whole(text), "<u4")
+        return out
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -227,9 +245,8 @@ def _images(vocabulary: str, end_id: int):
             })
 
         for big in batches:
-            for batch in slices(big, 1):
-                texts = [t or "" for t in batch.column(1).to_pylist()]
-                for name, ids in zip(batch.column(0).to_pylist(), own.encode(texts)):
+            for batch in slices(big, 1, 2 * BATCH_BYTES):
+                for name, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1))):
                     names.append(name)
                     docs.append(np.append(ids, np.uint32(end_id)))
                     held += len(ids) + 1

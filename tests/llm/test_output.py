@@ -151,6 +151,35 @@ def test_pieces_equal_whole_texts():
         assert ids.tolist() == whole(text)[:-1], text
 
 
+def test_a_piece_is_looked_up_once_a_call():
+    class Memo(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    own = token_pack.Encoder(token_pack.VOCABULARY)
+    own.memo = Memo()
+    texts = ["to be or not to be\nto be, " * 50 + "end", "or not to be"] * 20
+    own.encode(texts)
+    own.memo.asked = 0
+    assert [x.tolist() for x in own.encode(texts)] == [whole(t)[:-1] for t in texts]
+    assert own.memo.asked < 20
+
+
+def test_pieces_beyond_the_memory_are_encoded_anew(monkeypatch):
+    monkeypatch.setattr(token_pack, "MEMO_PIECES", 10)
+    own = token_pack.Encoder(token_pack.VOCABULARY)
+    for texts in (["a few words first", "", "and  odd\tones"], [" ".join(f"w{i}" for i in range(70)) + ", w3, done."], []):
+        assert [x.tolist() for x in own.encode(texts)] == [whole(t)[:-1] for t in texts]
+    assert len(own.memo) <= 10
+
+
 def test_token_digests(spark):
     docs = data.documents(spark)
     got = sorted(((r["start"], r["n_tokens"], r["ids_crc32"], r["doc_id"]) for r in token_pack.token_digests(docs).collect()))
