@@ -408,18 +408,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     digests = base.groupBy("id", "key", "sha").agg(F.count(F.lit(1)).alias("n"))
     heads = digests.groupBy("sha").agg(F.min(F.struct("id", "key")).alias("head"), F.sum("n").alias("all")).filter("all > 1")
     marks = digests.join(heads, "sha").select(
-        F.col("id").alias("_id"), F.col("sha").alias("_sha"), (F.col("id") != F.col("head.id")).alias("copy"), (F.col("n") > 1).alias("again")
+        "id", "key", F.col("sha").alias("_sha"), (F.col("id") != F.col("head.id")).alias("copy"), (F.col("n") > 1).alias("again")
     )
     marks = pin(marks.filter("copy or again").distinct(), "copies")
-    marked = base.join(marks, (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
-    marked = marked.select("doc_id", "text", "id", "key", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("copy", "again")))
-    own = marked.filter("not copy").withColumn("doc", F.xxhash64("id", "key"))
+    marked = base.join(marks.select(F.col("id").alias("_id"), "_sha", "copy", "again"), (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    own = marked.filter("not coalesce(copy, false)").select("id", "key", "text", F.coalesce("again", F.lit(False)).alias("again"))
+    searched = base
     if not marks.filter("again and not copy").isEmpty():  # repeated rows are searched once
         own = own.filter("not again").union(own.filter("again").dropDuplicates(["id", "key"]))
+        searched = own
+    own, searched = (x.select("id", "key", "text", F.xxhash64("id", "key").alias("doc")) for x in (own, searched))
     places = own.select("doc", "text").mapInArrow(_anchor_rows, "h long, doc long, place long")
     repeated = places.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, doc long, place long, part int")
     by_doc = pin(repeated, "places").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "part")).alias("places"))
-    contexts = own.join(by_doc, "doc").select("id", "key", "text", "places").mapInArrow(
+    # copies have ids of their own, so none of the places is theirs
+    contexts = searched.join(by_doc, "doc").select("id", "key", "text", "places").mapInArrow(
         _contexts, "h long, part int, id long, key long, start long, count int, bytes binary"
     )
     dealt = contexts.repartition(n, "h", "part").sortWithinPartitions("h", "part")
@@ -431,8 +434,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     gone = found.filter("bytes is null").select("id", "key", "start", "stop").union(
         firsts.mapInArrow(_later, REMOVED).select("id", "key", "start", "stop")
     )
-    runs = gone.groupBy("id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    every = marked.join(runs, ["id", "key"], "left").select("doc_id", "text", "copy", "runs")
+    # what is known of a document comes in one table, so that its text is joined once
+    known = gone.select("id", "key", F.struct("start", "stop").alias("run"), F.lit(None).cast("string").alias("sha")).union(
+        marks.filter("copy").select("id", "key", F.lit(None).cast("struct<start:long,stop:long>"), "_sha")
+    )
+    runs = known.groupBy("id", "key").agg(F.collect_list("run").alias("runs"), F.collect_set("sha").alias("copies"))
+    copy = F.coalesce(F.array_contains("copies", F.col("sha")), F.lit(False)).alias("copy")
+    every = base.join(runs, ["id", "key"], "left").select("doc_id", "text", copy, "runs")
     out = every.mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<start:long,stop:long>>, kept binary",

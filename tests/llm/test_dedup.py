@@ -303,3 +303,12 @@ def test_equal_places_are_sorted_once(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "sort_shard", lambda *a: sorted_rows.append(len(a[0])) or sort(*a))
     assert removed(suffix_dedup._shards(iter([batch]))) == want and len(want) > 3_000
     assert sum(sorted_rows) < batch.num_rows / 3
+
+
+def test_texts_are_joined_once_with_what_is_known(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffix_dedup.remove_repeats(data.documents(spark))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Join LeftOuter") == 1
