@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from riskloom.llm.common import mix, pin, shingle_set, slices, text_bytes
 
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         items = sets.join(rest.select("node").distinct(), "node").select("node", "items").mapInArrow(_items, "item long, node long")
         counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
         held = items.join(counts, "item")
-        rest = rest.join(_item_facts(held), "node")
+        rest = pin(rest.join(_item_facts(held), "node"), "open")  # three reads of a turn, one join
     for turn in range(TURNS):
         if rest is None:
             break
@@ -321,7 +321,7 @@ def _bucket_pairs(rest: DataFrame, percent: int) -> DataFrame:
 
     A pair is made in the least of its common buckets; a node is in one bucket of a band at most, so its list is short.
     """
-    listed = rest.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("mine")), "node")
+    listed = rest.withColumn("mine", F.collect_list("bucket").over(W.partitionBy("node")))
     small = _named(listed.join(_mains(rest), "bucket").filter("component != main"), "x", "bucket", "main", F.col("mine").alias("bx"))
     return small.join(_named(listed, "y", "bucket", F.col("mine").alias("by")), "bucket").filter(
         f"gx != gy and (gy = main or x < y) and {_within('s', 'o', percent)} and ({_within('c', 'r', percent)} or least(wx, wy) <= {FEW}) "

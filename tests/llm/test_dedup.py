@@ -91,6 +91,27 @@ def test_near_duplicates_fuzzy_group(spark):
     check_near(spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+def test_facts_of_nodes_meet_the_buckets_once(spark, monkeypatch):
+    """A row per bucket and member is joined with what is known of the member once, not in every later step."""
+    rng = random.Random(6)
+    base = data.words(rng, 150, 10**6).split()
+    rows = []
+    for i in range(80):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 2, 4, 6, 8, 10, 14, 20])):
+            own[at] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    plans, pin = defaultdict(list), minhash.pin
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(minhash, "pin", lambda df, name: plans[name].append(plan_of(df)) or pin(df, name))
+    crossing, pairs = minhash._bucket_pairs, []
+    monkeypatch.setattr(minhash, "_bucket_pairs", lambda *a: pairs.append(crossing(*a)) or pairs[-1])
+    check_near(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    steps = [*plans["alive"], *map(plan_of, pairs)]
+    assert len(plans["alive"]) == minhash.TURNS and pairs
+    assert not [x for x in steps if re.search(r"Join Inner, \(node#\d+L = node#\d+L\)", x)]
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(3)
     for share in (0.5, 0.8, 0.95):
