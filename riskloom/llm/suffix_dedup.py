@@ -17,9 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from riskloom.llm.common import mix, pin, shuffle_partitions, slices
+from riskloom.llm.common import mix, pin, pin_dealt, shuffle_partitions, slices
 
 #: Bytes of a string that counts, and of an anchor.
 LENGTH, GRAM = 100, 40
@@ -390,6 +390,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
 
+def _among(found: str, *names: str) -> Column:
+    """Whether an array of structs, or null, holds the values that the row has under ``names``."""
+    return F.coalesce(F.array_contains(found, F.struct(*names)), F.lit(False))
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``with_text`` spans and kept (bytes).
 
@@ -404,20 +409,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     base = docs.select("doc_id", text.alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("sha")
     )
+    # texts are moved here only: all that is found of a document comes to its bucket
+    base = pin_dealt(base.withColumn("doc", F.xxhash64("id", "key")), "texts", "doc")
     # whole copies and repeated rows: only ids and digests are moved to find them
-    digests = base.groupBy("id", "key", "sha").agg(F.count(F.lit(1)).alias("n"))
+    digests = base.groupBy("id", "key", "sha", "doc").agg(F.count(F.lit(1)).alias("n"))
     heads = digests.groupBy("sha").agg(F.min(F.struct("id", "key")).alias("head"), F.sum("n").alias("all")).filter("all > 1")
-    marks = digests.join(heads, "sha").select(
-        "id", "key", F.col("sha").alias("_sha"), (F.col("id") != F.col("head.id")).alias("copy"), (F.col("n") > 1).alias("again")
-    )
+    marks = digests.join(heads, "sha").select("doc", "id", "sha", (F.col("id") != F.col("head.id")).alias("copy"), (F.col("n") > 1).alias("again"))
     marks = pin(marks.filter("copy or again").distinct(), "copies")
-    marked = base.join(marks.select(F.col("id").alias("_id"), "_sha", "copy", "again"), (F.col("id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
-    own = marked.filter("not coalesce(copy, false)").select("id", "key", "text", F.coalesce("again", F.lit(False)).alias("again"))
-    searched = base
+    # documents may share the hash, so they are told apart inside the row
+    of_doc = marks.filter("copy").groupBy("doc").agg(F.collect_list(F.struct("id", "sha")).alias("copies"))
+    own = base.join(of_doc, "doc", "left").filter(~_among("copies", "id", "sha")).select("doc", "id", "key", "text")
+    searched = base.select("doc", "id", "key", "text")
     if not marks.filter("again and not copy").isEmpty():  # repeated rows are searched once
-        own = own.filter("not again").union(own.filter("again").dropDuplicates(["id", "key"]))
-        searched = own
-    own, searched = (x.select("id", "key", "text", F.xxhash64("id", "key").alias("doc")) for x in (own, searched))
+        own = searched = own.dropDuplicates(["doc", "id", "key"])
     places = own.select("doc", "text").mapInArrow(_anchor_rows, "h long, doc long, place long")
     repeated = places.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, doc long, place long, part int")
     by_doc = pin(repeated, "places").groupBy("doc").agg(F.collect_list(F.struct("h", "place", "part")).alias("places"))
@@ -435,12 +439,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
         firsts.mapInArrow(_later, REMOVED).select("id", "key", "start", "stop")
     )
     # what is known of a document comes in one table, so that its text is joined once
-    known = gone.select("id", "key", F.struct("start", "stop").alias("run"), F.lit(None).cast("string").alias("sha")).union(
-        marks.filter("copy").select("id", "key", F.lit(None).cast("struct<start:long,stop:long>"), "_sha")
+    known = gone.select(F.xxhash64("id", "key").alias("doc"), F.struct("id", "key", "start", "stop").alias("run"), F.lit(None).cast("struct<id:long,sha:string>").alias("copy")).union(
+        marks.filter("copy").select("doc", F.lit(None).cast("struct<id:long,key:long,start:long,stop:long>"), F.struct("id", "sha"))
     )
-    runs = known.groupBy("id", "key").agg(F.collect_list("run").alias("runs"), F.collect_set("sha").alias("copies"))
-    copy = F.coalesce(F.array_contains("copies", F.col("sha")), F.lit(False)).alias("copy")
-    every = base.join(runs, ["id", "key"], "left").select("doc_id", "text", copy, "runs")
+    runs = known.groupBy("doc").agg(F.collect_list("run").alias("runs"), F.collect_list("copy").alias("copies"))
+    its = F.filter("runs", lambda r: (r["id"] == F.col("id")) & (r["key"] == F.col("key")))
+    its = F.transform(its, lambda r: F.struct(r["start"].alias("start"), r["stop"].alias("stop")))
+    every = base.join(runs, "doc", "left").select("doc_id", "text", _among("copies", "id", "sha").alias("copy"), its.alias("runs"))
     out = every.mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<start:long,stop:long>>, kept binary",

@@ -187,6 +187,24 @@ def test_first_strings_of_a_hot_anchor_are_dealt_to_all_tasks(spark, monkeypatch
     assert strings.groupBy("digest").count().agg({"count": "max"}).first()[0] <= 2  # one from each part
 
 
+def test_texts_are_moved_once(spark, monkeypatch):
+    """Texts wait in buckets of their document: no later step exchanges them, however large the other tables are."""
+    passage = data.words(random.Random(2), 40, 10**6)
+    docs = spark.range(60).selectExpr("id AS doc_id", f"concat(sha2(concat('a', id), 512), '{passage}', sha2(concat('b', id % 50), 512)) AS text")
+    docs = docs.union(docs.limit(5).selectExpr("doc_id + 100", "text"))
+    exchanges, pin = {}, suffix_dedup.pin
+    count = lambda df: len(re.findall("Exchange (?:hash|range|Round)", df._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(suffix_dedup, "pin", lambda df, name: exchanges.setdefault(name, count(df)) and pin(df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanges["out"] = count(suffix_dedup.remove_repeats(docs))
+        check_repeats(docs, ties(docs))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # one for what is found (copies, places, runs), one to deal it or what comes of it
+    assert (exchanges["places"], exchanges["repeats"], exchanges["out"]) == (2, 2, 2)
+
+
 def unnamed(spark):
     """Documents of one passage, near copies of each other, half of them without an id and half with a shared one."""
     rng = random.Random(7)
